@@ -127,6 +127,7 @@ def merged(spark, sf) -> DataFrame:
 
 
 def daily_long(spark, sf) -> DataFrame:
+    """Mean order value per day, from exact integer cents so that both engines hold the same double."""
     return (
         table(spark, sf, "orders")
         .groupBy(
@@ -135,8 +136,9 @@ def daily_long(spark, sf) -> DataFrame:
         )
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.round(F.avg("o_totalprice") / 1000, 9).alias("v"),
+            F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
         )
+        .select("station_id", "date", "n", (F.expr("cents div n") / F.lit(99991.0)).alias("v"))
     )
 
 
@@ -210,7 +212,7 @@ _MERGED = """merged AS (
   FROM obs_grid a LEFT JOIN weather_hourly w USING (timestamp))"""
 _DAILY_LONG = """daily_long AS (
   SELECT o_orderpriority AS station_id, CAST(o_orderdate AS DATE) AS date, count(*) AS n,
-         round(avg(o_totalprice) / 1000, 9) AS v FROM orders GROUP BY ALL)"""
+         CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*) AS DOUBLE) / 99991.0::DOUBLE AS v FROM orders GROUP BY ALL)"""
 _DAILY_CALENDAR = """daily_calendar AS (
   SELECT s.station_id, CAST(s.date AS DATE) AS date, CASE WHEN d.n >= 2 THEN d.v END AS value,
          date_diff('day', s.lo, CAST(s.date AS DATE)) AS pos
