@@ -361,7 +361,12 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return clean.peak_trace(v.obs_clean(spark, sf), v.obs_hourly(spark, sf), ["station_id", "timestamp"], "pm25")
+    return clean.peak_trace(
+        v.obs_clean(spark, sf),
+        clean.hourly_means(v.obs_clean(spark, sf), {"pm25": "pm25"}),
+        ["station_id", "timestamp"],
+        "pm25",
+    )
 
 
 @query(

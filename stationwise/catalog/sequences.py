@@ -138,7 +138,7 @@ def _(spark, sf):
     return grid.missing_histogram(v.obs_grid(spark, sf))
 
 
-_ZERO = "(SELECT station_id, timestamp, CASE WHEN pm25 BETWEEN 40 AND 46 THEN 0.0 ELSE pm25 END AS z FROM obs_grid)"
+_ZERO = "(SELECT station_id, timestamp, CASE WHEN pm25 BETWEEN 40 AND 46.5 THEN 0.0 ELSE pm25 END AS z FROM obs_grid)"
 
 
 @query(
@@ -151,7 +151,7 @@ _ZERO = "(SELECT station_id, timestamp, CASE WHEN pm25 BETWEEN 40 AND 46 THEN 0.
 )
 def _(spark, sf):
     zeroed = v.obs_grid(spark, sf).select(
-        "station_id", "timestamp", F.when(F.col("pm25").between(40, 46), 0.0).otherwise(F.col("pm25")).alias("z")
+        "station_id", "timestamp", F.when(F.col("pm25").between(40, 46.5), 0.0).otherwise(F.col("pm25")).alias("z")
     )
     return grid.zero_streaks(zeroed, "z")
 

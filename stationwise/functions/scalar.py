@@ -21,8 +21,7 @@ def _c(c: str | Column) -> Column:
 
 def null_normalise(c: str | Column) -> Column:
     """NaN becomes NULL; infinities are kept so they can be counted."""
-    c = _c(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(_c(c), F.lit(None).cast("double"))
 
 
 def is_nonfinite(c: str | Column) -> Column:
@@ -40,15 +39,20 @@ def is_sentinel(c: str | Column) -> Column:
 
 
 def parsed_number(text: str | Column) -> Column:
-    """Numeric text to double; markers, NaN and unparsable text become NULL."""
-    t = F.trim(_c(text))
-    return null_normalise(F.when(~is_marker(t), t.try_cast("double")))
+    """Numeric text to double; markers, NaN and unparsable text become NULL.
+
+    No marker parses as a number, so the cast alone empties them; the operand
+    appears once, which keeps the generated code small.
+    """
+    return null_normalise(F.trim(_c(text)).try_cast("double"))
 
 
 def undisguised(text: str | Column) -> Column:
     """parsed_number with the numeric sentinels removed as well."""
     n = parsed_number(text)
-    return F.when(~is_sentinel(n), n)
+    for code in S.SENTINELS:
+        n = F.nullif(n, F.lit(code))
+    return n
 
 
 def nonnegative(c: str | Column) -> Column:

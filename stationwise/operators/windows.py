@@ -131,7 +131,7 @@ def label_sensitivity(df: DataFrame, configs: Sequence[tuple[int, int, float]],
     return long.groupBy(S.STATION, "window", "min_periods", "threshold").agg(
         F.count("y").alias("n_labelled"),
         F.coalesce(F.sum("y"), F.lit(0)).alias("n_positive"),
-        (100.0 * F.sum("y") / F.count("y")).alias("prevalence_pct"),
+        F.try_divide(100.0 * F.sum("y"), F.count("y")).alias("prevalence_pct"),
     )
 
 
