@@ -22,6 +22,20 @@ def hourly_means(
     )
 
 
+def hourly_pivot(long: DataFrame, parameters: Sequence[str], keys: Sequence[str] = (S.STATION,)) -> DataFrame:
+    """Sub-hourly long readings to one wide row per local hour; an absent parameter is a NULL column.
+
+    Input: keys, timestamp (local), parameter, value. The parameter list is fixed, so
+    no extra job looks for distinct values.
+    """
+    return (
+        long.withColumn(S.TIME, F.date_trunc("hour", S.TIME))
+        .groupBy(*keys, S.TIME)
+        .pivot("parameter", list(parameters))
+        .agg(F.round(F.avg(fn.nonnegative(fn.null_normalise("value"))), 9))
+    )
+
+
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row per key by an explicit order.
 
