@@ -125,7 +125,7 @@ def _(spark, sf):
     "kruskal_wallis",
     v.sql(
         "daily_calendar",
-        f"""SELECT station_id, n_groups, smallest_group, n::BIGINT AS n, round(h, 6) AS h, n_groups - 1 AS df, round(least(greatest(h / (n - 1), 0), 1), 6) AS epsilon_squared FROM (
+        f"""SELECT station_id, n_groups, smallest_group::BIGINT AS smallest_group, n::BIGINT AS n, round(h, 6) AS h, n_groups - 1 AS df, round(least(greatest(h / (n - 1), 0), 1), 6) AS epsilon_squared FROM (
           SELECT station_id, count(*) AS n_groups, min(k) AS smallest_group, sum(k) AS n, (12 / (sum(k) * (sum(k) + 1)) * sum(rs * rs / k) - 3 * (sum(k) + 1)) / (1 - sum(ties) / (sum(k) * sum(k) * sum(k) - sum(k))) AS h FROM (
             SELECT station_id, season, count(*)::DOUBLE AS k, sum(r) AS rs, sum((c * c * c - c) / c::DOUBLE) AS ties FROM (SELECT *, {rank_sql('value', 'station_id')} AS r, count(*) OVER (PARTITION BY station_id, value) AS c FROM seen) GROUP BY ALL) GROUP BY ALL)""",
         DAYS,
@@ -205,7 +205,7 @@ _RES = "res AS (SELECT s.station_id, s.rn, s.x, s.value - b0 - b1 * s.x AS u FRO
 def _trend_fit(spark, sf, lags):
     design = stats.trend_design(days(spark, sf))
     xs = ["intercept", "trend"]
-    return linear_core.hac_fit(design, ["station_id"], "value", xs, "pos", lags), xs
+    return linear_core.hac_fit(design, ["station_id"], "value", xs, "pos", lags, size=None), xs
 
 
 @query(
@@ -248,7 +248,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Season dummies beside a linear trend, tested jointly at two lags."""
     design = stats.trend_design(days(spark, sf))
-    fit = linear_core.hac_fit(design, ["station_id"], "value", stats.SEASON_TERMS, "pos", [7, 28])
+    fit = linear_core.hac_fit(design, ["station_id"], "value", stats.SEASON_TERMS, "pos", [7, 28], size=None)
     return linear_core.joint_wald(fit, stats.SEASON_TERMS, stats.SEASON_TERMS[2:]).select(
         "station_id", "lag", "n", "f", "df1", "df2"
     )

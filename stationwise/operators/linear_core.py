@@ -111,30 +111,37 @@ def coefficient_rows(fit: DataFrame, keys: Sequence[str], xs: Sequence[str]) ->
     return fit.select(*keys, "n", "r2", F.explode(F.array(*cells)).alias("_r")).select(*keys, "n", "r2", "_r.*")
 
 
-def hac_meat(scored: DataFrame, keys: Sequence[str], order: str, scores: Sequence[str], lags: Sequence[int], size: int = CHUNK) -> DataFrame:
+def hac_meat(
+    scored: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    scores: Sequence[str],
+    lags: Sequence[int],
+    n: str = "n",
+    size: int | None = CHUNK,
+) -> DataFrame:
     """Bartlett-weighted sum of score cross-products for every lag, in one pass.
 
     The weighted sum over lags equals the sum of outer products of moving sums
     of L + 1 consecutive scores divided by L + 1, with zeros padded after the
     last row. That costs one window per lag instead of one join per distance.
-    Distance is counted in observed rows, not in calendar days.
+    Distance is counted in observed rows, not in calendar days. Column n holds
+    the group's row count, so the last row can pad itself.
     """
     top = max(lags)
-    numbered = running(scored.select(*keys, order, *scores), keys, order, {"_rn": F.lit(1)}, size).drop(order)
-    ends = numbered.groupBy(*keys).agg(F.max("_rn").alias("_n"))
-    pad = ends.select(
-        *keys,
-        *[F.lit(0.0).alias(s) for s in scores],
-        F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + top)).alias("_rn"),
-    ) if top else None
-    rows = numbered.select(*keys, *scores, F.col("_rn").cast("long").alias("_rn"))
-    if pad is not None:
-        rows = rows.unionByName(pad.withColumn("_rn", F.col("_rn").cast("long")))
+    rows = running(scored.select(*keys, order, n, *scores), keys, order, {"_rn": F.lit(1).cast("long")}, size)
+    if top:
+        copies = F.when(F.col("_rn") == F.col(n), F.sequence(F.lit(0), F.lit(top))).otherwise(F.array(F.lit(0)))
+        rows = rows.withColumn("_k", F.explode(copies)).select(
+            *keys,
+            (F.col("_rn") + F.col("_k")).alias("_rn"),
+            *[F.when(F.col("_k") == 0, F.col(s)).otherwise(0.0).alias(s) for s in scores],
+        )
     cols = {}
     for lag in lags:
         for s in scores:
             cols[f"_b{lag}_{s}"] = lambda w, c=s, l=lag: F.sum(c).over(w.rangeBetween(-l, 0))
-    moved = windowed(rows, keys, "_rn", cols, back=top, size=max(size, top))
+    moved = windowed(rows, keys, "_rn", cols, back=top, size=size if size is None else max(size, top))
     k = len(scores)
     aggs = [
         F.sum(F.col(f"_b{lag}_{scores[i]}") * F.col(f"_b{lag}_{scores[j]}")).alias(f"_m{lag}_{i}_{j}")
@@ -173,6 +180,7 @@ def hac_fit(
     order: str,
     lags: Sequence[int],
     small_sample: bool = True,
+    size: int | None = CHUNK,
 ) -> DataFrame:
     """OLS with Newey-West covariance per (keys, lag).
 
@@ -180,11 +188,11 @@ def hac_fit(
     """
     complete = df.dropna(subset=[y, *xs])
     fit = ols(complete, keys, y, xs)
-    narrow = complete.select(*keys, order, y, *xs).join(fit.select(*keys, "beta"), list(keys))
+    narrow = complete.select(*keys, order, y, *xs).join(fit.select(*keys, "beta", "n"), list(keys))
     u = F.col(y).cast("double") - predicted(xs)
     scores = {f"_s{i}": F.col(x).cast("double") * u for i, x in enumerate(xs)}
-    scored = narrow.select(*keys, order, *[c.alias(n) for n, c in scores.items()])
-    meat = hac_meat(scored, keys, order, list(scores), lags)
+    scored = narrow.select(*keys, order, "n", *[c.alias(s) for s, c in scores.items()])
+    meat = hac_meat(scored, keys, order, list(scores), lags, size=size)
     scale = F.col("n") / (F.col("n") - F.col("k")) if small_sample else F.lit(1.0)
     return meat.join(fit, list(keys)).withColumn("cov", _sandwich("inv", "meat", scale.cast("double"))).drop("meat")
 

@@ -27,7 +27,7 @@ KEYS = (S.STATION,)
 def compact_calendar(df: DataFrame, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
     """Observed rows only, renumbered without gaps."""
     seen = df.filter(F.col(value).isNotNull())
-    return running(seen.select(*keys, "pos", value), list(keys), "pos", {"_rn": F.lit(1)}).select(
+    return running(seen.select(*keys, "pos", value), list(keys), "pos", {"_rn": F.lit(1)}, size=None).select(
         *keys, (F.col("_rn") - 1).cast("long").alias("pos"), value
     )
 
@@ -88,7 +88,7 @@ def reducer(name: str, value: str = "value") -> Column:
 
 def point_estimate(df: DataFrame, statistic: str, value: str, keys: Sequence[str]) -> DataFrame:
     if statistic == "median":
-        return quantiles(df, keys, value, {"point": 0.5})
+        return quantiles(df, keys, value, {"point": 0.5}, bounded=True)
     return df.groupBy(*keys).agg(F.avg(value).alias("point"))
 
 
@@ -255,7 +255,7 @@ def group_windows(calendar: DataFrame, label: str, block: int, keys: Sequence[st
     """
     keys = list(keys)
     g = [*keys, label]
-    seg = runs(calendar.select(*keys, "pos", "value", label), keys, "pos", F.col(label))
+    seg = runs(calendar.select(*keys, "pos", "value", label), keys, "pos", F.col(label), size=None)
     ahead = W.partitionBy(*g, "run_first").orderBy("pos").rangeBetween(0, block - 1)
     seen = F.count("value").over(ahead)
     usable = F.col("pos") <= F.col("run_last") - F.least(F.lit(block), F.col("run_len")) + 1
@@ -302,7 +302,7 @@ def group_replicates(calendar: DataFrame, label: str, block: int, n_boot: int, s
         F.col("_before") < F.col("n_target")
     )
     days = kept.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
-    prefix = running(calendar.select(*keys, "pos", "value"), keys, "pos", {"_pre": F.col("value").isNotNull().cast("long")})
+    prefix = running(calendar.select(*keys, "pos", "value"), keys, "pos", {"_pre": F.col("value").isNotNull().cast("long")}, size=None)
     at = prefix.filter("value is not null")
     base = prefix.select(*keys, F.col("pos").alias("start"), (F.col("_pre") - F.col("value").isNotNull().cast("long")).alias("_pre0"))
     vals = days.join(at, [*keys, "pos"]).join(base, [*keys, "start"])

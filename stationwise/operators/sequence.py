@@ -6,6 +6,10 @@ facts that reach further than the halo (the last known value, the start of a
 run, a running count) travel through a small table with one row per chunk. A
 station that holds a third of the data is spread over as many tasks as it has
 chunks.
+
+Daily and weekly calendars hold one row per station and day, so a station's
+series is bounded by the calendar (36,525 rows a century). For those size=None
+asks for a plain window per station: one shuffle and a single read of the input.
 """
 
 from __future__ import annotations
@@ -62,9 +66,12 @@ def windowed(
     columns: Mapping[str, Callable[[WindowSpec], Column]],
     back: int = 0,
     ahead: int = 0,
-    size: int = CHUNK,
+    size: int | None = CHUNK,
 ) -> DataFrame:
     """Add window columns whose frames reach at most back/ahead positions."""
+    if size is None:
+        w = W.partitionBy(*keys).orderBy(pos)
+        return df.select("*", *[build(w).alias(name) for name, build in columns.items()])
     w = W.partitionBy(*keys, CHUNK_ID).orderBy(pos)
     haloed = with_halo(df, pos, back, ahead, size)
     return (
@@ -80,10 +87,18 @@ def filled(
     pos: str,
     forward: Mapping[str, Column] | None = None,
     backward: Mapping[str, Column] | None = None,
-    size: int = CHUNK,
+    size: int | None = CHUNK,
 ) -> DataFrame:
     """Nearest non-null value at or before (forward) / at or after (backward) each row."""
     forward, backward = dict(forward or {}), dict(backward or {})
+    if size is None:
+        w = W.partitionBy(*keys).orderBy(pos)
+        upto, onward = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+        return df.select(
+            "*",
+            *[F.last(c, ignorenulls=True).over(upto).alias(n) for n, c in forward.items()],
+            *[F.first(c, ignorenulls=True).over(onward).alias(n) for n, c in backward.items()],
+        )
     src = df.withColumn(CHUNK_ID, chunk_of(F.col(pos), size))
     src = src.select(
         "*",
@@ -125,9 +140,12 @@ def running(
     keys: Sequence[str],
     pos: str,
     sums: Mapping[str, Column],
-    size: int = CHUNK,
+    size: int | None = CHUNK,
 ) -> DataFrame:
     """Inclusive running sums in position order; a running sum of 1 is a row number."""
+    if size is None:
+        upto = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     src = df.withColumn(CHUNK_ID, chunk_of(F.col(pos), size))
     src = src.select("*", *[c.alias(f"_s_{n}") for n, c in sums.items()])
     totals = src.groupBy(*keys, CHUNK_ID).agg(*[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums])
@@ -153,7 +171,7 @@ def runs(
     keys: Sequence[str],
     pos: str,
     state: Column,
-    size: int = CHUNK,
+    size: int | None = CHUNK,
 ) -> DataFrame:
     """Gaps and islands: a run ends where the position steps by more than 1 or the state changes.
 

@@ -1,7 +1,9 @@
 """Dependence-aware statistics over daily calendars, all stations in one job.
 
 Tables hold one row per (station, day): value (NULL = missing), pos (dense day
-number) and optional labels. p-values are added on result rows only.
+number) and optional labels. p-values are added on result rows only. A station's
+group is bounded by the calendar, so plain windows and built-in percentiles are
+used here (size=None, bounded=True).
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ def distribution_diagnostics(df: DataFrame, value: str = "value", keys: Sequence
         F.skewness(v).alias("_g1"),
         F.kurtosis(v).alias("_g2"),
     )
-    q = quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    q = quantiles(df, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, bounded=True)
     out3 = (
         df.join(base.select(*keys, "mean", "sd"), keys)
         .groupBy(*keys)
@@ -99,6 +101,7 @@ def autocorrelation(
         pos,
         {f"_l{l}": lambda w, l=l: F.max(value).over(w.rangeBetween(-l, -l)) for l in lags},
         back=max(lags),
+        size=None,
     )
     aggs = []
     for l in lags:
@@ -158,7 +161,7 @@ def min_detectable_difference(
 def rank_groups(df: DataFrame, group: str, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
     """Rank sums and sizes per group plus the tie term, from counted values."""
     keys = list(keys)
-    ranks = average_ranks(df, keys, value)
+    ranks = average_ranks(df, keys, value, bounded=True)
     ties = ranks.groupBy(*keys).agg(
         F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("tie_sum"), F.max("n").alias("n")
     )
@@ -190,7 +193,7 @@ def mann_whitney(df: DataFrame, group: str, a, b, value: str = "value", keys: Se
         F.max("tie_sum").alias("_ties"),
         F.max("n").alias("_n"),
     )
-    med = quantiles(two, [*keys, group], value, {"_m": 0.5}).groupBy(*keys).agg(
+    med = quantiles(two, [*keys, group], value, {"_m": 0.5}, bounded=True).groupBy(*keys).agg(
         pick(a, "_m").alias("median_a"), pick(b, "_m").alias("median_b")
     )
     na, nb, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("_n").cast("double")
@@ -240,7 +243,7 @@ def signed_rank(df: DataFrame, mu: float, value: str = "value", keys: Sequence[s
     d = df.select(*keys, (F.col(value) - mu).alias("_d")).filter(F.col("_d").isNotNull())
     total = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     nz = d.filter("_d <> 0").select(*keys, F.abs("_d").alias("_a"), (F.col("_d") > 0).alias("_pos"))
-    ranks = average_ranks(nz, keys, "_a")
+    ranks = average_ranks(nz, keys, "_a", bounded=True)
     counted = nz.groupBy(*keys, "_a").agg(F.count_if("_pos").alias("_up"), F.count_if(~F.col("_pos")).alias("_down"))
     agg = (
         counted.join(ranks.select(*keys, "_a", "avg_rank", "cnt"), [*keys, "_a"])
@@ -252,7 +255,7 @@ def signed_rank(df: DataFrame, mu: float, value: str = "value", keys: Sequence[s
             F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("_ties"),
         )
     )
-    med = quantiles(df, keys, value, {"median": 0.5})
+    med = quantiles(df, keys, value, {"median": 0.5}, bounded=True)
     n = F.col("n_nonzero").cast("double")
     out = total.join(agg, keys).join(med, keys).withColumns(
         {
@@ -344,7 +347,7 @@ def hac_location(df: DataFrame, mu: float, lags: Sequence[int], value: str = "va
     seen = df.filter(F.col(value).isNotNull())
     a = F.abs(F.col(value) - mu)
     base = seen.withColumn("_a", a)
-    ranks = average_ranks(base, keys, "_a").select(*keys, "_a", "avg_rank")
+    ranks = average_ranks(base, keys, "_a", bounded=True).select(*keys, "_a", "avg_rank")
     d = F.col(value) - mu
     long = base.join(ranks, [*keys, "_a"]).select(
         *keys,
@@ -358,7 +361,7 @@ def hac_location(df: DataFrame, mu: float, lags: Sequence[int], value: str = "va
         ).alias("_s"),
     ).select(*keys, "pos", "_s.*", F.lit(1.0).alias("one"))
     k = [*keys, "kind", "_null"]
-    out = hac_rows(hac_fit(long, k, "y", ["one"], "pos", lags), k, ["one"])
+    out = hac_rows(hac_fit(long, k, "y", ["one"], "pos", lags, size=None), k, ["one"])
     out = out.select(
         *keys,
         "kind",
@@ -382,7 +385,7 @@ def hac_location(df: DataFrame, mu: float, lags: Sequence[int], value: str = "va
 
 def calendar_diagnostics(df: DataFrame, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
     """Calendar days, observed days and runs of missing days."""
-    r = runs(df, list(keys), "pos", F.col(value).isNull())
+    r = runs(df, list(keys), "pos", F.col(value).isNull(), size=None)
     head = F.col(value).isNull() & (F.col("run_first") == F.col("pos"))
     return r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_days"),
@@ -495,7 +498,7 @@ def qq_points(df: DataFrame, value: str = "value", keys: Sequence[str] = KEYS, q
     """Blom plotting positions and standardised sample per distinct value."""
     keys = list(keys)
     m = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    ranked = cumulative_counts(df, keys, value).join(m, keys)
+    ranked = cumulative_counts(df, keys, value, bounded=True).join(m, keys)
     i = F.col("below") + (F.col("cnt") + 1) / 2.0
     out = ranked.select(
         *keys,

@@ -13,6 +13,7 @@ from ..functions import scalar as fn
 from ..operators import linear_core as lin
 from ..operators import panel, resample, stats
 from ..operators.ranks import quantiles
+from ..session import written
 
 KEYS = [S.STATION]
 SEASONS = ("Winter", "Spring", "Summer", "Autumn")
@@ -29,7 +30,7 @@ def season_generalisation(days: DataFrame) -> DataFrame:
     """Trend per month (season-adjusted), largest season contrast, and how the two compare."""
     design = stats.trend_design(days)
     fit = lin.ols(design, KEYS, "value", stats.SEASON_TERMS)
-    med = quantiles(days, [*KEYS, "season"], "value", {"_m": 0.5}).groupBy(*KEYS).agg(
+    med = quantiles(days, [*KEYS, "season"], "value", {"_m": 0.5}, bounded=True).groupBy(*KEYS).agg(
         (F.max("_m") - F.min("_m")).alias("max_season_contrast"), F.count(F.lit(1)).alias("n_seasons")
     )
     return fit.select(*KEYS, F.col("beta")[1].alias("trend_per_month")).join(med, KEYS).withColumn(
@@ -61,7 +62,7 @@ def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_
     main = boot.filter(F.col("block") == block).select(*KEYS, F.col("p_value").alias("p_value"))
     stable = _stable(boot, "block", block, alpha)
     design = stats.trend_design(days)
-    fit = lin.hac_fit(design, KEYS, "value", stats.SEASON_TERMS, "pos", [lag])
+    fit = lin.hac_fit(design, KEYS, "value", stats.SEASON_TERMS, "pos", [lag], size=None)
     wald = lin.joint_wald(fit, stats.SEASON_TERMS, stats.SEASON_TERMS[2:])
     sup = wald.select(*KEYS, dist.f_sf(F.col("f"), F.col("df1"), F.col("df2")).alias("p_supporting"))
     return (
@@ -92,7 +93,7 @@ def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_
 def weekday_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, lags: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA) -> DataFrame:
     """Weekend coefficient beside a trend (HAC); calendar null bootstrap of U as the supporting test."""
     design = stats.trend_design(days)
-    fit = lin.hac_fit(design, KEYS, "value", stats.WEEKEND_TERMS, "pos", sorted({lag, *lags}))
+    fit = lin.hac_fit(design, KEYS, "value", stats.WEEKEND_TERMS, "pos", sorted({lag, *lags}), size=None)
     rows = lin.hac_rows(fit, KEYS, stats.WEEKEND_TERMS).filter("term = 'weekend'")
     dof = F.col("n") - F.col("k")
     rows = rows.withColumns({"p_value": dist.t_two_sided(F.col("t"), dof), "_crit": dist.t_ppf(0.975, dof)})
@@ -171,7 +172,12 @@ def location_effect(days: DataFrame, mu: float, kind: str, test: str, n_boot: in
 
 
 def inference_suite(days: DataFrame, median_limit: float, mean_limit: float, n_boot: int, seed: int, alpha: float = S.ALPHA) -> DataFrame:
-    """Four primary tests per station, Holm over the family, decision and evidence labels."""
+    """Four primary tests per station, Holm over the family, decision and evidence labels.
+
+    The calendar (one row per station-day) feeds some thirty sub-plans, so it is
+    written once instead of being derived again for each of them.
+    """
+    days = written(days, "calendar")
     tests = (
         season_effect(days, n_boot, seed, alpha=alpha)
         .unionByName(weekday_effect(days, n_boot, seed, alpha=alpha))
@@ -195,29 +201,33 @@ def inference_suite(days: DataFrame, median_limit: float, mean_limit: float, n_b
 def posthoc_pairs(days: DataFrame, n_boot: int, n_ci: int, seed: int, block: int = S.BLOCK_DAYS) -> DataFrame:
     """All season pairs: rank-biserial null bootstrap restricted to the pair, contrast interval, Holm within the station."""
     pairs = [(a, b) for i, a in enumerate(SEASONS) for b in SEASONS[i + 1 :]]
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("z")) for a, b in pairs])
-    both = days.withColumn("_p", F.explode(F.filter(cells, lambda p: (p["a"] == F.col("season")) | (p["z"] == F.col("season")))))
-    keyed = both.select(*days.columns, "_p.*").withColumn("side", (F.col("season") == F.col("z")).cast("int"))
-    k = [*KEYS, "a", "z"]
+    cells = F.array(*[F.struct(F.lit(a).alias("season_a"), F.lit(b).alias("season_b")) for a, b in pairs])
+
+    def by_pair(df: DataFrame, columns) -> DataFrame:
+        mine = F.filter(cells, lambda p: (p["season_a"] == F.col("season")) | (p["season_b"] == F.col("season")))
+        return (
+            df.withColumn("_p", F.explode(mine))
+            .select(*columns, "_p.*")
+            .withColumn("side", (F.col("season") == F.col("season_b")).cast("int"))
+        )
+
+    keyed = by_pair(days, days.columns)
+    k = [*KEYS, "season_a", "season_b"]
     mw = stats.mann_whitney(keyed, "side", 0, 1, keys=k, p_values=True)
     observed = mw.select(*k, F.col("rank_biserial").alias("observed"))
     reps = resample.replicates(days, n_boot, [block], seed, labels=["season"])
-    rep_pairs = (
-        reps.withColumn("_p", F.explode(F.filter(cells, lambda p: (p["a"] == F.col("season")) | (p["z"] == F.col("season")))))
-        .select(*KEYS, "block", "b", "dest", "value", "season", "_p.*")
-        .withColumn("side", (F.col("season") == F.col("z")).cast("int"))
-    )
+    rep_pairs = by_pair(reps, [*KEYS, "block", "b", "dest", "value", "season"])
     boot = resample.null_p(resample.replicate_u(rep_pairs, "side", 0, 1, k, biserial=True), observed, n_boot, k)
     ci = resample.contrast_ci(days, "season", pairs, "median", block, n_ci, seed).select(
-        *KEYS, F.col("group_a").alias("a"), F.col("group_b").alias("z"), "point", "ci_low", "ci_high", "ci_method"
+        *KEYS, F.col("group_a").alias("season_a"), F.col("group_b").alias("season_b"), "point", "ci_low", "ci_high", "ci_method"
     )
     out = (
         mw.select(*k, "n_a", "n_b", "u", "rank_biserial", F.col("p_value").alias("p_independence"))
         .join(boot.select(*k, "p_value"), k)
         .join(ci, k)
-        .withColumn("pair", F.concat_ws(" - ", "a", "z"))
+        .withColumn("pair", F.concat_ws(" - ", "season_a", "season_b"))
     )
-    return stats.holm(out, KEYS, "p_value", "pair").drop("a", "z")
+    return stats.holm(out, KEYS, "p_value", "pair").drop("season_a", "season_b")
 
 
 def weekly_frames(days: DataFrame) -> tuple[DataFrame, DataFrame]:
