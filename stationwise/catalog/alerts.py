@@ -14,7 +14,7 @@ SETS = {
     "history": ("past_mean", "past_sd", "lag_24h"),
     "full": FEATURES,
 }
-SCORED = """scored AS (SELECT station_id, timestamp, label AS y, unnest(['steep', 'flat']) AS model, unnest([round(1 / (1 + exp(-(past_mean - 25) / 5)), 6), round(1 / (1 + exp(-(past_mean - 20) / 20)), 6)]) AS score FROM frame WHERE row_state = 'used')"""
+SCORED = """scored AS (SELECT station_id, timestamp, label AS y, unnest(['steep', 'flat']) AS model, unnest([round(1 / (1 + exp(-(past_mean - 50) / 5)), 6), round(1 / (1 + exp(-(past_mean - 40) / 20)), 6)]) AS score FROM frame WHERE row_state = 'used')"""
 _CHAIN = (AF, FRAME.format(6, "b.alert"), SCORED)
 
 
@@ -23,8 +23,8 @@ def scored(spark, sf):
     used = alert_frame(spark, sf, 6).filter("row_state = 'used'")
     logit = lambda at, width: F.round(1 / (1 + F.exp(-(F.col("past_mean") - at) / width)), 6)
     cells = F.array(
-        F.struct(F.lit("steep").alias("model"), logit(25, 5).alias("score")),
-        F.struct(F.lit("flat").alias("model"), logit(20, 20).alias("score")),
+        F.struct(F.lit("steep").alias("model"), logit(50, 5).alias("score")),
+        F.struct(F.lit("flat").alias("model"), logit(40, 20).alias("score")),
     )
     return used.select("station_id", "timestamp", F.col("label").alias("y"), F.explode(cells).alias("_m")).select(
         "station_id", "timestamp", "y", "_m.*"
@@ -150,7 +150,7 @@ def _(spark, sf):
 
 @query("ablation_and_horizons")
 def _(spark, sf):
-    base = written(splits.alert_features(v.merged(spark, sf), min_periods=12, threshold=25.0), "alert_features")
+    base = written(splits.alert_features(v.merged(spark, sf), min_periods=12, threshold=50.0), "alert_features")
     frames = {h: splits.classification_frame(base, CUT, h) for h in (0, 1, 6, 12, 24)}
     return alerts.ablation_and_horizons(frames, SETS, "full")
 

@@ -141,13 +141,13 @@ def _(spark, sf):
 
 def alert_frame(spark, sf, horizon=0):
     """Model rows with relaxed completeness, so that the small tables hold both classes."""
-    feats = splits.alert_features(v.merged(spark, sf), min_periods=12, threshold=25.0)
+    feats = splits.alert_features(v.merged(spark, sf), min_periods=12, threshold=50.0)
     return splits.classification_frame(feats, CUT, horizon)
 
 
 FRAME = f"""frame AS (SELECT *, CASE WHEN label IS NULL OR past_mean IS NULL THEN 'incomplete' WHEN split = 'train' AND {{0}} > 0 AND timestamp + INTERVAL {{0}} HOUR >= {_TS} THEN 'purged' ELSE 'used' END AS row_state FROM (
   SELECT a.*, {{1}} AS label, CASE WHEN a.timestamp < {_TS} THEN 'train' ELSE 'test' END AS split FROM af a LEFT JOIN af b ON b.station_id = a.station_id AND b.timestamp = a.timestamp + INTERVAL {{0}} HOUR))"""
-AF = """af AS (SELECT m.*, CASE WHEN count(pm25) OVER w >= 12 THEN (round(avg(pm25) OVER w, 9) >= 25)::INT END AS alert, CASE WHEN count(pm25) OVER p >= 12 THEN avg(pm25) OVER p END AS past_mean, CASE WHEN count(pm25) OVER p >= 12 THEN stddev_samp(pm25) OVER p END AS past_sd, lag(pm25, 24) OVER (PARTITION BY station_id ORDER BY timestamp) AS lag_24h FROM merged m
+AF = """af AS (SELECT m.*, CASE WHEN count(pm25) OVER w >= 12 THEN (round(avg(pm25) OVER w, 9) >= 50)::INT END AS alert, CASE WHEN count(pm25) OVER p >= 12 THEN avg(pm25) OVER p END AS past_mean, CASE WHEN count(pm25) OVER p >= 12 THEN stddev_samp(pm25) OVER p END AS past_sd, lag(pm25, 24) OVER (PARTITION BY station_id ORDER BY timestamp) AS lag_24h FROM merged m
   WINDOW w AS (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), p AS (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))"""
 
 

@@ -185,7 +185,7 @@ def _(spark, sf):
         """SELECT station_id, windows_valid, windows_over, round(windows_over / nullif(windows_valid, 0), 6) AS window_share, days, days_over, round(p, 6) AS day_share,
         round(greatest(0, (p + 3.841458820694124 / (2 * days)) / (1 + 3.841458820694124 / days) - 1.959963984540054 * sqrt(p * (1 - p) / days + 3.841458820694124 / (4 * days * days)) / (1 + 3.841458820694124 / days)), 6) AS wilson_low,
         round(least(1, (p + 3.841458820694124 / (2 * days)) / (1 + 3.841458820694124 / days) + 1.959963984540054 * sqrt(p * (1 - p) / days + 3.841458820694124 / (4 * days * days)) / (1 + 3.841458820694124 / days)), 6) AS wilson_high
-        FROM (SELECT station_id, count(r) AS windows_valid, count(*) FILTER (r >= 25) AS windows_over FROM roll GROUP BY ALL) JOIN (SELECT station_id, count(*) AS days, count(*) FILTER (mean_value >= 25) AS days_over, count(*) FILTER (mean_value >= 25) / count(*) AS p FROM days WHERE valid_hours >= 12 GROUP BY ALL) USING (station_id)""",
+        FROM (SELECT station_id, count(r) AS windows_valid, count(*) FILTER (r >= 50) AS windows_over FROM roll GROUP BY ALL) JOIN (SELECT station_id, count(*) AS days, count(*) FILTER (mean_value >= 50) AS days_over, count(*) FILTER (mean_value >= 50) / count(*) AS p FROM days WHERE valid_hours >= 12 GROUP BY ALL) USING (station_id)""",
         ROLL.format("obs_grid", 24, 23),
         DAYS.format("obs_grid"),
     ),
@@ -194,10 +194,10 @@ def _(spark, sf):
     df = v.obs_grid(spark, sf)
     r = F.col("rolling_24h")
     wins = windows.rolling_means(df, windows={24: 24}).groupBy("station_id").agg(
-        F.count(r).alias("windows_valid"), F.count_if(r >= 25).alias("windows_over")
+        F.count(r).alias("windows_valid"), F.count_if(r >= 50).alias("windows_over")
     )
     days = panel.daily_panel(df, MIN_HOURS).groupBy("station_id").agg(
-        F.count(F.lit(1)).alias("days"), F.count_if(F.col("mean_value") >= 25).alias("days_over")
+        F.count(F.lit(1)).alias("days"), F.count_if(F.col("mean_value") >= 50).alias("days_over")
     )
     low, high = panel.wilson_interval(F.col("days_over"), F.col("days"))
     return wins.join(days, "station_id").withColumns(
@@ -253,13 +253,13 @@ def _(spark, sf):
 
 from ..operators import labels  # noqa: E402
 
-LABELLED = f"""lab AS (SELECT *, CASE WHEN wn >= 12 THEN (round(wm, 9) >= 25)::INT END AS alert, pn >= 12 AS has_past, CASE WHEN timestamp < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'test' END AS split, {SEASON.format('timestamp')} AS season FROM (
+LABELLED = f"""lab AS (SELECT *, CASE WHEN wn >= 12 THEN (round(wm, 9) >= 50)::INT END AS alert, pn >= 12 AS has_past, CASE WHEN timestamp < TIMESTAMP '2024-01-20' THEN 'train' ELSE 'test' END AS split, {SEASON.format('timestamp')} AS season FROM (
   SELECT station_id, timestamp, pm25, count(pm25) OVER w AS wn, avg(pm25) OVER w AS wm, count(pm25) OVER p AS pn FROM obs_grid
   WINDOW w AS (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), p AS (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)))"""
 
 
 def labelled(spark, sf):
-    return labels.labelled_grid(v.obs_grid(spark, sf), "2024-01-20 00:00:00", min_periods=12, threshold=25.0)
+    return labels.labelled_grid(v.obs_grid(spark, sf), "2024-01-20 00:00:00", min_periods=12, threshold=50.0)
 
 
 _SUMS = "count(*) AS grid_hours, count(pm25) AS valid_hours, count(*) - count(pm25) AS missing_hours, count(alert) AS labelled, count(*) FILTER (alert IS NOT NULL AND has_past) AS evaluable, coalesce(sum(alert), 0)::BIGINT AS positives, coalesce(sum(alert) FILTER (has_past), 0)::BIGINT AS positives_evaluable"

@@ -13,11 +13,11 @@ _W = "PARTITION BY station_id ORDER BY timestamp"
     "alert_label",
     v.sql(
         "obs_grid",
-        f"""SELECT station_id, timestamp, n AS window_n, round(m, 6) AS window_mean, CASE WHEN n >= 18 THEN (round(m, 9) >= 25)::INT END AS alert FROM (SELECT station_id, timestamp, count(pm25) OVER w AS n, avg(pm25) OVER w AS m FROM obs_grid WINDOW w AS ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))""",
+        f"""SELECT station_id, timestamp, n AS window_n, round(m, 6) AS window_mean, CASE WHEN n >= 18 THEN (round(m, 9) >= 50)::INT END AS alert FROM (SELECT station_id, timestamp, count(pm25) OVER w AS n, avg(pm25) OVER w AS m FROM obs_grid WINDOW w AS ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))""",
     ),
 )
 def _(spark, sf):
-    return windows.alert_label(v.obs_grid(spark, sf), min_periods=18, threshold=25.0).select(
+    return windows.alert_label(v.obs_grid(spark, sf), min_periods=18, threshold=50.0).select(
         "station_id", "timestamp", "window_n", "window_mean", "alert"
     )
 
@@ -65,18 +65,18 @@ def _(spark, sf):
     "gap_safe_label",
     v.sql(
         "obs_grid",
-        f"""SELECT l.station_id, l.timestamp, l.alert FROM (SELECT station_id, timestamp, CASE WHEN count(pm25) OVER w >= 18 THEN (round(avg(pm25) OVER w, 9) >= 25)::INT END AS alert FROM obs_grid WINDOW w AS ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) l
+        f"""SELECT l.station_id, l.timestamp, l.alert FROM (SELECT station_id, timestamp, CASE WHEN count(pm25) OVER w >= 18 THEN (round(avg(pm25) OVER w, 9) >= 50)::INT END AS alert FROM obs_grid WINDOW w AS ({_W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) l
         SEMI JOIN obs_hourly h ON l.station_id = h.station_id AND l.timestamp = h.timestamp""",
     ),
 )
 def _(spark, sf):
     """Evaluated on the observed rows directly: hour-based frames make the dense detour unnecessary."""
-    return windows.alert_label(v.obs_hourly(spark, sf), min_periods=18, threshold=25.0).select(
+    return windows.alert_label(v.obs_hourly(spark, sf), min_periods=18, threshold=50.0).select(
         "station_id", "timestamp", "alert"
     )
 
 
-_CFG = [(24, 24, 25.0), (24, 18, 25.0), (24, 12, 25.0), (12, 9, 25.0), (48, 24, 24.0)]
+_CFG = [(24, 24, 50.0), (24, 18, 50.0), (24, 12, 50.0), (12, 9, 50.0), (48, 24, 45.0)]
 
 
 def _sens_sql(part):
