@@ -310,7 +310,7 @@ def _(spark, sf):
     v.sql(
         "obs_grid",
         """SELECT station_id, split, count(*) AS n_rows, count(pm25) AS n_observed, count(*) FILTER (pm25 > 100) AS n_severe, round(100.0 * count(*) FILTER (pm25 > 100) / count(*), 6) AS severe_pct_rows, round(100.0 * count(*) FILTER (pm25 > 100) / nullif(count(pm25), 0), 6) AS severe_pct_observed,
-        count(alert) AS n_labelled, coalesce(sum(alert), 0)::BIGINT AS n_alert, round(100.0 * sum(alert) / count(*), 6) AS alert_pct_rows, round(100.0 * sum(alert) / nullif(count(alert), 0), 6) AS alert_pct_labelled FROM lab GROUP BY ALL""",
+        count(alert) AS n_labelled, coalesce(sum(alert), 0)::BIGINT AS n_alert, round(100.0 * coalesce(sum(alert), 0) / count(*), 6) AS alert_pct_rows, round(100.0 * sum(alert) / nullif(count(alert), 0), 6) AS alert_pct_labelled FROM lab GROUP BY ALL""",
         LABELLED,
     ),
 )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalar as fn
 from ..operators import clean, grid, quality
+from ..session import written
 from . import query, views as v
 from .joins import PERIODS_SQL
 from .sequences import INTERP, _SPLIT, split_grid
@@ -162,7 +163,8 @@ _GRID_BASE = "base AS (SELECT * FROM obs_grid)"
 )
 def _(spark, sf):
     raw = v.obs_clean(spark, sf).select("station_id", "timestamp", F.col("pm25").alias("value"))
-    return quality.period_quality_table(v.obs_grid(spark, sf), raw).select(
+    # the grid feeds a dozen sub-plans, so it is written once
+    return quality.period_quality_table(written(v.obs_grid(spark, sf), "grid"), raw).select(
         "station_id",
         "period_type",
         "period",
@@ -470,7 +472,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Published rows with two planted errors, one per period type."""
-    q = quality.period_quality_table(v.obs_grid(spark, sf))
+    q = quality.period_quality_table(written(v.obs_grid(spark, sf), "grid"))
     broken = q.withColumns(
         {
             "missing_hours": F.col("missing_hours") + F.when(F.col("period_type") == "year", 1).otherwise(0),

@@ -274,6 +274,14 @@ def normalised_text(c: str | Column) -> Column:
 # --- moments ------------------------------------------------------------------
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over complete pairs; NULL where a side is constant."""
+    x, y = _c(x), _c(y)
+    xs, ys = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    varies = (F.min(xs) < F.max(xs)) & (F.min(ys) < F.max(ys))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(xs) * F.stddev_pop(ys)))
+
+
 def sample_skewness(c: str | Column) -> Column:
     """Bias-corrected skewness G1; NULL below three values."""
     c = _c(c)

@@ -297,14 +297,17 @@ def class_counts(train: DataFrame) -> tuple[int, int]:
 
 
 def model_scores(frame: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 8, c: float = 1.0) -> DataFrame:
-    """Test scores of the four models for one scope, as a long table."""
+    """Test scores of the four models for one scope, as a long table.
+
+    Train rows of a single class leave only the two baselines.
+    """
     ready = prepared(frame, features).persist()
     train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
     n, pos = class_counts(train)
-    if pos == 0 or pos == n:
-        raise ValueError("train rows hold a single class")
-    parts = [
-        baseline_scores(frame),
+    parts = [baseline_scores(frame)]
+    if pos in (0, n):
+        return parts[0]
+    parts += [
         score_model(fit_model(train, features, logistic(c, n)), test, features, "logistic"),
         score_model(fit_model(train, features, forest(trees, depth)), test, features, "forest"),
     ]
@@ -415,6 +418,8 @@ def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence
             classifier_metrics(scored, ["model"], threshold)
             .withColumns({"spec": F.lit(name), "horizon": F.lit(horizon).cast("long"), "n_train": F.lit(n).cast("long")})
         )
+    if not parts:
+        raise ValueError("no specification has enough train rows of both classes")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -207,7 +207,7 @@ def sampling_profile(df: DataFrame) -> DataFrame:
         F.avg("step_hours").alias("mean_step"),
         F.min("step_hours").alias("min_step"),
         F.max("step_hours").alias("max_step"),
-        (100.0 * F.count_if(F.col("step_hours") == 1) / F.count("step_hours")).alias("exact_hour_pct"),
+        F.try_divide(100.0 * F.count_if(F.col("step_hours") == 1), F.count("step_hours")).alias("exact_hour_pct"),
         F.count_if(F.col("step_hours") != 1).alias("n_irregular"),
     )
     return stats.join(med, S.STATION, "left")

@@ -96,12 +96,12 @@ def overlap_coverage(left: DataFrame, right: DataFrame, key: str, columns: Seque
         F.sum(F.coalesce("_na", F.lit(0))).alias("n_left"),
         F.sum(F.coalesce("_nb", F.lit(0))).alias("n_right"),
         F.sum(rows).alias("n_overlap"),
-        (100.0 * F.count_if(inner) / F.count("_na")).alias("overlap_pct"),
+        F.try_divide(100.0 * F.count_if(inner), F.count("_na")).alias("overlap_pct"),
         (F.sum(rows) > F.greatest(F.sum(F.coalesce("_na", F.lit(0))), F.sum(F.coalesce("_nb", F.lit(0))))).alias(
             "row_explosion"
         ),
         *[
-            (100.0 - 100.0 * F.sum(F.when(inner, F.col(f"_ok_{c}") * F.col("_na"))) / F.sum(rows)).alias(
+            (100.0 - F.try_divide(100.0 * F.sum(F.when(inner, F.col(f"_ok_{c}") * F.col("_na"))), F.sum(rows))).alias(
                 f"missing_pct_{c}"
             )
             for c in columns

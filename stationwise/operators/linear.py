@@ -75,9 +75,9 @@ def line_diagnostics(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[st
     base = moved.groupBy(*keys).agg(
         F.count(e).alias("n"),
         F.avg(e).alias("resid_mean"),
-        F.corr("resid", "fitted").alias("resid_fitted_corr"),
-        (F.sum(F.pow(e - F.col("_l1"), 2)) / F.sum(e * e)).alias("durbin_watson"),
-        *[(F.sum(e * F.col(f"_l{l}")) / F.sum(e * e)).alias(f"acf_{l}") for l in lags],
+        fn.safe_corr("resid", "fitted").alias("resid_fitted_corr"),
+        F.try_divide(F.sum(F.pow(e - F.col("_l1"), 2)), F.sum(e * e)).alias("durbin_watson"),
+        *[F.try_divide(F.sum(e * F.col(f"_l{l}")), F.sum(e * e)).alias(f"acf_{l}") for l in lags],
         F.skewness(e).alias("skewness"),
         F.kurtosis(e).alias("kurtosis"),
     )
@@ -91,14 +91,14 @@ def line_diagnostics(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[st
     squared = rows.withColumn("_e2", e * e)
     bp = ols(squared, keys, "_e2", xs).select(*keys, (F.col("n") * F.col("r2")).alias("breusch_pagan"))
     spread = rows.groupBy(*keys).agg(F.avg("fitted").alias("_fm"), F.stddev_samp("fitted").alias("_fs"))
-    powers = rows.join(spread, keys).withColumn("_z", (F.col("fitted") - F.col("_fm")) / F.col("_fs"))
+    powers = rows.join(spread, keys).withColumn("_z", F.try_divide(F.col("fitted") - F.col("_fm"), F.col("_fs")))
     powers = powers.withColumns({"_z2": F.col("_z") ** 2, "_z3": F.col("_z") ** 3}).select(*keys, y, *xs, "_z2", "_z3", "sse")
     out = base.join(bp, keys)
     sse0 = powers.groupBy(*keys).agg(F.max("sse").alias("_sse0"))
     for p, extra in ((2, ["_z2"]), (3, ["_z2", "_z3"])):
         q, k = len(extra), len(xs) + len(extra)
         aux = ols(powers, keys, y, [*xs, *extra]).join(sse0, keys)
-        f = ((F.col("_sse0") - F.col("sse")) / q) / (F.col("sse") / (F.col("n") - k))
+        f = F.try_divide((F.col("_sse0") - F.col("sse")) / q, F.try_divide(F.col("sse"), F.col("n") - k))
         aux = aux.select(*keys, f.alias(f"reset{p}_f"), (F.col("n") - k).alias("_dof"))
         if p_values:
             aux = aux.withColumn(f"reset{p}_p", dist.f_sf(F.col(f"reset{p}_f"), q, F.col("_dof")))
@@ -136,8 +136,8 @@ def influence_rows(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]
             h = h + F.col("inv")[i * k + j] * F.col(xs[i]).cast("double") * F.col(xs[j]).cast("double")
     rows = rows.withColumns({"resid": F.col(y) - F.col("fitted"), "leverage": h})
     e, hh, dof = F.col("resid"), F.col("leverage"), F.col("n") - k
-    s2 = F.col("sse") / dof
-    s2_out = (F.col("sse") - e * e / (1 - hh)) / (dof - 1)
+    s2 = F.try_divide(F.col("sse"), dof)
+    s2_out = F.try_divide(F.col("sse") - F.try_divide(e * e, 1 - hh), dof - 1)
     return rows.withColumns(
         {
             "studentized": F.try_divide(e, F.sqrt(F.greatest(s2_out * (1 - hh), F.lit(0.0)))),
@@ -208,7 +208,7 @@ def regression_metrics(scored: DataFrame, keys: Sequence[str], y: str = "y", pre
         F.max(p).alias("_p"),
         F.avg(F.abs(err)).alias("mae"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.sum(err * err) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
+        (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count(F.lit(1)))).alias("r2"),
         F.avg(err).alias("bias"),
     )
     return agg.withColumn(
@@ -421,7 +421,7 @@ def stratified_stability(df: DataFrame, y: str, features: Sequence[str], lag: in
     coefs = rows.withColumn("p_value", dist.norm_two_sided(F.col("t"))).filter("term <> 'one'")
     resid = residual_rows(long, y, xs, k).select(*k, "rn", "resid")
     moved = windowed(resid, k, "rn", {"_prev": lambda w: F.max("resid").over(w.rangeBetween(-1, -1))}, back=1)
-    dep = moved.groupBy(*k).agg(F.corr("resid", "_prev").alias("rho1"))
+    dep = moved.groupBy(*k).agg(fn.safe_corr("resid", "_prev").alias("rho1"))
     eff = F.greatest(F.lit(1.0), F.col("n") * (1 - F.col("rho1")) / F.greatest(F.lit(1e-6), 1 + F.col("rho1")))
     out = coefs.join(dep, k).withColumn("n_effective", eff)
     status = (

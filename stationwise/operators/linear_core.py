@@ -99,7 +99,7 @@ def predicted(xs: Sequence[str], beta: Column | str = "beta") -> Column:
 def coefficient_rows(fit: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """One row per coefficient with the classic standard error."""
     k = len(xs)
-    s2 = F.col("sse") / (F.col("n") - k)
+    s2 = F.try_divide(F.col("sse"), F.col("n") - k)
     cells = [
         F.struct(
             F.lit(x).alias("term"),
@@ -193,7 +193,7 @@ def hac_fit(
     scores = {f"_s{i}": F.col(x).cast("double") * u for i, x in enumerate(xs)}
     scored = narrow.select(*keys, order, "n", *[c.alias(s) for s, c in scores.items()])
     meat = hac_meat(scored, keys, order, list(scores), lags, size=size)
-    scale = F.col("n") / (F.col("n") - F.col("k")) if small_sample else F.lit(1.0)
+    scale = F.coalesce(F.try_divide("n", F.col("n") - F.col("k")), F.lit(1.0)) if small_sample else F.lit(1.0)
     return meat.join(fit, list(keys)).withColumn("cov", _sandwich("inv", "meat", scale.cast("double"))).drop("meat")
 
 

@@ -146,7 +146,7 @@ def weighted_corr(x: Column, y: Column, w: Column) -> Column:
     n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
     sxy, sxx, syy = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y)
     den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), (n * sxy - sx * sy) / den)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(n * sxy - sx * sy, den))
 
 
 def correlation_matrix(df: DataFrame, variables: Sequence[str], row_key: Sequence[str] = (S.STATION, S.TIME)) -> DataFrame:
@@ -163,7 +163,7 @@ def correlation_matrix(df: DataFrame, variables: Sequence[str], row_key: Sequenc
     names = list(combinations(variables, 2))
     out = []
     for frame, label in ((complete, "pearson"), (ranked, "spearman")):
-        wide = frame.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in names])
+        wide = frame.agg(*[fn.safe_corr(a, b).alias(f"{a}__{b}") for a, b in names])
         rows = {f"{a}|{b}": {"corr": f"{a}__{b}"} for a, b in names}
         out.append(stacked(wide, rows, "pair").withColumn("method", F.lit(label)))
     return out[0].unionByName(out[1])
@@ -212,14 +212,14 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int = 20) ->
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     binned = df.filter(F.col(value).isNotNull()).join(span, list(keys)).withColumn(
-        "bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("long")
+        "bin", F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("_lo"), width)), F.lit(bins - 1)), F.lit(0)).cast("long")
     )
     return binned.groupBy(*keys, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("n")).select(
         *keys,
         "bin",
         (F.col("_lo") + F.col("bin") * width).alias("left_edge"),
         "n",
-        (F.col("n") / (F.col("_n") * width)).alias("density"),
+        F.try_divide("n", F.col("_n") * width).alias("density"),
     )
 
 
@@ -240,13 +240,13 @@ def kde_density(df: DataFrame, keys: Sequence[str], value: str, points: int = 32
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     at = lambda i: F.col("_lo") + step * i
     dens = [
-        F.sum(F.col("_c") * F.exp(-0.5 * F.pow((at(i) - F.col(value)) / F.col("_h"), 2))).alias(f"_d{i}")
+        F.sum(F.col("_c") * F.exp(-0.5 * F.pow(F.try_divide(at(i) - F.col(value), F.col("_h")), 2))).alias(f"_d{i}")
         for i in range(points)
     ]
     wide = joined.groupBy(*keys, "_lo", "_hi", "_n", "_h").agg(*dens)
     norm = F.col("_n") * F.col("_h") * F.sqrt(2 * F.pi())
     cells = [
-        F.struct(F.lit(i).cast("long").alias("point"), at(i).alias("x"), (F.col(f"_d{i}") / norm).alias("density"))
+        F.struct(F.lit(i).cast("long").alias("point"), at(i).alias("x"), F.try_divide(f"_d{i}", norm).alias("density"))
         for i in range(points)
     ]
     return wide.select(*keys, F.explode(F.array(*cells)).alias("_r")).select(*keys, "_r.*")

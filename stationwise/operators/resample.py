@@ -216,7 +216,7 @@ def null_imposed_location(calendar: DataFrame, mu: float, statistic: str, n_boot
     if mean:
         stats = replicate_t(reps, keys)
         obs = calendar.groupBy(*keys).agg(
-            ((F.avg("value") - mu) / (F.stddev_samp("value") / F.sqrt(F.count("value")))).alias("observed")
+            F.try_divide((F.avg("value") - mu) * F.sqrt(F.count("value")), F.stddev_samp("value")).alias("observed")
         )
     else:
         stats = replicate_w(reps, keys)

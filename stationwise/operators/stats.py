@@ -107,8 +107,7 @@ def autocorrelation(
     for l in lags:
         x = F.when(F.col(f"_l{l}").isNotNull(), F.col(value))
         z = F.when(F.col(value).isNotNull(), F.col(f"_l{l}"))
-        usable = (F.count(x) >= 3) & (F.min(x) < F.max(x)) & (F.min(z) < F.max(z))
-        aggs += [F.count(F.when(z.isNotNull(), x)).alias(f"_n{l}"), F.when(usable, F.corr(x, z)).alias(f"_r{l}")]
+        aggs += [F.count(x).alias(f"_n{l}"), F.when(F.count(x) >= 3, fn.safe_corr(x, z)).alias(f"_r{l}")]
     wide = moved.groupBy(*keys).agg(*aggs)
     cells = [
         F.struct(F.lit(l).cast("long").alias("lag"), F.col(f"_n{l}").alias("n_pairs"), F.col(f"_r{l}").alias("rho"))
@@ -120,11 +119,15 @@ def autocorrelation(
 def effective_n(df: DataFrame, value: str = "value", keys: Sequence[str] = KEYS, pos: str = "pos") -> DataFrame:
     """n shrunk by lag-1 dependence; a constant series counts as almost perfectly dependent."""
     rho = autocorrelation(df, [1], value, keys, pos).select(*keys, "rho")
-    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    r = F.least(F.coalesce("rho", F.lit(0.999999)), F.lit(0.999999))
-    eff = F.col("n") * (1 - F.col("rho_lag1")) / (1 + F.col("rho_lag1"))
-    return n.join(rho, list(keys), "left").withColumn("rho_lag1", r).drop("rho").withColumn("n_effective", eff).withColumn(
-        "inflation_factor", F.col("n") / F.col("n_effective")
+    n = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), ((F.count(value) >= 3) & (F.min(value) == F.max(value))).alias("_constant")
+    )
+    r = F.least(F.when(F.col("_constant"), 0.999999).otherwise(F.col("rho")), F.lit(0.999999))
+    r = F.when(F.col("_constant") | F.col("rho").isNotNull(), r)
+    eff = F.try_divide(F.col("n") * (1 - F.col("rho_lag1")), 1 + F.col("rho_lag1"))
+    joined = n.join(rho, list(keys), "left").withColumn("rho_lag1", r).drop("rho", "_constant")
+    return joined.withColumn("n_effective", eff).withColumn(
+        "inflation_factor", F.try_divide("n", "n_effective")
     )
 
 
@@ -148,13 +151,13 @@ def min_detectable_difference(
 ) -> DataFrame:
     m = two_group_moments(df, group, a, b, value, keys)
     n1, n2 = F.col("n_a"), F.col("n_b")
-    pooled = F.sqrt(((n1 - 1) * F.col("var_a") + (n2 - 1) * F.col("var_b")) / (n1 + n2 - 2))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * F.col("var_a") + (n2 - 1) * F.col("var_b"), n1 + n2 - 2))
     return m.select(
         *keys,
         "n_a",
         "n_b",
         pooled.alias("pooled_sd"),
-        ((z_alpha + z_power) * pooled * F.sqrt(1.0 / n1 + 1.0 / n2)).alias("mde"),
+        ((z_alpha + z_power) * pooled * F.sqrt(F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))).alias("mde"),
     )
 
 
@@ -205,9 +208,9 @@ def mann_whitney(df: DataFrame, group: str, a, b, value: str = "value", keys: Se
             "mean_difference": F.col("mean_a") - F.col("mean_b"),
         }
     )
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.try_divide("_ties", n * (n - 1))))
     big = F.greatest(F.col("u"), na * nb - F.col("u"))
-    z = (big - na * nb / 2 - 0.5) / sd
+    z = F.try_divide(big - na * nb / 2 - 0.5, sd)
     out = out.withColumn("z", z).drop("_ra", "_ties", "_n")
     return out.withColumn("p_value", dist.norm_two_sided(F.greatest(F.col("z"), F.lit(0.0)))) if p_values else out
 
@@ -226,12 +229,15 @@ def kruskal_wallis(df: DataFrame, group: str, value: str = "value", keys: Sequen
             F.max("n").alias("n"),
             F.max("tie_sum").alias("_ties"),
         )
-        .withColumn("h", (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n)))
+        .withColumn(
+            "h",
+            F.try_divide(12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - F.try_divide("_ties", n * n * n - n)),
+        )
     )
     out = out.withColumns(
         {
             "df": F.col("n_groups") - 1,
-            "epsilon_squared": F.least(F.greatest(F.col("h") / (n - 1), F.lit(0.0)), F.lit(1.0)),
+            "epsilon_squared": F.least(F.greatest(F.try_divide("h", n - 1), F.lit(0.0)), F.lit(1.0)),
         }
     ).drop("_s", "_ties")
     return out.withColumn("p_value", dist.chi2_sf(F.col("h"), F.col("df"))) if p_values else out
@@ -264,7 +270,7 @@ def signed_rank(df: DataFrame, mu: float, value: str = "value", keys: Sequence[s
         }
     )
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_ties") / 2) / 24)
-    out = out.withColumn("z", (F.col("w") - n * (n + 1) / 4) / se).drop("_ties")
+    out = out.withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, se)).drop("_ties")
     return out.withColumn("p_value", dist.norm_two_sided(F.col("z"))) if p_values else out
 
 
@@ -272,11 +278,11 @@ def one_sample_t(df: DataFrame, mu: float, value: str = "value", keys: Sequence[
     out = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
-    se = F.col("sd") / F.sqrt("n")
+    se = F.try_divide("sd", F.sqrt("n"))
     out = out.withColumns(
         {
-            "t": (F.col("mean") - mu) / se,
-            "cohen_d": (F.col("mean") - mu) / F.col("sd"),
+            "t": F.try_divide(F.col("mean") - mu, se),
+            "cohen_d": F.try_divide(F.col("mean") - mu, F.col("sd")),
             "mean_difference": F.col("mean") - mu,
         }
     )
@@ -296,9 +302,12 @@ def one_sample_t(df: DataFrame, mu: float, value: str = "value", keys: Sequence[
 def welch(df: DataFrame, flag: str, keys: Sequence[str], value: str, p_values: bool = False) -> DataFrame:
     """Mean difference flag 1 - flag 0 per stratum with Welch's t and degrees of freedom."""
     m = two_group_moments(df, flag, 1, 0, value, keys)
-    va, vb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
+    va, vb = F.try_divide("var_a", "n_a"), F.try_divide("var_b", "n_b")
     se = F.sqrt(va + vb)
-    dof = (va + vb) * (va + vb) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))
+    dof = F.try_divide(
+        (va + vb) * (va + vb),
+        F.try_divide(va * va, F.col("n_a") - 1) + F.try_divide(vb * vb, F.col("n_b") - 1),
+    )
     out = m.filter((F.col("n_a") > 1) & (F.col("n_b") > 1)).select(
         *keys,
         F.col("n_a").alias("n_flagged"),
@@ -306,7 +315,7 @@ def welch(df: DataFrame, flag: str, keys: Sequence[str], value: str, p_values: b
         (F.col("mean_a") - F.col("mean_b")).alias("difference"),
         se.alias("se"),
         dof.alias("dof"),
-        ((F.col("mean_a") - F.col("mean_b")) / se).alias("t"),
+        F.try_divide(F.col("mean_a") - F.col("mean_b"), se).alias("t"),
     )
     if not p_values:
         return out
@@ -425,13 +434,16 @@ def interaction_f_test(df: DataFrame, flag: str, stratum: str, value: str, keys:
     )
     out = agg.filter(F.col("smallest_cell") >= min_cell).withColumns(
         {
-            "additive_effect": F.col("_wd") / F.col("_w"),
+            "additive_effect": F.try_divide("_wd", "_w"),
             "df1": F.col("n_strata") - 1,
             "df2": F.col("n") - 2 * F.col("n_strata"),
         }
-    ).withColumn("sse_additive", F.col("sse_full") + F.col("_wdd") - F.col("_wd") * F.col("_wd") / F.col("_w"))
+    ).withColumn("sse_additive", F.col("sse_full") + F.col("_wdd") - F.try_divide(F.col("_wd") * F.col("_wd"), F.col("_w")))
     out = out.withColumn(
-        "f", ((F.col("sse_additive") - F.col("sse_full")) / F.col("df1")) / (F.col("sse_full") / F.col("df2"))
+        "f",
+        F.try_divide(
+            F.try_divide(F.col("sse_additive") - F.col("sse_full"), F.col("df1")), F.try_divide("sse_full", "df2")
+        ),
     ).drop("_w", "_wd", "_wdd")
     return out.withColumn("p_value", dist.f_sf(F.col("f"), F.col("df1"), F.col("df2"))) if p_values else out
 
@@ -467,7 +479,7 @@ def stratum_contrasts(df: DataFrame, flag: str, stratum: str, value: str, keys:
         "n1",
         "n0",
         effect.alias("effect"),
-        F.sqrt(F.col("_sse") / F.col("_df") * (F.try_divide(F.lit(1.0), "n1") + F.try_divide(F.lit(1.0), "n0"))).alias("se"),
+        F.sqrt(F.try_divide("_sse", "_df") * (F.try_divide(F.lit(1.0), "n1") + F.try_divide(F.lit(1.0), "n0"))).alias("se"),
         (effect - rest).alias("double_difference"),
     )
 
@@ -505,6 +517,6 @@ def qq_points(df: DataFrame, value: str = "value", keys: Sequence[str] = KEYS, q
         value,
         "cnt",
         ((i - 0.375) / (F.col("n") + 0.25)).alias("blom"),
-        ((F.col(value) - F.col("_m")) / F.col("_s")).alias("z_sample"),
+        F.try_divide(F.col(value) - F.col("_m"), F.col("_s")).alias("z_sample"),
     )
     return out.withColumn("z_normal", dist.norm_ppf(F.col("blom"))) if quantile else out

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from .ranks import cumulative_counts
-from .sequence import CHUNK, hour_number, windowed
+from .sequence import CHUNK, CHUNK_ID, hour_number, windowed, with_halo
 
 
 def _hourly(df: DataFrame, columns, back: int, size: int) -> DataFrame:
@@ -62,21 +63,32 @@ def rolling_means(df: DataFrame, value: str = S.TARGET, windows=None, size: int
     return _hourly(df, cols, max(windows) - 1, size)
 
 
-def rolling_means_exact(df: DataFrame, hours: int, need: int, value: str = S.TARGET, size_seconds: int = 2048 * 3600) -> DataFrame:
-    """Trailing mean over (t - hours, t] for readings at any instant, to the microsecond."""
-    reach = hours * 3_600_000_000 - 1
-    keyed = df.withColumn("_us", F.unix_micros(S.TIME))
-    frame = lambda w: w.rangeBetween(-reach, 0)
-    return windowed(
-        keyed,
-        [S.STATION],
-        "_us",
-        {
-            f"rolling_{hours}h": lambda w: F.when(F.count(value).over(frame(w)) >= need, F.avg(value).over(frame(w)))
-        },
-        back=reach,
-        size=size_seconds * 1_000_000,
-    ).drop("_us")
+def rolling_means_exact(
+    df: DataFrame, hours: int, need: int, value: str = S.TARGET, size_hours: int = CHUNK
+) -> DataFrame:
+    """Trailing mean over (t - hours, t] for readings at any instant, to the microsecond.
+
+    Each reading enters the sum at its own time and leaves it `hours` later, so a
+    running sum of both events is the window sum: the cost does not depend on how
+    many readings a window holds. Sums restart in every chunk (from its halo),
+    which keeps rounding errors at the size of one chunk.
+    """
+    hour = 3_600_000_000
+    span, chunk = hours * hour, max(size_hours, hours) * hour
+    v = F.col(value)
+    haloed = with_halo(df.withColumn("_us", F.unix_micros(S.TIME)), "_us", span, 0, chunk)
+    seen = v.isNotNull().cast("int")
+    amount = F.coalesce(v, F.lit(0.0))
+    events = F.array(
+        F.struct(F.col("_us").alias("_at"), amount.alias("_v"), seen.alias("_c"), F.lit(True).alias("_enters")),
+        F.struct((F.col("_us") + span).alias("_at"), (-amount).alias("_v"), (-seen).alias("_c"), F.lit(False).alias("_enters")),
+    )
+    flow = haloed.withColumn("_e", F.explode(events)).select(*df.columns, CHUNK_ID, "_home", "_e.*")
+    upto = W.partitionBy(S.STATION, CHUNK_ID).orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    sums = flow.withColumns({"_n": F.sum("_c").over(upto), "_t": F.sum("_v").over(upto)})
+    return sums.filter("_home and _enters").select(
+        *df.columns, F.when(F.col("_n") >= need, F.col("_t") / F.col("_n")).alias(f"rolling_{hours}h")
+    )
 
 
 def past_features(
