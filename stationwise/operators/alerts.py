@@ -239,7 +239,7 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep").transform(df)
 
 
-def logistic(c: float = 1.0, n_train: int = 1, max_iter: int = 200) -> LogisticRegression:
+def logistic(c: float = 1.0, n_train: int = 1, max_iter: int = 100) -> LogisticRegression:
     """L2 logistic regression whose penalty equals an inverse strength of c on summed weights."""
     return LogisticRegression(
         featuresCol="_x",
@@ -249,7 +249,7 @@ def logistic(c: float = 1.0, n_train: int = 1, max_iter: int = 200) -> LogisticR
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-9,
+        tol=1e-6,
     )
 
 
