@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import chat_trees, decontaminate, segment_bpe, token_counts, url_filter
+from . import chat_trees, decontaminate, jaccard_join, quality_rank, segment_bpe, token_counts, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_jaccard_join")
+def op1(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: host, path, verdict of the rules of op2
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -78,6 +84,27 @@ def op3(spark, sf_dir):
     return chat_trees.read_back(chat_trees.format_paths(nodes)).withColumnRenamed("tree", "conv_id").drop("leaf")
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_rank.RankModel:
+    """Fitted on labels of documents whose crc32(doc_id as text) mod 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return quality_rank.fit(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op4_quality_rank")
+def op4(spark, sf_dir):
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"))
+    return quality_rank.score_documents(docs, quality_model(spark, sf_dir))
+
+
+@query("op5_token_files")
+def op5(spark, sf_dir):
+    """Every document's ids written to files and read back by key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return files.read_back(docs.select("doc_id"))
+
+
 @query("op6_token_counts")
 def op6(spark, sf_dir):
     """Token counts of every document."""
