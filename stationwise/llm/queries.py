@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import chat_trees, decontaminate, jaccard_join, quality_rank, segment_bpe, token_counts, token_files, url_filter
+from . import chat_trees, decontaminate, jaccard_join, learned_partitions, pii_bootstrap, quality_rank, segment_bpe, token_counts, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,6 +135,24 @@ def op7(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op8_learned_partitions")
+def op8(spark, sf_dir):
+    """The 20 nearest of every 20th vector."""
+    return learned_partitions.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_pii_bootstrap")
+def op9(spark, sf_dir):
+    """Personal data in every document."""
+    found = pii_bootstrap.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count, pii_bootstrap.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii_bootstrap.span_text(F.col("base")), 256).alias("base_sha256"), pii_bootstrap.span_text(F.col("spans")).alias("spans"))
+
+
 @query("op10_segment_bpe")
 def op10(spark, sf_dir):
     """Byte-level BPE of every document, and back."""
