@@ -114,18 +114,28 @@ class Rule:
         return np.array(starts)
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Bitmap of a set: the low bits of each shingle's hash number a bit."""
+    bits = min(BITS_MOST, max(64, 1 << (BITS_PER * max(len(tokens), 1) - 1).bit_length()))
+    flags = np.zeros(bits, bool)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def bitmap_matrix(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of sets as rows; longer ones are folded to the shortest, half on half."""
+    words = min(len(m) for m in maps) // 8
+    out = np.zeros((len(maps), words), np.uint64)
+    for k, m in enumerate(maps):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
 class SignatureTree:
-    """Sets under nodes that hold the OR of their bitmaps, their sizes' range, and most shingles beyond one a bit."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
-        bits = min(BITS_MOST, max(64, 1 << (int(BITS_PER * self.n.max()) - 1).bit_length()))
-        maps = np.zeros((len(sets), bits // 64), np.uint64)
-        bit = np.concatenate(sets) & np.uint64(bits - 1)
-        row = np.repeat(np.arange(len(sets)), self.n)
-        np.bitwise_or.at(maps, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-        excess = self.n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, self.n, excess)]
+    """Sets under nodes that hold the OR of their bitmaps, the least size, and most shingles beyond one a bit."""
+
+    def __init__(self, maps: np.ndarray, n: np.ndarray):
+        self.levels = [(maps, n, n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, excess = self.levels[-1]
             at = np.arange(0, len(maps), FAN)
@@ -139,19 +149,19 @@ class SignatureTree:
         return most >= rule.least_overlap(low[i, None] + low[None, j])
 
 
-def tree_links(sets: list[np.ndarray], rule: Rule, own: np.ndarray, chunk: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that join all sets that matches join, without those between sets already joined.
+def tree_links(maps: list[bytes], n: np.ndarray, place: np.ndarray, rule: Rule, own: np.ndarray, chunk: np.ndarray, sets: list[np.ndarray] | None) -> Iterator[tuple[int, int]]:
+    """Links that join all that matches join, without those between sets already joined.
 
-    Only pairs with at least one `own` set count, and if there are two chunks, pairs across
-    them. The dual traversal starts with pairs of nodes at the top and descends to those
-    whose overlap bound suffices; pairs under one component are skipped.
+    Without `sets`, a match is what the bitmaps can't rule out. Only pairs with at least one
+    `own` set count, and if there are two chunks, pairs across them. `place` orders the
+    leaves. The dual traversal starts with the top node and itself and descends to node
+    pairs whose overlap bound suffices; pairs under one component are skipped.
     """
-    order = np.lexsort([[int(s[0]) for s in sets], chunk])
-    sets, own, chunk, back = [sets[k] for k in order], own[order], chunk[order], order
-    tree = SignatureTree(sets)
+    back = np.lexsort([place, chunk])
+    n, own, chunk = n[back], own[back], chunk[back]
+    tree = SignatureTree(bitmap_matrix([maps[k] for k in back]), n)
     across = len(np.unique(chunk)) > 1
-    group = np.arange(len(sets))
-    # sizes at which the other set is too large or too small are ruled out by the overlap bound: it is at most the smaller size
+    group = np.arange(len(n))
     stack = [(len(tree.levels) - 1, 0, 0)]
     while stack:
         level, i, j = stack.pop()
@@ -159,27 +169,78 @@ def tree_links(sets: list[np.ndarray], rule: Rule, own: np.ndarray, chunk: np.nd
         a, b = group[i * span : (i + 1) * span], group[j * span : (j + 1) * span]
         if a[0] == b[0] and (a == a[0]).all() and (b == b[0]).all():
             continue
-        if level:
-            below = len(tree.levels[level - 1][0])
-            si, sj = slice(i * FAN, min(below, (i + 1) * FAN)), slice(j * FAN, min(below, (j + 1) * FAN))
-            if level > 1:
-                for x, y in zip(*np.nonzero(tree.may_match(level - 1, si, sj, rule))):
-                    if si.start + x <= sj.start + y:
-                        stack.append((level - 1, si.start + x, sj.start + y))
-                continue
-        else:
-            si, sj = slice(0, 1), slice(0, 1)
+        below = len(tree.levels[level - 1][0])
+        si, sj = slice(i * FAN, min(below, (i + 1) * FAN)), slice(j * FAN, min(below, (j + 1) * FAN))
+        if level > 1:
+            for x, y in zip(*np.nonzero(tree.may_match(level - 1, si, sj, rule))):
+                if si.start + x <= sj.start + y:
+                    stack.append((level - 1, si.start + x, sj.start + y))
+            continue
         good = tree.may_match(0, si, sj, rule) & (group[si, None] != group[None, sj]) & (own[si, None] | own[None, sj])
-        good &= np.minimum(tree.n[si, None], tree.n[None, sj]) >= rule.least_overlap(tree.n[si, None] + tree.n[None, sj])
+        good &= np.minimum(n[si, None], n[None, sj]) >= rule.least_overlap(n[si, None] + n[None, sj])
         if across:
             good &= chunk[si, None] != chunk[None, sj]
         for x, y in zip(*np.nonzero(good)):
             x, y = int(si.start + x), int(sj.start + y)
             if x < y and group[x] != group[y]:
-                overlap = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if rule.den * overlap >= rule.num * (len(sets[x]) + len(sets[y]) - overlap):
-                    group[group == group[y]] = group[x]
-                    yield int(back[x]), int(back[y])
+                if sets is not None:
+                    one, two = sets[back[x]], sets[back[y]]
+                    overlap = len(np.intersect1d(one, two, assume_unique=True))
+                    if rule.den * overlap < rule.num * (len(one) + len(two) - overlap):
+                        continue
+                group[group == group[y]] = group[x]
+                yield int(back[x]), int(back[y])
+
+
+def block_links(members: DataFrame, facts: DataFrame, payload: DataFrame, rule: Rule, exact: bool) -> DataFrame:
+    """Links (a, b) between nodes of the same block, by a signature tree in each part of a block.
+
+    `members` has block and node, `facts` n and kind of each node, `payload` what a task needs of
+    it: low and map, or tokens if `exact`. A block is cut by size class (kind): a set also
+    visits the class below its own, to meet sets one class smaller. Parts of more than
+    CHUNK_SHINGLES shingles are cut to chunks, and each pair of chunks is a part.
+    """
+    visits = members.join(facts, "node").select("block", "node", "n", "kind", F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")).withColumn("kind", F.col("kind") - F.col("guest"))
+    totals = visits.groupBy("block", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.min("guest").alias("guest")).filter("rows > 1 and guest = 0")
+    visits = visits.join(totals.select("block", "kind", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks")), ["block", "kind"])
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    visits = visits.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    visits = visits.select("block", "kind", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "guest", "node")
+    by = ["block", "kind", "one", "two"]
+    parts = visits.join(payload, "node").repartition(*by).sortWithinPartitions(*by)
+
+    def link(batches):
+        held, now = {}, None
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in (*by, "node", "chunk", "guest")]
+            sent = [b.column(c) for c in (("tokens",) if exact else ("n", "low", "map"))]
+            found = []
+            for k, row in enumerate(zip(*cols)):
+                if row[:4] != now:
+                    found += part_links(held)
+                    held, now = {}, row[:4]
+                held[row[4]] = (*row[5:], *(c[k].as_py() for c in sent))
+            yield edges(found)
+        yield edges(part_links(held))
+
+    def part_links(held):
+        if len(held) < 2:
+            return []
+        names, rows = list(held), list(zip(*held.values()))
+        chunk, guest = np.array(rows[0]), np.array(rows[1])
+        if guest.all():
+            return []
+        if exact:
+            sets = [np.frombuffer(t, np.uint64) for t in rows[2]]
+            n, low, maps = np.array([len(t) for t in sets]), np.array([int(t[0]) for t in sets], np.uint64), [signature(t) for t in sets]
+        else:
+            sets, n, low, maps = None, np.array(rows[2]), np.array(rows[3]), list(rows[4])
+        return [(names[x], names[y]) for x, y in tree_links(maps, n, low, rule, guest == 0, chunk, sets)]
+
+    def edges(found):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return parts.mapInArrow(link, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,9 +274,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
        among their first few (prefix filter), so those are shuffled, and each shingle's
        nodes join the block of their smallest node. A shingle is in a document once, so
        the most common of them is a small share of the rows.
-    3. Each block is cut by size class, and where large by chunk pairs, and each part builds a
-       signature tree whose dual traversal yields links between nodes not yet joined.
-    4. Connected components of the links, by stars, in written rounds.
+    3. In each block, cut by size class and where large by chunk pairs, the dual traversal of
+       a signature tree over bitmaps joins all pairs that the bitmaps can't rule out.
+    4. The components of these bring their whole sets together, again in parts with a
+       tree each, whose traversal now verifies pairs that aren't joined yet exactly.
+    5. Connected components of the verified links, by stars, in written rounds.
 
     Null and empty texts have no shingles and stand alone. Null keys take no part as
     smallest; a document without a key has its component's. Rows of one key with
@@ -225,25 +288,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rule = Rule(num, den)
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
+    starts = rule.class_starts(1 << 40)
+
     def sign(batches):
-        """A row per document, and one per shingle that several sets of a batch share."""
+        """A row per document (with the bitmap of each set once in a task), and one per shingle that several sets of a batch share."""
+        known = set()
         for b in batches:
-            n, nodes, seen, parts = [], [], set(), [np.zeros(0, np.uint64)]
+            n, nodes, low, maps, seen, parts = [], [], [], [], set(), [np.zeros(0, np.uint64)]
             for s in shingle_sets(b.column("text"), size):
-                node = node_of(s)
+                node = node_of(s) if len(s) else None
+                new = len(s) and node not in known
+                known.add(node)
                 n.append(len(s))
-                nodes.append(node if len(s) else None)
+                nodes.append(node)
+                low.append(int(s[:1].view(np.int64)[0]) if new else None)
+                maps.append(signature(s) if new else None)
                 if node not in seen:
                     seen.add(node)
                     parts.append(s)
             token, count = np.unique(np.concatenate(parts), return_counts=True)
             token, count = token[count > 1], count[count > 1]
-            none = pa.nulls(len(token), pa.int64())
+            kind = pa.array(np.searchsorted(starts, n, "right").astype(np.int64))
             no_token = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), no_token, no_token], names=SIGNED)
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token.view(np.int64)), pa.array(count)], names=SIGNED)
+            docs_ = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), kind, pa.array(low, pa.int64()), pa.array(maps, pa.binary()), no_token, no_token]
+            yield pa.RecordBatch.from_arrays(docs_, names=SIGNED)
+            none = [pa.nulls(len(token), c.type) for c in docs_[:6]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(token.view(np.int64)), pa.array(count)], names=SIGNED)
 
-    signed = written(src.mapInArrow(sign, ", ".join(f"{c} long" for c in SIGNED)), "signed")
+    signed = written(src.mapInArrow(sign, ", ".join(f"{c} {'binary' if c == 'map' else 'long'}" for c in SIGNED)), "signed")
     own = signed.filter("n is not null").select("doc_id", "n", "node")
     least = max(COMMON_LEAST, own.filter("node is not null").count() // COMMON_PART)
     common = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("token")
@@ -283,64 +355,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = src.mapInArrow(firsts, "token long, node long").repartition("token").sortWithinPartitions("token", "node")
     members = written(shared.mapInArrow(meet, "block long, node long").distinct(), "members")
 
-    # one document of each node in a block brings its whole set
-    some = own.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "n")).alias("d")).select(F.col("d.doc_id").alias("doc_id"))
-    starts = rule.class_starts(1 << 40)
+    facts = signed.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("kind").alias("kind"))
+    bitmaps = signed.filter("map is not null").select("node", "n", "low", "map")  # again in another task is harmless
+    likely = components(block_links(members, facts, bitmaps, rule, exact=False))
 
-    def whole(batches):
-        for b in batches:
-            sets = list(shingle_sets(b.column("text"), size))
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
-            nodes = pa.array([node_of(s) for s in sets], pa.int64())
-            kind = pa.array(np.searchsorted(starts, n, "right").astype(np.int32))
-            out = pa.RecordBatch.from_arrays([nodes, pa.array(n), kind, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "kind", "tokens"])
-            yield out.filter(pa.array(n > 0))
-
-    sets = src.join(some.filter("doc_id is not null").distinct(), "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, n long, kind int, tokens binary")
-    sets = written(sets, "sets")
-    sizes = sets.select("node", "n", "kind").dropDuplicates(["node"])
-    # a set also visits the class below its own, to meet sets one class smaller
-    visits = members.join(sizes, "node").select("block", "node", "n", "kind", F.explode(F.array(F.lit(0), F.lit(1))).alias("guest")).withColumn("kind", F.col("kind") - F.col("guest"))
-    totals = visits.groupBy("block", "kind").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), F.min("guest").alias("guest")).filter("rows > 1 and guest = 0")
-    visits = visits.join(totals.select("block", "kind", F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("chunks")), ["block", "kind"])
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    visits = visits.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    visits = visits.select("block", "kind", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "guest", "node")
-    by = ["block", "kind", "one", "two"]
-    parts = visits.join(sets.select("node", "tokens"), "node").repartition(*by).sortWithinPartitions(*by)
+    # one document of each node that has a likely partner brings its whole set
+    some = own.join(likely.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct()
 
-    def link(batches):
-        held, now = [], None
+    def whole(batches):
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in (*by, "chunk", "guest", "node")]
-            tokens = b.column("tokens")
-            found = []
-            for k, row in enumerate(zip(*cols)):
-                if row[:4] != now:
-                    found += part_links(held)
-                    held, now = [], row[:4]
-                held.append((*row[4:], np.frombuffer(tokens[k].as_buffer(), np.uint64).copy()))
-            yield edges(found)
-        yield edges(part_links(held))
-
-    def part_links(held):
-        distinct = {node: (chunk, guest, s) for chunk, guest, node, s in held}
-        if len(distinct) < 2 or all(g for _, g, _ in distinct.values()):
-            return []
-        names = list(distinct)
-        chunk, guest = (np.array([distinct[x][k] for x in names]) for k in (0, 1))
-        return [(names[x], names[y]) for x, y in tree_links([distinct[x][2] for x in names], rule, guest == 0, chunk)]
-
-    def edges(found):
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            sets = [s for s in shingle_sets(b.column("text"), size) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
-    roots = components(parts.mapInArrow(link, "a long, b long"))
+    sets = src.join(some, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, tokens binary")
+    roots = components(block_links(likely.withColumnRenamed("root", "block"), facts, sets, rule, exact=True))
     named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-SIGNED = ["doc_id", "n", "node", "token", "count"]
+SIGNED = ["doc_id", "n", "node", "kind", "low", "map", "token", "count"]
 
 
 def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
