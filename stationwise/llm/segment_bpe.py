@@ -18,8 +18,6 @@ from .text_units import Runs, UnitEncoder, gather
 NONE = np.iinfo(np.int64).max
 #: Cells of the trees that are worked on together.
 CELLS = 1 << 19
-#: Pieces whose ids a worker keeps before it starts anew; bounds memory, never results.
-PIECE_LIMIT = 200_000
 
 
 class SegmentTreeBpe:
@@ -50,7 +48,6 @@ class SegmentTreeBpe:
         self.starts = np.cumsum(self.sizes) - self.sizes
         by_id = sorted(ranks.items(), key=lambda x: x[1])
         self.bytes = np.frombuffer(b"".join(b for b, _ in by_id), np.uint8)
-        self.known = Runs()
         self.units = UnitEncoder(self.encode_texts)
 
     @classmethod
@@ -150,17 +147,16 @@ class SegmentTreeBpe:
         """Ids of all texts in a row, and how many each has; a piece that is a vocabulary entry is that entry."""
         found = list(map(self.split, texts))
         pieces = list(chain.from_iterable(found))
-        if len(self.known.index) > PIECE_LIMIT:
-            self.known = Runs()
-        new = list(set(pieces) - self.known.index.keys())
+        known = Runs()
+        new = list(set(pieces))
         raw = [p.encode("utf-8") for p in new]
         whole = np.fromiter((self.ranks.get(b, -1) for b in raw), np.int64, len(raw))
-        self.known.add([p for p, w in zip(new, whole) if w >= 0], whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))
-        self.known.add([p for p, w in zip(new, whole) if w < 0], *self.merge_pieces([b for b, w in zip(raw, whole) if w < 0]))
-        at = self.known.at(pieces)
+        known.add([p for p, w in zip(new, whole) if w >= 0], whole[whole >= 0], np.ones(int((whole >= 0).sum()), np.int64))
+        known.add([p for p, w in zip(new, whole) if w < 0], *self.merge_pieces([b for b, w in zip(raw, whole) if w < 0]))
+        at = known.at(pieces)
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        total = np.concatenate([[0], np.cumsum(self.known.sizes[at])])
-        return self.known.take(at), np.diff(total[ends], prepend=0)
+        total = np.concatenate([[0], np.cumsum(known.sizes[at])])
+        return known.take(at), np.diff(total[ends], prepend=0)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.bytes, self.starts[ids], self.sizes[ids]).tobytes()

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept by a worker before it starts anew; bounds memory, never results.
-UNIT_LIMIT = 300_000
+UNIT_LIMIT = 500_000
+#: Begins a unit that follows the one before it without a space.
+GLUE = "\x02"
 #: Units of one text that are put together at a time.
 SLICE = 1 << 18
 #: Bytes of texts that are cut and looked up together.
@@ -57,11 +59,12 @@ class Runs:
 class UnitEncoder:
     """Token ids of whole texts for tokenizers whose splits never cross "one space before a word".
 
-    A unit is a space or a line feed and what follows up to the next of them. If no unit of
-    a text is empty, or begins or ends with white space, the text's ids are its units'
-    ids in a row, after those of its head, which is what stands before the first unit.
-    All other texts are encoded whole. `encode_many` gives the ids of texts in a row,
-    and how many each has. Arrow cuts the texts and finds the distinct units.
+    A unit is a space or a line feed and what follows up to the next of them; a mark between
+    a letter and one of them is a unit of its own. If no unit of a text is empty, or begins
+    or ends with white space, the text's ids are its units' ids in a row, after those of
+    its head, which is what stands before the first unit. All other texts, and those that
+    hold GLUE, are encoded whole. `encode_many` gives the ids of texts in a row, and how
+    many each has. Arrow cuts the texts and finds the distinct units.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
@@ -78,7 +81,7 @@ class UnitEncoder:
         new = [u for u in new if u not in self.edges]
         first = list({h: None for h in heads if (h,) not in index})
         if new or first:
-            self.runs.add([*new, *((h,) for h in first)], *self.encode_many([u if u[0] == "\n" else " " + u for u in new] + first))
+            self.runs.add([*new, *((h,) for h in first)], *self.encode_many([u if u[0] == "\n" else u[1:] if u[0] == GLUE else " " + u for u in new] + first))
         at = np.fromiter((index.get(u, -1) for u in units), np.int64, len(units))
         return at, np.fromiter((-1 if h[-1:].isspace() else index[h,] for h in heads), np.int64, len(heads))
 
@@ -86,7 +89,8 @@ class UnitEncoder:
         """For each text its ids, in pieces."""
         for a, b in blocks(texts):
             part = texts.slice(a, b - a)
-            cut = pc.split_pattern(pc.replace_substring(part, "\n", " \n"), " ")
+            whole = pc.match_substring(part, GLUE).to_pylist()
+            cut = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(part, "\n", " \n"), r"(\pL)([.,;:!?]) ", rf"\1 {GLUE}\2 "), " ")
             ends = cut.offsets.to_numpy()
             values = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
             ends = ends - ends[0]
@@ -95,7 +99,7 @@ class UnitEncoder:
             at[ends[:-1]] = heads
             bad = np.concatenate([[0], np.cumsum(at < 0)])
             for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                yield iter([self.encode_many([part[i].as_py()])[0]]) if bad[hi] > bad[lo] else self._slices(at[lo:hi])
+                yield iter([self.encode_many([part[i].as_py()])[0]]) if whole[i] or bad[hi] > bad[lo] else self._slices(at[lo:hi])
 
     def _slices(self, at: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(0, len(at), SLICE):
@@ -103,7 +107,7 @@ class UnitEncoder:
 
 
 def _edge(unit: str) -> bool:
-    word = unit.removeprefix("\n")
+    word = unit.removeprefix("\n").removeprefix(GLUE)
     return not word or word[0].isspace() or word[-1].isspace()
 
 
