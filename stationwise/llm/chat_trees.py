@@ -57,7 +57,7 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     jump = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", up.alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     size = nodes.count()
     jumps = []
-    for _ in range(max(1, size.bit_length())):
+    for _ in range(size.bit_length() + 1):
         jump = written(jump, "jump")
         jumps.append(jump)
         if jump.filter("up is not null").isEmpty():

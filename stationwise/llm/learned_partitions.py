@@ -165,7 +165,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
     indexed = usable(vectors, key, vector)
     n = indexed.count()
     sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"].tolist()
-    x = np.array(sample, float).reshape(len(sample), -1)
+    x = np.array(sample, float).reshape(len(sample), len(sample[0]) if sample else 0)
     parts = partitions or int(np.clip(round(np.sqrt(n) / 4), 1, 256))
     parts = max(1, min(parts, len(x) // 16))
     router = learn(x, parts, k) if parts > 1 else None
