@@ -20,8 +20,8 @@ RIDGE = 1e-3
 #: Character classes whose shares of a text are features (fixed values).
 CLASSES = ("A-Z", "a-z", "0-9", " ", "\n", ".", ",", "!?", "|", "#$%&*", "@/:;=_+~^", "()[]{}<>", "\"'`-")
 FEATURES = len(CLASSES) + 10
-#: Words that a token repeats, or that stand next to each other, are counted in a text's Arrow blocks of about so many bytes.
-BLOCK_BYTES = 4_000_000
+#: Bytes of texts whose features are made together.
+BLOCK_BYTES = 1_000_000
 
 
 def _class_of_byte() -> np.ndarray:
