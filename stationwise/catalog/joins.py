@@ -259,7 +259,9 @@ def _(spark, sf):
     df = v.obs_hourly(spark, sf).filter(
         ~((F.col("station_id") == "view") & (t >= "2024-01-09")) & ~((F.col("station_id") == "click") & (t < "2024-01-12"))
     )
-    return joins.station_pair_overlap(df, joins.all_station_pairs(df))
+    named = ("click error", "click purchase", "click signup", "click view", "error purchase", "error signup", "error view", "purchase signup", "purchase view", "signup view")
+    pairs = spark.sql("SELECT * FROM VALUES " + ", ".join(str(tuple(n.split())) for n in named) + " AS t(station_a, station_b)")
+    return joins.station_pair_overlap(df, pairs)
 
 
 @query(

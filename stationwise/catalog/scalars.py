@@ -208,8 +208,15 @@ def _(spark, sf):
         "weather_raw",
         " UNION ALL ".join(
             f"""SELECT '{c}' AS variable, count(*) FILTER ({c} IN (-999, -9999)) AS sentinel, 0::BIGINT AS unparsable,
-            count(*) FILTER ({c} NOT IN (-999, -9999) AND ({c} < {lo} OR {c} > {hi})) AS out_of_bounds FROM weather_raw"""
-            for c, (lo, hi) in S.CANONICAL_BOUNDS.items()
+            count(*) FILTER ({c} NOT IN (-999, -9999) AND {c} IS NOT NULL AND ({lost})) AS out_of_bounds FROM weather_raw"""
+            for c, lost in {
+                "temperature": "temperature NOT BETWEEN 0 AND 50",
+                "relative_humidity": "relative_humidity NOT BETWEEN 0 AND 100",
+                "wind_speed": "wind_speed < 0",
+                "wind_direction": "wind_direction < 0",
+                "precipitation": "precipitation < 0",
+                "surface_pressure": "surface_pressure NOT BETWEEN 950 AND 1050",
+            }.items()
         ),
     ),
 )

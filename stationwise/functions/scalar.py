@@ -73,11 +73,10 @@ def within_weather_bounds(name: str, c: str | Column) -> Column:
 
 
 def weather_loss_cause(name: str, raw: str | Column) -> Column:
-    """Why a raw text value is lost: sentinel, unparsable, out_of_bounds; NULL when kept or absent."""
+    """Why a raw text value is lost: sentinel, unparsable, out_of_bounds; NULL when the cell rule keeps it, or absent."""
     raw = _c(raw)
     n = raw.try_cast("double")
-    low, high = S.CANONICAL_BOUNDS[name]
-    outside = (n < low) | (n > high)
+    outside = within_weather_bounds(name, n).isNull()
     return (
         F.when(raw.isNull(), None)
         .when(is_sentinel(n), "sentinel")

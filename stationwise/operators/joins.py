@@ -249,22 +249,6 @@ def station_pair_overlap(df: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def all_station_pairs(stations: DataFrame, max_stations: int = 1000) -> DataFrame:
-    """Unordered station pairs of a dimension table, refused beyond a size check.
-
-    Pairs grow with the square of the number of stations, which is the size of
-    the result itself; beyond the limit the caller names the pairs of interest.
-    """
-    ids = stations.select(S.STATION).distinct()
-    if ids.limit(max_stations + 1).count() > max_stations:
-        raise ValueError("too many stations for all pairs; pass the pairs of interest")
-    listed = ids.agg(F.array_sort(F.collect_set(S.STATION)).alias("_all"))
-    first = listed.select("_all", F.posexplode("_all").alias("_i", "station_a"))
-    return first.select(
-        "station_a", F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("station_b")
-    )
-
-
 def source_hours_in_grid(raw: DataFrame, grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct raw hours that fall on the active grid; repeated readings do not hide gaps."""
     hours = raw.select(*keys).distinct()

@@ -249,7 +249,7 @@ def _centred(xx, xy, yy, n):
 
 
 def lasso_gram(a, b, n, alpha, start=None, rounds=5000, tol=1e-10):
-    """Coordinate descent on centred cross-products for (1/2n)||y - Xw||^2 + alpha |w|."""
+    """Coordinate descent on centred cross-products for (1/2n)||y - Xw||^2 + alpha |w|; an error if it doesn't settle."""
     w = np.zeros(len(b)) if start is None else start.copy()
     for _ in range(rounds):
         shift = 0.0
@@ -261,8 +261,8 @@ def lasso_gram(a, b, n, alpha, start=None, rounds=5000, tol=1e-10):
             shift = max(shift, abs(new - w[j]) * np.sqrt(a[j, j] / n))
             w[j] = new
         if shift < tol:
-            break
-    return w
+            return w
+    raise ArithmeticError(f"lasso has not converged in {rounds} rounds at alpha {alpha}: last step {shift:.3g}")
 
 
 def _path_udf(alphas: Sequence[float]):

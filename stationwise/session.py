@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -40,9 +39,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def sized_broadcast(small: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint only after counting; beyond the bound Spark shuffles both sides."""
-    within = small.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(small) if within else small

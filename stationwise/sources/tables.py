@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
@@ -27,13 +27,23 @@ def scan_canonical(
 
 
 def freeze_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write once, read back, compare schema and row count; returns the freeze record."""
-    df.write.mode("errorifexists").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
+    """Write once, read back, compare columns in order, types and row count; returns the freeze record.
+
+    The rows written are counted as they are written. Partition columns read back last, with
+    the type that their folder names suggest, so only their names are compared.
+    """
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.mode("errorifexists").option("compression", "snappy").partitionBy(*partition_by).parquet(path)
     back = df.sparkSession.read.parquet(path)
-    kinds = lambda d: {f.name: f.dataType for f in d.schema.fields}
-    written = {k: t for k, t in kinds(df).items() if k not in partition_by}
-    if {k: t for k, t in kinds(back).items() if k not in partition_by} != written:
-        raise ValueError("frozen table reads back with another schema")
+    if back.columns != [c for c in df.columns if c not in partition_by] + list(partition_by):
+        raise ValueError("frozen table reads back with other columns")
+    kinds = lambda d: {f.name: f.dataType for f in d.schema.fields if f.name not in partition_by}
+    if kinds(back) != kinds(df):
+        raise ValueError("frozen table reads back with other types")
+    rows = back.count()
+    if rows != seen.get["n"]:
+        raise ValueError(f"frozen table has {rows} rows of {seen.get['n']} written")
     features = [c for c in df.columns if c not in (S.STATION, S.TIME, "location", S.TARGET)]
     return back.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -45,9 +55,7 @@ def freeze_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     )
 
 
-def write_report_table(df: DataFrame, path: str, max_rows: int = 100_000) -> str:
-    """Publish a result table as CSV: one file while it is small, one per task beyond the limit."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    out = df.coalesce(1) if small else df
-    out.write.option("header", "true").csv(path)
+def write_report_table(df: DataFrame, path: str) -> str:
+    """Publish a result table as CSV with a header, one file per task."""
+    df.write.option("header", "true").csv(path)
     return path

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,28 @@ def test_result_identities_catch_a_changed_decision(spark):
     df = spark.createDataFrame(rows, "family string, test string, estimate double, ci_low double, ci_high double, p double, holm_p double, rejected boolean")
     got = {r.check: r.violations for r in quality.result_identities(df).collect()}
     assert got["decision"] == 1 and got["holm_recomputed"] == 0 and got["estimate_inside_interval"] == 0
+
+
+def test_frozen_table_keeps_rows_and_columns(spark, tmp_path):
+    from stationwise.sources import tables
+
+    df = hourly(spark, {"a": [1.0, 2.0, None], "b": [4.0]})
+    assert tables.freeze_table(df, str(tmp_path / "t")).first()["row_count"] == 4
+    with pytest.raises(Exception, match="(?i)exist"):
+        tables.freeze_table(df, str(tmp_path / "t"))
+
+
+def test_unsettled_lasso_is_an_error():
+    from stationwise.operators.linear import lasso_gram
+
+    a, b = np.array([[4.0, 3.9], [3.9, 4.0]]), np.array([1.0, -1.0])
+    with pytest.raises(ArithmeticError, match="not converged"):
+        lasso_gram(a, b, 10, 1e-6, rounds=2)
+
+
+def test_kept_directions_are_not_lost(spark):
+    from stationwise.functions import scalar as fn
+
+    rows = spark.createDataFrame([("399",), ("-5",), ("-999",), ("x",), (None,)], "d string")
+    got = [r[0] for r in rows.select(fn.weather_loss_cause("wind_direction", "d")).collect()]
+    assert got == [None, "out_of_bounds", "sentinel", "unparsable", None]
