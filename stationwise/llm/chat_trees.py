@@ -56,17 +56,17 @@ def best_paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     up = F.when(F.col("n").isNotNull(), F.col("parent"))
     jump = nodes.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left").select("tree", "node", up.alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     size = nodes.count()
-    jumps = []
+    jumps, rooted = [], None
     for _ in range(size.bit_length() + 1):
         jump = written(jump, "jump")
         jumps.append(jump)
-        if jump.filter("up is not null").isEmpty():
+        done, going = jump.filter("up is null"), jump.filter("up is not null")
+        rooted = rooted.unionByName(done) if rooted else done
+        if going.isEmpty():
             break
-        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        jump = jump.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
-        )
-    rooted = jumps[-1].filter("up is null")
+        # only nodes that haven't reached their root go on
+        far = rooted.unionByName(going).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        jump = going.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("score") + F.col("score2")).alias("score"))
     parents = nodes.select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = rooted.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     w = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
