@@ -24,6 +24,8 @@ CHUNK_SHINGLES = 1 << 20
 FAN = 16
 #: Bits of a signature for each shingle, and at most.
 BITS_PER, BITS_MOST = 4, 1 << 16
+#: A key of more than 1 / HOT_PART of a join's rows is cut into SALTS parts.
+HOT_PART, SALTS = 1024, 64
 #: Bytes of text hashed at a time.
 SEGMENT = 1_000_000
 
@@ -243,6 +245,23 @@ def block_links(members: DataFrame, facts: DataFrame, payload: DataFrame, rule:
     return parts.mapInArrow(link, "a long, b long")
 
 
+def attach(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows left-joined on `key` with a table of one row per key; a key of many rows, and null keys, go to many tasks.
+
+    A key that holds more than 1 / HOT_PART of the rows is hot, so there are fewer than
+    HOT_PART of these, and their list goes along with the tasks. Their rows are cut into
+    SALTS parts by a hash of the column `spread`, and the table holds their row once a part.
+    """
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows"))
+    total = counts.agg(F.sum("__rows").alias("total"))
+    hot = F.broadcast(written(counts.filter(F.col("__rows") > F.lit(total.scalar()) / HOT_PART).select(F.col(key).alias("__key")), "hot"))
+    salt = F.when(F.col(key).isNull() | F.col("__key").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0))
+    left = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", salt.cast("int")).drop("__key")
+    parts = F.when(F.col("__key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(parts)).drop("__key")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of each node on an edge (a, b): large and small stars in turn until nothing changes."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
@@ -250,9 +269,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = attach(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
+        small = attach(large, low, "a", "b").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
         edges = written(small.filter("a != b").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
@@ -369,9 +388,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     sets = src.join(some, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, tokens binary")
     roots = components(block_links(likely.withColumnRenamed("root", "block"), facts, sets, rule, exact=True))
-    named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = named.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least_id, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = attach(nodes, least_id, "root", "node").select("node", "component_id")
+    return attach(own, named, "node", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 SIGNED = ["doc_id", "n", "node", "kind", "low", "map", "token", "count"]
