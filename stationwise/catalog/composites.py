@@ -14,7 +14,7 @@ from .frames import FEATURES
 from .inference import MU, days
 from .linear import CALENDAR, model_table
 from .panels import LABELLED, SEASON, labelled
-from .quality import extended
+from .quality import MEASURES, extended, six_dimension_sql
 from .resampling import B, SEED
 from .sequences import RUNS
 from .sources import export_archive, export_columnar
@@ -114,15 +114,14 @@ def _(spark, sf):
         """SELECT 'gaps' AS section, station_id, unnest(['n_gaps', 'longest_gap', 'n_isolated']) AS metric, unnest([count(*), max(len), count(*) FILTER (len = 1)])::DOUBLE AS value FROM runs_m WHERE state GROUP BY station_id
         UNION ALL SELECT 'joint_missing', station_id, unnest(['both_missing', 'only_target_missing', 'only_other_missing']), unnest([count(*) FILTER (pm25 IS NULL AND pm10 IS NULL), count(*) FILTER (pm25 IS NULL AND pm10 IS NOT NULL), count(*) FILTER (pm25 IS NOT NULL AND pm10 IS NULL)])::DOUBLE FROM obs_grid GROUP BY station_id
         UNION ALL SELECT 'uniqueness_detail', 'ALL', unnest(['n_duplicate_rows', 'duplicate_pct']), unnest([0.0, 0.0])
-        UNION ALL SELECT 'uniqueness', 'ALL', 'duplicate_rows', 0.0 UNION ALL SELECT 'completeness', 'ALL', 'recorded_hours', count(*) FROM obs_grid""",
+        UNION ALL SELECT dimension, 'ALL', metric, value FROM six""",
+        *six_dimension_sql("obs_grid")[1:],
+        f"six AS ({six_dimension_sql('obs_grid')[0]})",
         RUNS.format("pm25 IS NULL", "m", "obs_grid"),
     ),
 )
 def _(spark, sf):
-    audit = cleaning.quality_audit(v.obs_grid(spark, sf), ("pm25", "pm10", "relative_humidity"))
-    # the six-dimension part is compared in full by its own query
-    six = F.col("section").isin("completeness", "accuracy", "validity", "timeliness", "uniqueness")
-    return audit.filter(~six | F.col("metric").isin("duplicate_rows", "recorded_hours"))
+    return cleaning.quality_audit(v.obs_grid(spark, sf), MEASURES)
 
 
 @query(

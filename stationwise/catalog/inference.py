@@ -307,9 +307,9 @@ def _(spark, sf):
     "interaction_f_test",
     v.sql(
         "daily_calendar",
-        """SELECT station_id, k AS n_strata, mc AS smallest_cell, n::BIGINT AS n, round(b, 6) AS additive_effect, k - 1 AS df1, (n - 2 * k)::BIGINT AS df2, round(((yy - b * fy - ssf) / (k - 1)) / (ssf / (n - 2 * k)), 6) AS f FROM (
-          SELECT station_id, count(*) AS n, sum(y * y) AS yy, sum(f * y) AS fy, sum(f * y) / sum(f * f) AS b, sum(e * e) AS ssf, count(DISTINCT season) AS k, min(cc) AS mc FROM (
-            SELECT station_id, season, flag - avg(flag) OVER s AS f, value - avg(value) OVER s AS y, value - avg(value) OVER c AS e, count(*) OVER c AS cc FROM seen WINDOW s AS (PARTITION BY station_id, season), c AS (PARTITION BY station_id, season, flag)) GROUP BY ALL)""",
+        """SELECT station_id, k AS n_strata, mc AS smallest_cell, n::BIGINT AS n, CASE WHEN mc >= 2 THEN 'tested' ELSE 'insufficient_data' END AS status, CASE WHEN mc >= 2 THEN round(b, 6) END AS additive_effect, k - 1 AS df1, (n - 2 * k)::BIGINT AS df2, CASE WHEN mc >= 2 THEN round(((yy - b * fy - ssf) / (k - 1)) / (ssf / (n - 2 * k)), 6) END AS f FROM (
+          SELECT station_id, count(*) AS n, sum(y * y) AS yy, sum(f * y) AS fy, sum(f * y) / sum(f * f) AS b, sum(e * e) AS ssf, count(DISTINCT season) AS k, CASE WHEN count(DISTINCT (season, flag)) < 2 * count(DISTINCT season) THEN 0 ELSE min(cc) END AS mc FROM (
+            SELECT station_id, season, flag AS flag, flag - avg(flag) OVER s AS f, value - avg(value) OVER s AS y, value - avg(value) OVER c AS e, count(*) OVER c AS cc FROM seen WINDOW s AS (PARTITION BY station_id, season), c AS (PARTITION BY station_id, season, flag)) GROUP BY ALL)""",
         DAYS,
         SEEN,
     ),

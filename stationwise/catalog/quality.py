@@ -61,10 +61,9 @@ def _(spark, sf):
 _B = {c: S.AUDIT_BOUNDS[c] for c in MEASURES}
 
 
-@query(
-    "six_dimension_audit",
-    v.sql(
-        "obs_hourly",
+def six_dimension_sql(table: str) -> tuple[str, ...]:
+    """Body over o and t, and these two, for the audit of a table."""
+    return (
         "SELECT d AS dimension, m AS metric, round(x::DOUBLE, 6) AS value FROM ("
         + " UNION ALL ".join(
             f"SELECT '{d}' AS d, '{m}' AS m, ({e})::DOUBLE AS x FROM o, t"
@@ -92,9 +91,11 @@ _B = {c: S.AUDIT_BOUNDS[c] for c in MEASURES}
             f"count({c}) AS k_{c}, count(*) FILTER ({c} < {lo}) AS lo_{c}, count(*) FILTER ({c} > {hi}) AS hi_{c}"
             for c, (lo, hi) in _B.items()
         )
-        + ", count(pm25 - pm10) AS pairs, count(*) FILTER (pm25 > pm10) AS strict, count(*) FILTER (pm25 - pm10 > 2.0) AS beyond, count(*) FILTER (relative_humidity > 90) AS humid FROM obs_hourly)",
-    ),
-)
+        + f", count(pm25 - pm10) AS pairs, count(*) FILTER (pm25 > pm10) AS strict, count(*) FILTER (pm25 - pm10 > 2.0) AS beyond, count(*) FILTER (relative_humidity > 90) AS humid FROM {table})",
+    )
+
+
+@query("six_dimension_audit", v.sql("obs_hourly", *six_dimension_sql("obs_hourly")))
 def _(spark, sf):
     return quality.six_dimension_audit(v.obs_hourly(spark, sf), MEASURES)
 

@@ -213,11 +213,12 @@ def _(spark, sf):
 
 
 _STARTS = """starts_{0} AS (
-  SELECT station_id, split, timestamp AS gap_start, {0} AS gap_hours FROM (
+  SELECT station_id, split, make_timestamp(unnest(taken) * 3600000000) AS gap_start, {0} AS gap_hours FROM (SELECT station_id, split,
+    list_reduce(list_prepend([]::BIGINT[], list([h] ORDER BY pick)), lambda acc, x: CASE WHEN len(acc) < 40 AND len(list_filter(acc, lambda y: abs(y - x[1]) <= {0})) = 0 THEN list_concat(acc, x) ELSE acc END) AS taken FROM (
     SELECT *, row_number() OVER (PARTITION BY station_id, split ORDER BY ('0x' || substr(md5('42:{0}:' || station_id || ':' || h), 1, 8))::BIGINT, h) AS pick FROM (
       SELECT station_id, timestamp, split, h, sum(s) OVER (PARTITION BY station_id, split ORDER BY h RANGE BETWEEN 1 PRECEDING AND {0} FOLLOWING) AS around
       FROM (SELECT station_id, timestamp, CASE WHEN pm25 IS NOT NULL THEN 1 ELSE 0 END AS s, (epoch(timestamp) / 3600)::BIGINT AS h, {1} FROM obs_grid))
-    WHERE around = {0} + 2 AND h % ({0} + 1) = 0) WHERE pick <= 40)"""
+    WHERE around = {0} + 2) GROUP BY station_id, split))"""
 
 
 @query(

@@ -403,7 +403,10 @@ def impurity_importance(frame: DataFrame, features: Sequence[str], trees: int =
 
 
 def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence[str]], full: str, threshold: float = 0.5, min_rows: int = 30) -> DataFrame:
-    """Feature sets at horizon 0 and the full set at later horizons; specs with too few rows or one class are skipped."""
+    """Feature sets at horizon 0 and the full set at later horizons; specs with too few train rows or one class are rows without metrics.
+
+    status is EVALUATED, INSUFFICIENT_DATA or SINGLE_CLASS.
+    """
     specs = [(0, name) for name in sets] + [(h, full) for h in frames if h > 0]
     parts = []
     for horizon, name in specs:
@@ -411,16 +414,17 @@ def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence
         ready = prepared(frames[horizon], features).persist()
         train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
         n, pos = class_counts(train)
+        spec = {"spec": F.lit(name), "horizon": F.lit(horizon).cast("long"), "n_train": F.lit(n).cast("long")}
         if n < min_rows or pos in (0, n):
+            status = "INSUFFICIENT_DATA" if n < min_rows else "SINGLE_CLASS"
+            parts.append(frames[horizon].sparkSession.range(1).select(F.lit("logistic").alias("model"), F.lit(status).alias("status")).withColumns(spec))
             continue
         scored = score_model(fit_model(train, features, logistic(1.0, n)), test, features, "logistic")
         parts.append(
             classifier_metrics(scored, ["model"], threshold)
-            .withColumns({"spec": F.lit(name), "horizon": F.lit(horizon).cast("long"), "n_train": F.lit(n).cast("long")})
+            .withColumns({"status": F.lit("EVALUATED"), **spec})
         )
-    if not parts:
-        raise ValueError("no specification has enough train rows of both classes")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def temporal_backtest(frame: DataFrame, features: Sequence[str], n_folds: int = 5) -> DataFrame:

@@ -289,11 +289,11 @@ def mask_contiguous(
 ) -> DataFrame:
     """Hold out non-overlapping interior gaps with observed neighbours on both sides.
 
-    The axis is cut into slots of gap + 1 hours; each slot offers at most one
-    start (the smallest seeded hash that keeps the gap inside the slot's reach),
-    and the best starts per group are kept. Returns one row per start.
+    Every hour that begins a legal gap is considered, in the order of its seeded
+    hash; one is taken unless it lies within `gap` hours of one taken before. A
+    taken start rules out at most 2 * gap others, so the first per_group * (2 * gap + 1)
+    of a group hold all that can be taken. Returns one row per start.
     """
-    slot = gap + 1
     seen = F.col(value).isNotNull().cast("int")
     src = df.withColumn("_hour", hour_number(S.TIME)).withColumn("_seen", seen)
     framed = windowed(
@@ -308,14 +308,23 @@ def mask_contiguous(
         ahead=gap,
         size=size,
     )
-    starts = framed.filter(
-        (F.col("_around") == gap + 2) & (F.col("_hour") % slot == 0)
-    ).withColumn("_draw", fn.draw32(F.lit(seed), F.lit(gap), F.col(S.STATION), F.col("_hour")))
+    starts = framed.filter(F.col("_around") == gap + 2).withColumn(
+        "_draw", fn.draw32(F.lit(seed), F.lit(gap), F.col(S.STATION), F.col("_hour"))
+    )
     best = W.partitionBy(*keys).orderBy("_draw", "_hour")
-    return (
-        starts.withColumn("_pick", F.row_number().over(best))
-        .filter(F.col("_pick") <= per_group)
-        .select(*keys, F.col(S.TIME).alias("gap_start"), F.lit(gap).alias("gap_hours"))
+    first = starts.withColumn("_pick", F.row_number().over(best)).filter(F.col("_pick") <= per_group * (2 * gap + 1))
+    one = F.struct("_pick", F.col("_hour").cast("long").alias("_hour"), F.col(S.TIME).alias("_time"))
+    listed = first.groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias("_starts"))
+    taken = F.aggregate(
+        "_starts",
+        F.filter("_starts", lambda x: F.lit(False)),
+        lambda acc, x: F.when(
+            (F.size(acc) < per_group) & ~F.exists(acc, lambda y: F.abs(y["_hour"] - x["_hour"]) <= gap),
+            F.concat(acc, F.array(x)),
+        ).otherwise(acc),
+    )
+    return listed.select(*keys, F.explode(taken).alias("_s")).select(
+        *keys, F.col("_s._time").alias("gap_start"), F.lit(gap).alias("gap_hours")
     )
 
 

@@ -74,8 +74,10 @@ def match_coverage(joined: DataFrame, weather_columns: Sequence[str]) -> DataFra
 
 
 def humidity_by_lookup(air: DataFrame, weather: DataFrame) -> DataFrame:
-    """Attach humidity by hour and flag hours above the limit; no row is dropped."""
-    dim = weather.select(S.TIME, F.col("relative_humidity").alias("_rh"))
+    """Attach humidity by hour and flag hours above the limit; no row is dropped, none multiplied: a repeated hour fails the job."""
+    repeated = F.raise_error(F.concat(F.lit("repeated weather hour "), F.coalesce(F.col(S.TIME).cast("string"), F.lit("null"))))
+    dim = weather.groupBy(S.TIME).agg(F.max("relative_humidity").alias("_rh"), F.count(F.lit(1)).alias("_n"))
+    dim = dim.select(S.TIME, F.when((F.col("_n") > 1) & F.col(S.TIME).isNotNull(), repeated.cast("double")).otherwise(F.col("_rh")).alias("_rh"))
     return air.join(dim, S.TIME, "left").withColumn("is_high_humidity", fn.humidity_flag("_rh")).drop("_rh")
 
 

@@ -17,13 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E = 64
+#: Buckets for a factor of e, and the magnitude below which buckets are of equal width. A factor of
+#: 1.1, such as the whole range of an air pressure, is some 400 buckets; so is that of small scores.
+BUCKETS_PER_E = 4096
+LEAST = 1e-6
 
 
 def magnitude_bucket(value: str | Column) -> Column:
     """Order-preserving bucket of a double: a larger value never gets a smaller bucket."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BUCKETS_PER_E).cast("long")
+    return F.floor(F.signum(v) * F.log1p(F.abs(v) / LEAST) * BUCKETS_PER_E).cast("long")
 
 
 def cumulative_counts(

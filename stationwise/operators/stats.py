@@ -26,14 +26,17 @@ KEYS = (S.STATION,)
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, order: str) -> DataFrame:
-    """Step-down adjusted p within a family of tests (a handful of rows); ties keep the given order."""
+    """Step-down adjusted p within a family of tests (a handful of rows); ties keep the given order; rows without p are not in the family."""
     w = W.partitionBy(*family)
-    ordered = w.orderBy(F.col(p), F.col(order))
-    m, rank = F.count(F.lit(1)).over(w), F.row_number().over(ordered)
+    ordered = w.orderBy(F.col(p).asc_nulls_last(), F.col(order))
+    m, rank = F.count(p).over(w), F.row_number().over(ordered)
     step = df.withColumn("_step", (m - rank + 1) * F.col(p))
     return step.withColumn(
         "holm_p",
-        F.least(F.lit(1.0), F.max("_step").over(ordered.rowsBetween(W.unboundedPreceding, 0))),
+        F.when(
+            F.col(p).isNotNull(),
+            F.least(F.lit(1.0), F.max("_step").over(ordered.rowsBetween(W.unboundedPreceding, 0))),
+        ),
     ).drop("_step")
 
 
@@ -410,7 +413,8 @@ def interaction_f_test(df: DataFrame, flag: str, stratum: str, value: str, keys:
     """Full cell-means model against flag + stratum: F with (strata - 1) df, from one cell-level aggregate.
 
     The additive model has one flag effect, found from the cells in closed form:
-    within each stratum the flag contrast is weighted by n1 * n0 / (n1 + n0).
+    within each stratum the flag contrast is weighted by n1 * n0 / (n1 + n0). Groups with
+    a cell of fewer than min_cell values get no test and the status insufficient_data.
     """
     keys = list(keys)
     cells = df.filter(F.col(value).isNotNull() & F.col(flag).isNotNull()).groupBy(*keys, stratum).agg(
@@ -432,17 +436,21 @@ def interaction_f_test(df: DataFrame, flag: str, stratum: str, value: str, keys:
         F.sum(w * d).alias("_wd"),
         F.sum(w * d * d).alias("_wdd"),
     )
-    out = agg.filter(F.col("smallest_cell") >= min_cell).withColumns(
+    enough = F.col("smallest_cell") >= min_cell
+    out = agg.withColumn("status", F.when(enough, "tested").otherwise("insufficient_data")).withColumns(
         {
-            "additive_effect": F.try_divide("_wd", "_w"),
+            "additive_effect": F.when(enough, F.try_divide("_wd", "_w")),
             "df1": F.col("n_strata") - 1,
             "df2": F.col("n") - 2 * F.col("n_strata"),
         }
     ).withColumn("sse_additive", F.col("sse_full") + F.col("_wdd") - F.try_divide(F.col("_wd") * F.col("_wd"), F.col("_w")))
     out = out.withColumn(
         "f",
-        F.try_divide(
-            F.try_divide(F.col("sse_additive") - F.col("sse_full"), F.col("df1")), F.try_divide("sse_full", "df2")
+        F.when(
+            enough,
+            F.try_divide(
+                F.try_divide(F.col("sse_additive") - F.col("sse_full"), F.col("df1")), F.try_divide("sse_full", "df2")
+            ),
         ),
     ).drop("_w", "_wd", "_wdd")
     return out.withColumn("p_value", dist.f_sf(F.col("f"), F.col("df1"), F.col("df2"))) if p_values else out

@@ -64,14 +64,15 @@ def rolling_means(df: DataFrame, value: str = S.TARGET, windows=None, size: int
 
 
 def rolling_means_exact(
-    df: DataFrame, hours: int, need: int, value: str = S.TARGET, size_hours: int = CHUNK
+    df: DataFrame, hours: int, need: int, value: str = S.TARGET, size_hours: int = 0
 ) -> DataFrame:
     """Trailing mean over (t - hours, t] for readings at any instant, to the microsecond.
 
     Each reading enters the sum at its own time and leaves it `hours` later, so a
     running sum of both events is the window sum: the cost does not depend on how
     many readings a window holds. Sums restart in every chunk (from its halo),
-    which keeps rounding errors at the size of one chunk.
+    which keeps rounding errors at the size of one chunk. A chunk is as long as the
+    window unless size_hours is longer, so a station is cut by time, however dense.
     """
     hour = 3_600_000_000
     span, chunk = hours * hour, max(size_hours, hours) * hour

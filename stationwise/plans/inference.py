@@ -54,7 +54,11 @@ def _stable(p: DataFrame, by: str, main: float, alpha: float, name: str = "stabl
 
 
 def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, blocks: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA) -> DataFrame:
-    """Omnibus season test: calendar null bootstrap of H; HAC Wald with trend as the supporting test. Always exploratory."""
+    """Omnibus season test: calendar null bootstrap of H; HAC Wald with trend as the supporting test. Always exploratory.
+
+    A station with fewer than 3 days of a season stays, without p-values and with the status insufficient_data.
+    """
+    enough = F.col("smallest_group") >= 3
     kw = stats.kruskal_wallis(days, "season", p_values=True).select(
         *KEYS, F.col("h").alias("statistic"), "n", "epsilon_squared", F.col("p_value").alias("p_independence"), "smallest_group"
     )
@@ -66,10 +70,9 @@ def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_
     wald = lin.joint_wald(fit, stats.SEASON_TERMS, stats.SEASON_TERMS[2:])
     sup = wald.select(*KEYS, dist.f_sf(F.col("f"), F.col("df1"), F.col("df2")).alias("p_supporting"))
     return (
-        kw.filter("smallest_group >= 3")
-        .join(main, KEYS)
-        .join(sup, KEYS)
-        .join(stable, KEYS)
+        kw.join(main, KEYS, "left")
+        .join(sup, KEYS, "left")
+        .join(stable, KEYS, "left")
         .select(
             *KEYS,
             F.lit("season_effect").alias("test"),
@@ -81,11 +84,8 @@ def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_
             F.lit("epsilon_squared").alias("effect_name"),
             F.col("epsilon_squared").alias("effect"),
             "n",
-            "p_value",
-            "p_supporting",
-            "p_independence",
-            "stable",
-            F.lit("exploratory").alias("status"),
+            *[F.when(enough, F.col(c)).alias(c) for c in ("p_value", "p_supporting", "p_independence", "stable")],
+            F.when(enough, "exploratory").otherwise("insufficient_data").alias("status"),
         )
     )
 
@@ -189,8 +189,8 @@ def inference_suite(days: DataFrame, median_limit: float, mean_limit: float, n_b
     # Decision and evidence labels.
     return out.withColumns(
         {
-            "decision": F.when(reject, "reject_h0_after_holm").otherwise("do_not_reject_h0_after_holm"),
-            "evidence": F.when((F.col("status") == "exploratory") & reject, "exploratory_signal")
+            "decision": F.when(F.col("p_value").isNull(), "not_tested").when(reject, "reject_h0_after_holm").otherwise("do_not_reject_h0_after_holm"),
+            "evidence": F.when(F.col("p_value").isNull(), "not_tested").when((F.col("status") == "exploratory") & reject, "exploratory_signal")
             .when(F.col("status") == "exploratory", "no_exploratory_signal")
             .when(reject, "confirmatory_evidence")
             .otherwise("no_confirmatory_evidence"),

@@ -37,6 +37,14 @@ def test_weather_join_refuses_collisions_and_repeated_keys(spark):
         joins.join_air_weather(air, weather.union(weather), check=True)
 
 
+def test_humidity_refuses_repeated_hours(spark):
+    air = hourly(spark, {"s": [1.0, 2.0]})
+    weather = hourly(spark, {"s": [95.0, 6.0]}, name="relative_humidity").drop("station_id")
+    assert [r.is_high_humidity for r in joins.humidity_by_lookup(air, weather).orderBy("timestamp").collect()] == [1, 0]
+    with pytest.raises(Exception, match="repeated weather hour"):
+        joins.humidity_by_lookup(air, weather.union(weather)).collect()
+
+
 def test_dense_test_refuses_gaps(spark):
     with pytest.raises(ValueError, match="gaps"):
         resample.dense_null_test(calendar(spark, {"s": [1.0, None, 2.0]}), "t", 5, 2, 1)

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stationwise.operators import profile, ranks
 from tests.helpers import as_dict
@@ -52,3 +53,12 @@ def test_mode_is_null_unless_unique(spark):
     )
     got = as_dict(profile.statistical_profile(df, ["station_id"], ["v"]), "station_id")
     assert got[("a",)]["mode"] == 1.0 and got[("b",)]["mode"] is None
+
+
+def test_a_narrow_range_is_cut_into_many_buckets(spark):
+    df = spark.range(0, 1001).select((F.lit(950.0) + F.col("id") / 10).alias("v"), (F.col("id") / 1e7 + 1e-4).alias("p"))
+    assert df.select(ranks.magnitude_bucket("v")).distinct().count() > 300
+    assert df.select(ranks.magnitude_bucket("p")).distinct().count() > 300
+    for c in ("v", "p"):
+        got = [r[0] for r in df.orderBy(c).select(ranks.magnitude_bucket(c)).collect()]
+        assert got == sorted(got)

@@ -147,6 +147,15 @@ def test_masked_gaps_keep_their_neighbours(spark):
     assert all(b - a >= 4 for a, b in zip(starts, starts[1:]))
 
 
+def test_masked_gaps_use_every_start(spark):
+    values = [1.0, 1.0, None, 1.0, 1.0, 1.0, None, None, 1.0, 1.0, 1.0, None]  # legal starts of two hours need four observed ones in a row
+    df = hourly(spark, {"s": values + [1.0] * 4 + [None]}).withColumn("split", F.lit("train"))
+    starts = [int((r.gap_start - T0).total_seconds() // 3600) for r in grid.mask_contiguous(df, 2, 10, 1).collect()]
+    assert starts == [13]
+    one = [int((r.gap_start - T0).total_seconds() // 3600) for r in grid.mask_contiguous(df, 1, 10, 1).collect()]
+    assert {4, 9} < set(one) and set(one) & {13, 14} and len(one) == 3
+
+
 def test_random_mask_holds_out_the_share(spark):
     df = hourly(spark, {"s": [float(i) for i in range(90)] + [None] * 10})
     out = grid.mask_random(df, 0.2, 3)

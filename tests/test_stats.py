@@ -68,6 +68,17 @@ def test_interaction_f_equals_two_regressions(spark):
     assert (row.df1, row.df2) == (3, n - 8)
 
 
+def test_small_cells_stay_as_rows_without_a_test(spark):
+    df = spark.createDataFrame([("s", k % 2, k % 2 if k < 5 else 0, float(k)) for k in range(9)], "station_id string, season long, flag long, value double")
+    row = stats.interaction_f_test(df, "flag", "season", "value").first()
+    assert (row.status, row.f, row.additive_effect) == ("insufficient_data", None, None)
+
+
+def test_holm_leaves_out_rows_without_p(spark):
+    df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", None), ("f", "c", 0.5)], "fam string, test string, p double")
+    assert {r.test: r.holm_p for r in stats.holm(df, ["fam"], "p", "test").collect()} == {"a": 0.02, "b": None, "c": 0.5}
+
+
 def test_holm_is_monotone_and_capped(spark):
     df = spark.createDataFrame([("f", t, p) for t, p in (("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.9))], "fam string, test string, p double")
     got = {r.test: r.holm_p for r in stats.holm(df, ["fam"], "p", "test").collect()}
