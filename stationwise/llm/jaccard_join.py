@@ -245,38 +245,39 @@ def block_links(members: DataFrame, facts: DataFrame, payload: DataFrame, rule:
     return parts.mapInArrow(link, "a long, b long")
 
 
-def attach(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+def attach(rows: DataFrame, table: DataFrame, key: str, spread: str, total: int) -> DataFrame:
     """rows left-joined on `key` with a table of one row per key; a key of many rows, and null keys, go to many tasks.
 
-    A key that holds more than 1 / HOT_PART of the rows is hot, so there are fewer than
-    HOT_PART of these, and their list goes along with the tasks. Their rows are cut into
-    SALTS parts by a hash of the column `spread`, and the table holds their row once a part.
+    The table is a written one, and its column `held` counts the rows of each key, `total`
+    at most together. Keys of more than total / HOT_PART rows are hot, so there are fewer
+    than HOT_PART of these, and their list goes along with the tasks. Their rows are cut into
+    SALTS parts by a hash of the column `spread`, and the table's row comes once a part.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__rows"))
-    total = counts.agg(F.sum("__rows").alias("total"))
-    hot = F.broadcast(written(counts.filter(F.col("__rows") > F.lit(total.scalar()) / HOT_PART).select(F.col(key).alias("__key")), "hot"))
+    is_hot = F.col("held") > total // HOT_PART
+    hot = F.broadcast(table.filter(is_hot).select(F.col(key).alias("__key")))
     salt = F.when(F.col(key).isNull() | F.col("__key").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0))
     left = rows.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", salt.cast("int")).drop("__key")
-    parts = F.when(F.col("__key").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, F.col(key) == F.col("__key"), "left").withColumn("__salt", F.explode(parts)).drop("__key")
-    return left.join(right, [key, "__salt"], "left").drop("__salt")
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("__salt", F.explode(parts)).drop("held"), [key, "__salt"], "left").drop("__salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of each node on an edge (a, b): large and small stars in turn until nothing changes."""
+    held = F.count("*").alias("held")
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = attach(both.filter("b > a"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = attach(large, low, "a", "b").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
+        low = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), held), "low")
+        large = attach(both.filter("b > a"), low, "a", "b", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), held), "low")
+        small = attach(large, low, "a", "b", n).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         edges = written(small.filter("a != b").distinct(), "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     star = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
@@ -336,7 +337,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     signed = written(src.mapInArrow(sign, ", ".join(f"{c} {'binary' if c == 'map' else 'long'}" for c in SIGNED)), "signed")
     own = signed.filter("n is not null").select("doc_id", "n", "node")
-    least = max(COMMON_LEAST, own.filter("node is not null").count() // COMMON_PART)
+    total = own.filter("node is not null").count()
+    least = max(COMMON_LEAST, total // COMMON_PART)
     common = signed.filter("token is not null").groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("token")
     common = np.sort(common.toPandas()["token"].to_numpy(np.int64).view(np.uint64))  # bounded, see COMMON_PART
 
@@ -379,7 +381,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     likely = components(block_links(members, facts, bitmaps, rule, exact=False))
 
     # one document of each node that has a likely partner brings its whole set
-    some = own.join(likely.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct()
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("held"))
+    some = nodes.join(likely.select("node"), "node", "left_semi").select(F.col("low").alias("doc_id")).filter("doc_id is not null").distinct()
 
     def whole(batches):
         for b in batches:
@@ -388,10 +391,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     sets = src.join(some, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, tokens binary")
     roots = components(block_links(likely.withColumnRenamed("root", "block"), facts, sets, rule, exact=True))
-    nodes = own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = attach(nodes, least_id, "root", "node").select("node", "component_id")
-    return attach(own, named, "node", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
+    least_id = written(nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("held")), "roots")
+    named = written(attach(nodes, least_id, "root", "node", total).select("node", "component_id", "held"), "named")
+    return attach(own, named, "node", "doc_id", total).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 SIGNED = ["doc_id", "n", "node", "kind", "low", "map", "token", "count"]
