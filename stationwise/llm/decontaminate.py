@@ -86,8 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     items = hits.select("__row", F.explode("items").alias("item")).groupBy("__row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     out = found.drop("hits").join(covered, "__row", "left").join(items, "__row", "left")
     n_hit = F.coalesce(F.size("i"), F.lit(0)).cast("long")
-    firsts = F.filter("i", lambda x: ~F.array_contains(F.col("i"), x - 1))
-    lasts = F.filter("i", lambda x: ~F.array_contains(F.col("i"), x + 1))
+    # i is sorted: a span begins or ends where a neighbour is more than one word away
+    firsts = F.filter("i", lambda x, k: (k == 0) | (F.get("i", k - 1) < x - 1))
+    lasts = F.filter("i", lambda x, k: (k == F.size("i") - 1) | (F.get("i", k + 1) > x + 1))
     none = F.expr("cast(array() as array<string>)")
     return out.withColumn("n_hit", F.when(F.col("i").isNull(), F.lit(0).cast("long")).otherwise(n_hit)).select(
         *[F.col(f"`{c}`") for c in through], "n_words", "n_hit", F.coalesce("item_ids", none).alias("item_ids"),
