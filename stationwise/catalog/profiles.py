@@ -127,11 +127,11 @@ _MAT = ("pm25", "pm10", "temperature", "relative_humidity", "wind_speed", "surfa
     v.sql(
         "merged",
         " UNION ALL ".join(
-            [f"SELECT '{a}|{b}' AS pair, round(corr({a}, {b}), 6) AS corr, 'pearson' AS method FROM cc" for a, b in combinations(_MAT, 2)]
-            + [f"SELECT '{a}|{b}' AS pair, round(corr(r_{a}, r_{b}), 6) AS corr, 'spearman' AS method FROM rk" for a, b in combinations(_MAT, 2)]
+            [f"SELECT station_id, '{a}|{b}' AS pair, round(corr({a}, {b}), 6) AS corr, 'pearson' AS method FROM cc GROUP BY station_id" for a, b in combinations(_MAT, 2)]
+            + [f"SELECT station_id, '{a}|{b}' AS pair, round(corr(r_{a}, r_{b}), 6) AS corr, 'spearman' AS method FROM rk GROUP BY station_id" for a, b in combinations(_MAT, 2)]
         ),
         "cc AS (SELECT * FROM merged WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _MAT) + ")",
-        "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r_{c}" for c in _MAT) + " FROM cc)",
+        "rk AS (SELECT station_id, " + ", ".join(f"rank() OVER (PARTITION BY station_id ORDER BY {c}) + (count(*) OVER (PARTITION BY station_id, {c}) - 1) / 2.0 AS r_{c}" for c in _MAT) + " FROM cc)",
     ),
 )
 def _(spark, sf):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as fn
+from ..session import written
 from .linear import fold_rows
 from .sequence import hour_number, running
 from .splits import apply_scaler, fit_scaler
@@ -301,7 +302,7 @@ def model_scores(frame: DataFrame, features: Sequence[str], trees: int = 100, de
 
     Train rows of a single class leave only the two baselines.
     """
-    ready = prepared(frame, features).persist()
+    ready = written(prepared(frame, features), "ready")
     train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
     n, pos = class_counts(train)
     parts = [baseline_scores(frame)]
@@ -315,9 +316,14 @@ def model_scores(frame: DataFrame, features: Sequence[str], trees: int = 100, de
 
 
 def out_of_fold_scores(frame: DataFrame, features: Sequence[str], n_folds: int = 5, c: float = 1.0) -> DataFrame:
-    """Expanding-window logistic scores of the train rows; a single-class fold scores its own prevalence."""
+    """Expanding-window logistic scores of the train rows; a single-class fold scores its own prevalence.
+
+    Folds cut the distinct hours of all stations, because one model learns from all of them: no
+    station's train hours are later than another's validation hours.
+    """
     train = frame.filter("row_state = 'used' and split = 'train'").select(S.STATION, S.TIME, "label", "row_state", *features)
-    folds = fold_rows(train, n_folds).persist()
+    hours = train.select(S.TIME, F.lit("all").alias("_scope")).distinct()
+    folds = written(train.join(fold_rows(hours, n_folds, ["_scope"]).drop("_scope"), S.TIME), "folds")
     parts = []
     for fold in range(1, n_folds + 1):
         part = folds.filter(F.col("fold") == fold).withColumn(
@@ -336,7 +342,7 @@ def out_of_fold_scores(frame: DataFrame, features: Sequence[str], n_folds: int =
 
 def odds_ratios(frame: DataFrame, features: Sequence[str], c: float = 1.0) -> DataFrame:
     """Coefficients and odds ratios of the logistic model, strongest first."""
-    train = prepared(frame, features).filter("split = 'train'").persist()
+    train = written(prepared(frame, features).filter("split = 'train'"), "ready")
     n, _ = class_counts(train)
     model = fit_model(train, features, logistic(c, n))
     rows = [(f, float(b)) for f, b in zip(features, model.coefficients.toArray())]
@@ -376,7 +382,7 @@ def permuted_rows(rows: DataFrame, features: Sequence[str], repeats: int, seed:
 
 def permutation_importance(frame: DataFrame, features: Sequence[str], repeats: int = 20, seed: int = 42, c: float = 1.0) -> DataFrame:
     """Drop in average precision when one feature is shuffled: mean, sd and interval over repeats."""
-    ready = prepared(frame, features).persist()
+    ready = written(prepared(frame, features), "ready")
     train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
     n, _ = class_counts(train)
     model = fit_model(train, features, logistic(c, n))
@@ -396,7 +402,7 @@ def permutation_importance(frame: DataFrame, features: Sequence[str], repeats: i
 
 
 def impurity_importance(frame: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 8) -> DataFrame:
-    train = prepared(frame, features).filter("split = 'train'").persist()
+    train = written(prepared(frame, features).filter("split = 'train'"), "ready")
     model = fit_model(train, features, forest(trees, depth))
     rows = [(f, float(b)) for f, b in zip(features, model.featureImportances.toArray())]
     return frame.sparkSession.createDataFrame(rows, "feature string, importance double")
@@ -411,7 +417,7 @@ def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence
     parts = []
     for horizon, name in specs:
         features = sets[name]
-        ready = prepared(frames[horizon], features).persist()
+        ready = written(prepared(frames[horizon], features), "ready")
         train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
         n, pos = class_counts(train)
         spec = {"spec": F.lit(name), "horizon": F.lit(horizon).cast("long"), "n_train": F.lit(n).cast("long")}
@@ -429,7 +435,7 @@ def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence
 
 def temporal_backtest(frame: DataFrame, features: Sequence[str], n_folds: int = 5) -> DataFrame:
     """Per fold: threshold tuned on earlier folds' out-of-fold scores, metrics on the fold itself."""
-    oof = out_of_fold_scores(frame, features, n_folds).persist()
+    oof = written(out_of_fold_scores(frame, features, n_folds), "oof")
     earlier = oof.withColumn("target_fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(n_folds).cast("long")))).filter(
         F.col("target_fold") > F.col("fold")
     )

@@ -122,7 +122,9 @@ def pair_correlation(df: DataFrame, keys: Sequence[str], target: str, variables:
     long = df.select(*keys, target, *variables).unpivot([*keys, target], list(variables), "variable", "x")
     k = [*keys, "variable"]
     coverage = long.groupBy(*k).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(target).isNotNull() & F.col("x").isNotNull()).alias("n_pairs")
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(target).isNotNull() & F.col("x").isNotNull()).alias("n_pairs"),
+        fn.safe_corr("x", target).alias("pearson"),
     )
     pairs = long.filter(F.col(target).isNotNull() & F.col("x").isNotNull())
     # equal (x, y) pairs are counted once, so both rank joins run on the reduced table
@@ -131,7 +133,6 @@ def pair_correlation(df: DataFrame, keys: Sequence[str], target: str, variables:
     ry = average_ranks(pairs, k, target).select(*k, target, F.col("avg_rank").alias("_ry"))
     ranked = cells.join(rx, [*k, "x"]).join(ry, [*k, target])
     corr = ranked.groupBy(*k).agg(
-        weighted_corr(F.col("x"), F.col(target), F.col("_c")).alias("pearson"),
         weighted_corr(F.col("_rx"), F.col("_ry"), F.col("_c")).alias("spearman"),
     )
     return (
@@ -142,20 +143,20 @@ def pair_correlation(df: DataFrame, keys: Sequence[str], target: str, variables:
 
 
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:
-    """Pearson correlation of counted pairs; NULL when either side is constant."""
+    """Pearson correlation of counted pairs of ranks, whose spread is like their mean; NULL when either side is constant."""
     n, sx, sy = F.sum(w), F.sum(w * x), F.sum(w * y)
     sxy, sxx, syy = F.sum(w * x * y), F.sum(w * x * x), F.sum(w * y * y)
     den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(n * sxy - sx * sy, den))
 
 
-def correlation_matrix(df: DataFrame, variables: Sequence[str], row_key: Sequence[str] = (S.STATION, S.TIME)) -> DataFrame:
-    """Complete-case Pearson and Spearman matrices as (variable_a, variable_b) rows."""
+def correlation_matrix(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = (S.STATION,), row_key: Sequence[str] = (S.STATION, S.TIME)) -> DataFrame:
+    """Complete-case Pearson and Spearman matrices per key, one row for each pair of variables; row_key holds the keys."""
     complete = df.select(*row_key, *variables).dropna(subset=list(variables))
     long = unpivoted(complete, row_key, variables)
-    ranks = average_ranks(long, ["variable"], "value").select("variable", "value", "avg_rank")
+    ranks = average_ranks(long, [*keys, "variable"], "value").select(*keys, "variable", "value", "avg_rank")
     ranked = (
-        long.join(ranks, ["variable", "value"])
+        long.join(ranks, [*keys, "variable", "value"])
         .groupBy(*row_key)
         .pivot("variable", list(variables))
         .agg(F.first("avg_rank"))
@@ -163,9 +164,9 @@ def correlation_matrix(df: DataFrame, variables: Sequence[str], row_key: Sequenc
     names = list(combinations(variables, 2))
     out = []
     for frame, label in ((complete, "pearson"), (ranked, "spearman")):
-        wide = frame.agg(*[fn.safe_corr(a, b).alias(f"{a}__{b}") for a, b in names])
+        wide = frame.groupBy(*keys).agg(*[fn.safe_corr(a, b).alias(f"{a}__{b}") for a, b in names])
         rows = {f"{a}|{b}": {"corr": f"{a}__{b}"} for a, b in names}
-        out.append(stacked(wide, rows, "pair").withColumn("method", F.lit(label)))
+        out.append(stacked(wide, rows, "pair", keys).withColumn("method", F.lit(label)))
     return out[0].unionByName(out[1])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import scalar as fn
 from ..operators import clean, grid, joins, quality
+from ..session import written
 from ..sources import tables
 
 KEY = [S.STATION, S.TIME]
@@ -87,7 +88,7 @@ def deterministic_cleaning(air_raw: DataFrame, weather_raw: DataFrame, order: st
         (F.col("fabricated") + F.col("mutated")).alias("violations"),
         ((F.col("fabricated") + F.col("mutated")) == 0).alias("passed"),
     )
-    verdict = proof.unionByName(quality.clean_validation(cleaned)).persist()
+    verdict = written(proof.unionByName(quality.clean_validation(cleaned)), "verdict")
     failed = verdict.filter(~F.col("passed")).select("check").distinct().collect()
     if failed:
         raise ValueError(f"cleaning contract failed: {sorted(r[0] for r in failed)}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import alerts, labels, linear
+from ..session import written
 
 
 def regression_suite(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -61,7 +62,7 @@ def alert_suite(frame: DataFrame, features: Sequence[str], scopes: Mapping[str,
                 )
             )
             continue
-        scored = alerts.model_scores(rows, features, trees).persist()
+        scored = written(alerts.model_scores(rows, features, trees), "scored")
         m = alerts.classifier_metrics(scored, ["model"])
         cal = alerts.calibration_summary(alerts.calibration_table(scored, ["model"]), ["model"])
 

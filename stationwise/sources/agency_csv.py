@@ -16,8 +16,11 @@ PARAMETERS = ("pm2.5", "pm2.5 - principal")
 
 
 def read_layout(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One layout as text columns with trimmed headers, plus the file each row came from."""
-    raw = spark.read.option("header", "true").csv(paths)
+    """One layout as text columns with trimmed headers, plus the file each row came from.
+
+    A file whose header has other names or another order than the first fails the job.
+    """
+    raw = spark.read.option("header", "true").option("enforceSchema", "false").csv(paths)
     trimmed = raw.toDF(*[c.strip() for c in raw.columns])
     return trimmed.withColumn("source_file", F.col("_metadata.file_path"))
 

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from .. import schema as S
 
 
+def year_folders(root: str, years: Sequence[int]) -> str:
+    """Pattern of the asked years' folders, so that no other year is listed."""
+    return f"{root.rstrip('/')}/year={{{','.join(str(y) for y in years)}}}"
+
+
 def archive_files(spark: SparkSession, root: str, years: Sequence[int]) -> DataFrame:
     """Archive files of the given years, empty ones included; file contents are not read."""
     listed = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv.gz")
         .option("recursiveFileLookup", "true")
-        .load(root)
+        .load(year_folders(root, years))
         .select("path")
     )
     year = F.regexp_extract("path", r"year=(\d{4})", 1).cast("int")
@@ -26,9 +31,9 @@ def archive_files(spark: SparkSession, root: str, years: Sequence[int]) -> DataF
 def scan_measurement_archive(
     spark: SparkSession, root: str, years: Sequence[int], expected_files: int | None = None
 ) -> DataFrame:
-    """Long measurements of the given years; other year partitions are never opened.
+    """Long measurements of the given years; other year partitions are neither listed nor opened.
 
-    A missing or malformed file fails the job. With expected_files the number of
+    If none of the years has a folder, the read fails. A missing or malformed file fails the job. With expected_files the number of
     files must match before anything is read.
     """
     if expected_files is not None:
@@ -40,7 +45,7 @@ def scan_measurement_archive(
         .option("header", "true")
         .option("mode", "FAILFAST")
         .option("basePath", root)
-        .csv(root)
+        .csv(year_folders(root, years))
         .filter(F.col("year").isin(list(years)))
     )
 

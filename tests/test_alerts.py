@@ -1,3 +1,5 @@
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,15 @@ def test_horizon_zero_label_is_the_current_alert(spark):
     df = hourly(spark, {"s": [60.0] * 30})
     frame = splits.classification_frame(splits.alert_features(df), "2024-01-02 00:00:00", 0)
     assert frame.filter("label is distinct from alert").count() == 0
+
+
+def test_pooled_folds_never_learn_from_later_hours(spark):
+    early = hourly(spark, {"a": RNG.random(60)}, name="x")
+    late = hourly(spark, {"b": RNG.random(60)}, start=dt.datetime(2024, 2, 1), name="x")
+    frame = early.union(late).withColumns(
+        {"label": (F.hour("timestamp") % 2).cast("int"), "row_state": F.lit("used"), "split": F.lit("train")}
+    )
+    out = alerts.out_of_fold_scores(frame, ["x"], 2)
+    spans = {r.fold: (r.first, r.last, r.n) for r in out.groupBy("fold").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("n")).collect()}
+    # 120 distinct hours: block 0 is most of station a, the last block is the end of station b
+    assert [spans[f][2] for f in (1, 2)] == [40, 40] and spans[1][1] < spans[2][0]

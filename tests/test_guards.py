@@ -125,3 +125,21 @@ def test_kept_directions_are_not_lost(spark):
     rows = spark.createDataFrame([("399",), ("-5",), ("-999",), ("x",), (None,)], "d string")
     got = [r[0] for r in rows.select(fn.weather_loss_cause("wind_direction", "d")).collect()]
     assert got == [None, "out_of_bounds", "sentinel", "unparsable", None]
+
+
+def test_agency_files_with_columns_in_another_order_are_refused(spark):
+    path = scratch_path(spark, "swapped")
+    cols = ["Site", "Parameter", "Date (LT)", "Raw Conc."]
+    rows = spark.createDataFrame([("Hanoi", "PM2.5", "2024-01-01 01:00 AM", "5")], cols)
+    rows.write.option("header", "true").csv(path)
+    swapped = spark.createDataFrame([("Hanoi", "PM2.5", "5", "2024-01-01 01:00 AM")], [*cols[:2], *reversed(cols[2:])])
+    swapped.write.mode("append").option("header", "true").csv(path)
+    with pytest.raises(Exception, match="(?i)header"):
+        agency_csv.scan_agency_csv(spark, "Hanoi", path).collect()
+
+
+def test_archive_of_other_years_is_not_listed(spark):
+    path = scratch_path(spark, "years")
+    rows = spark.createDataFrame([(y,) for y in (2023, 2024, 2025)], "year int").withColumns({"day": F.lit("0101"), "x": F.lit(1)})
+    rows.write.partitionBy("year", "day").option("header", "true").option("compression", "gzip").csv(path)
+    assert {r.year for r in archive.archive_files(spark, path, [2023, 2025]).collect()} == {2023, 2025}
