@@ -15,7 +15,7 @@ from .inference import MU, days
 from .linear import CALENDAR, model_table
 from .panels import LABELLED, SEASON, labelled
 from .quality import MEASURES, extended, six_dimension_sql
-from .resampling import B, SEED
+from .resampling import N_NULL, SEED
 from .sequences import RUNS
 from .sources import export_archive, export_columnar
 
@@ -177,7 +177,7 @@ def _(spark, sf):
 
 @query("reanalysis")
 def _(spark, sf):
-    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), ("pm25", "temperature", "wind_speed"), MU, 250.0, B, SEED)
+    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), ("pm25", "temperature", "wind_speed"), MU, 250.0, N_NULL, SEED)
 
 
 @query("regression_suite")
@@ -210,7 +210,7 @@ def _(spark, sf):
     """Published quality rows and a test family, both recomputed here, checked against the extended table."""
     ext = written(extended(spark, sf), "extended")
     published = quality.period_quality_table(ext)
-    tests = written(inference.weekday_effect(written(days(spark, sf), "calendar"), B, SEED), "tests")
+    tests = written(inference.weekday_effect(written(days(spark, sf), "calendar"), N_NULL, SEED), "tests")
     results = tests.select(
         F.lit("weekday").alias("family"), F.col("station_id").alias("test"), "estimate", "ci_low", "ci_high", F.col("p_value").alias("p")
     )

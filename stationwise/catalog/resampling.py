@@ -1,7 +1,8 @@
 """Block resampling, null tests and composed inference (inventory 2.8, second part).
 
 The seeded hash makes every draw reproducible in SQL, so replicates are compared
-value by value. Queries use few replicates; the replicate count is a parameter.
+value by value. Replicate counts are the reference's: N_CI for intervals, N_NULL
+for p-values.
 """
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from . import query, views as v
 from .inference import DAYS, MU, SEEN, days, rank_sql
 from .panels import WEEKDIFF, WEEKLY
 
-B, SEED = 40, 42
+N_CI, N_NULL, SEED = 1000, 5000, 42
 SEASON_PAIRS = [("Winter", "Summer"), ("Spring", "Autumn")]
 
 
@@ -26,15 +27,15 @@ def draw(*parts):
     return f"('0x' || substr(md5({' || \':\' || '.join(parts)}), 1, 8))::BIGINT"
 
 
-def reps_sql(name, src, blocks, labels="", key="station_id"):
-    """Replicates of a calendar CTE (station_id, pos, value, labels...)."""
+def reps_sql(name, src, blocks, n_boot, labels="", key="station_id"):
+    """n_boot replicates of a calendar CTE (station_id, pos, value, labels...)."""
     keys = [k.strip() for k in key.split(",")]
     lab = "".join(f", d.{c}" for c in labels.split())
     on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
     sel = ", ".join(f"s.{k}" for k in keys)
     return f"""{name} AS (SELECT {', '.join(f'x.{k}' for k in keys)}, x.block, x.b, x.dest, c.value{lab} FROM (
       SELECT {sel}, s.block, s.b, s.j * s.len + o.o AS dest, (s.start + o.o) % s.n AS src FROM (
-        SELECT *, {draw(f"'{SEED}'", *keys, 'b', 'j')} % n AS start FROM (SELECT *, unnest(range(0, ceil(n / len)::BIGINT)) AS j FROM (SELECT *, least(block, n) AS len FROM (SELECT {key}, max(pos) + 1 AS n FROM {src} GROUP BY ALL) CROSS JOIN (SELECT unnest({list(blocks)}) AS block) CROSS JOIN (SELECT unnest(range(1, {B} + 1)) AS b)))) s
+        SELECT *, {draw(f"'{SEED}'", *keys, 'b', 'j')} % n AS start FROM (SELECT *, unnest(range(0, ceil(n / len)::BIGINT)) AS j FROM (SELECT *, least(block, n) AS len FROM (SELECT {key}, max(pos) + 1 AS n FROM {src} GROUP BY ALL) CROSS JOIN (SELECT unnest({list(blocks)}) AS block) CROSS JOIN (SELECT unnest(range(1, {n_boot} + 1)) AS b)))) s
       JOIN (SELECT unnest(range(0, {max(blocks)})) AS o) o ON o.o < s.len WHERE s.j * s.len + o.o < s.n) x
     JOIN {src} c ON {on('c', 'x')} AND c.pos = x.src JOIN {src} d ON {on('d', 'x')} AND d.pos = x.dest)"""
 
@@ -46,22 +47,22 @@ _MEDIAN, _MEAN = "quantile_cont(value, 0.5)", "avg(value)"
 
 @query(
     "block_bootstrap_ci",
-    v.sql("daily_calendar", _CI.format(stat=_MEDIAN, src="compact"), DAYS, SEEN, COMPACT, reps_sql("reps", "compact", [28])),
+    v.sql("daily_calendar", _CI.format(stat=_MEDIAN, src="compact"), DAYS, SEEN, COMPACT, reps_sql("reps", "compact", [28], N_CI)),
 )
 def _(spark, sf):
-    return resample.compact_ci(days(spark, sf), "median", B, 28, SEED)
+    return resample.compact_ci(days(spark, sf), "median", N_CI, 28, SEED)
 
 
 @query(
     "calendar_bootstrap_ci",
-    v.sql("daily_calendar", _CI.format(stat=_MEAN, src="days"), DAYS, reps_sql("reps", "days", [7, 28])),
+    v.sql("daily_calendar", _CI.format(stat=_MEAN, src="days"), DAYS, reps_sql("reps", "days", [7, 28], N_CI)),
 )
 def _(spark, sf):
-    return resample.calendar_ci(days(spark, sf), "mean", B, [7, 28], SEED)
+    return resample.calendar_ci(days(spark, sf), "mean", N_CI, [7, 28], SEED)
 
 
 def null_sql(stat, observed, keys="station_id", alt="greater"):
-    ge, le = f"(1 + n_ge) / ({B} + 1.0::DOUBLE)", f"(1 + n_le) / ({B} + 1.0::DOUBLE)"
+    ge, le = f"(1 + n_ge) / ({N_NULL} + 1.0::DOUBLE)", f"(1 + n_le) / ({N_NULL} + 1.0::DOUBLE)"
     p = {"greater": ge, "two-sided": f"least(1, 2 * least({ge}, {le}))"}[alt]
     return f"""SELECT {keys}, block::BIGINT AS block, round(observed, 6) AS observed, n_replicates, n_ge, n_le, round({p}, 6) AS p_value FROM (
       SELECT {keys}, block, any_value(observed) AS observed, count(*) AS n_replicates, count(*) FILTER (stat >= observed) AS n_ge, count(*) FILTER (stat <= observed) AS n_le FROM ({stat}) JOIN ({observed}) USING ({keys}) GROUP BY {keys}, block)"""
@@ -77,10 +78,10 @@ def h_observed(src, label):
 
 @query(
     "calendar_null_test",
-    v.sql("daily_calendar", null_sql(h_sql("season", 4), h_observed("days", "season")), DAYS, reps_sql("reps", "days", [14, 28], "season")),
+    v.sql("daily_calendar", null_sql(h_sql("season", 4), h_observed("days", "season")), DAYS, reps_sql("reps", "days", [14, 28], N_NULL, "season")),
 )
 def _(spark, sf):
-    return resample.null_test_h(days(spark, sf), "season", 4, B, [14, 28], SEED)
+    return resample.null_test_h(days(spark, sf), "season", 4, N_NULL, [14, 28], SEED)
 
 
 _U_STAT = f"""SELECT station_id, block, b, sum(rk) FILTER (weekend = 0) - count(*) FILTER (weekend = 0) * (count(*) FILTER (weekend = 0) + 1) / 2 AS stat FROM (SELECT *, {rank_sql('value', 'station_id, block, b')} AS rk FROM reps WHERE value IS NOT NULL) GROUP BY ALL"""
@@ -89,10 +90,10 @@ _U_OBS = f"""SELECT station_id, sum(r) FILTER (weekend = 0) - count(*) FILTER (w
 
 @query(
     "calendar_null_test_u",
-    v.sql("daily_calendar", null_sql(_U_STAT, _U_OBS, alt="two-sided"), DAYS, SEEN, reps_sql("reps", "days", [28], "weekend")),
+    v.sql("daily_calendar", null_sql(_U_STAT, _U_OBS, alt="two-sided"), DAYS, SEEN, reps_sql("reps", "days", [28], N_NULL, "weekend")),
 )
 def _(spark, sf):
-    return resample.null_test_u(days(spark, sf), "weekend", 0, 1, B, [28], SEED)
+    return resample.null_test_u(days(spark, sf), "weekend", 0, 1, N_NULL, [28], SEED)
 
 
 _T_STAT = "SELECT station_id, block, b, avg(value) / sqrt(var_samp(value) / count(value)) AS stat FROM reps GROUP BY ALL"
@@ -106,11 +107,11 @@ _T_OBS = f"SELECT station_id, (avg(value) - {MU}) / (stddev_samp(value) / sqrt(c
         null_sql(_T_STAT, _T_OBS, alt="two-sided"),
         DAYS,
         "noise AS (SELECT station_id, pos, value - avg(value) OVER (PARTITION BY station_id) AS value FROM days)",
-        reps_sql("reps", "noise", [7, 28]),
+        reps_sql("reps", "noise", [7, 28], N_NULL),
     ),
 )
 def _(spark, sf):
-    return resample.null_imposed_location(days(spark, sf), MU, "t", B, [7, 28], SEED)
+    return resample.null_imposed_location(days(spark, sf), MU, "t", N_NULL, [7, 28], SEED)
 
 
 _W_STAT = f"SELECT station_id, block, b, coalesce(sum(rk) FILTER (value > 0), 0) AS stat FROM (SELECT *, {rank_sql('a', 'station_id, block, b')} AS rk FROM (SELECT *, abs(value) AS a FROM reps WHERE value IS NOT NULL)) GROUP BY ALL"
@@ -128,26 +129,26 @@ def w_obs(src, mu):
         DAYS,
         SEEN,
         "noise AS (SELECT d.station_id, d.pos, d.value - m.m AS value FROM days d JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM days GROUP BY ALL) m USING (station_id))",
-        reps_sql("reps", "noise", [28]),
+        reps_sql("reps", "noise", [28], N_NULL),
     ),
 )
 def _(spark, sf):
-    return resample.null_imposed_location(days(spark, sf), MU, "signed_rank", B, [28], SEED)
+    return resample.null_imposed_location(days(spark, sf), MU, "signed_rank", N_NULL, [28], SEED)
 
 
 @query(
     "percentile_pvalue",
     v.sql(
         "daily_calendar",
-        f"""SELECT station_id, round(point, 6) AS point, round((1 + count(*) FILTER (abs(stat - point) >= abs({MU} - point))) / ({B} + 1.0::DOUBLE), 6) AS p_value FROM (SELECT station_id, b, {_MEDIAN} AS stat FROM reps GROUP BY ALL) JOIN (SELECT station_id, {_MEDIAN} AS point FROM days GROUP BY ALL) USING (station_id) GROUP BY station_id, point""",
+        f"""SELECT station_id, round(point, 6) AS point, round((1 + count(*) FILTER (abs(stat - point) >= abs({MU} - point))) / ({N_NULL} + 1.0::DOUBLE), 6) AS p_value FROM (SELECT station_id, b, {_MEDIAN} AS stat FROM reps GROUP BY ALL) JOIN (SELECT station_id, {_MEDIAN} AS point FROM days GROUP BY ALL) USING (station_id) GROUP BY station_id, point""",
         DAYS,
         SEEN,
         COMPACT,
-        reps_sql("reps", "compact", [28]),
+        reps_sql("reps", "compact", [28], N_NULL),
     ),
 )
 def _(spark, sf):
-    return resample.percentile_pvalue(days(spark, sf), MU, "median", B, 28, SEED)
+    return resample.percentile_pvalue(days(spark, sf), MU, "median", N_NULL, 28, SEED)
 
 
 @query(
@@ -159,12 +160,12 @@ def _(spark, sf):
         SEEN,
         COMPACT,
         "dense AS (SELECT *, pos % 3 AS third FROM compact)",
-        reps_sql("reps", "dense", [28], "third"),
+        reps_sql("reps", "dense", [28], N_NULL, "third"),
     ),
 )
 def _(spark, sf):
     dense = resample.compact_calendar(days(spark, sf)).withColumn("third", F.col("pos") % 3)
-    return resample.dense_null_test(dense, "h", B, 28, SEED, label="third", n_labels=3)
+    return resample.dense_null_test(dense, "h", N_NULL, 28, SEED, label="third", n_labels=3)
 
 
 _CONTRAST = [
@@ -174,7 +175,7 @@ _CONTRAST = [
     "prob AS (SELECT *, sum(weight) OVER (PARTITION BY station_id, season) AS total, sum(so) OVER (PARTITION BY station_id, season)::BIGINT AS target FROM wseg)",
     "cum AS (SELECT w.station_id, w.season, w.pos, w.wl, w.obs, p.target, min(w.obs) OVER (PARTITION BY w.station_id, w.season) AS least_obs, sum(p.weight / p.total / p.k) OVER (PARTITION BY w.station_id, w.season ORDER BY w.pos ROWS UNBOUNDED PRECEDING) AS hi0, lead(w.pos) OVER (PARTITION BY w.station_id, w.season ORDER BY w.pos) AS nx FROM win w JOIN prob p USING (station_id, season, first))",
     "bounds AS (SELECT *, CASE WHEN nx IS NULL THEN 1.0 ELSE hi0 END AS hi, lag(hi0, 1, 0.0) OVER (PARTITION BY station_id, season ORDER BY pos) AS lo FROM cum)",
-    f"draws AS (SELECT *, {draw(f"'{SEED}'", 'station_id', 'season', 'b', 'j')} / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(0, ceil(target / least_obs)::BIGINT)) AS j FROM (SELECT DISTINCT station_id, season, target, least_obs FROM cum) CROSS JOIN (SELECT unnest(range(1, {B} + 1)) AS b)))",
+    f"draws AS (SELECT *, {draw(f"'{SEED}'", 'station_id', 'season', 'b', 'j')} / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(0, ceil(target / least_obs)::BIGINT)) AS j FROM (SELECT DISTINCT station_id, season, target, least_obs FROM cum) CROSS JOIN (SELECT unnest(range(1, {N_CI} + 1)) AS b)))",
     "hits AS (SELECT d.station_id, d.season, d.b, d.j, d.target, w.pos, w.wl, coalesce(sum(w.obs) OVER (PARTITION BY d.station_id, d.season, d.b ORDER BY d.j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM draws d JOIN bounds w ON w.station_id = d.station_id AND w.season = d.season AND d.u >= w.lo AND d.u < w.hi)",
     "vals AS (SELECT * FROM (SELECT h.station_id, h.season, h.b, h.target, h.before + row_number() OVER (PARTITION BY h.station_id, h.season, h.b, h.j ORDER BY c.pos) AS nth, c.value FROM hits h JOIN seen c ON c.station_id = h.station_id AND c.pos BETWEEN h.pos AND h.pos + h.wl - 1 WHERE h.before < h.target) WHERE nth <= target)",
     f"stats AS (SELECT station_id, season, b, {_MEDIAN} AS stat FROM vals GROUP BY ALL)",
@@ -196,7 +197,7 @@ _CONTRAST = [
     ),
 )
 def _(spark, sf):
-    return resample.contrast_ci(calendar(spark, sf), "season", SEASON_PAIRS, "median", 28, B, SEED)
+    return resample.contrast_ci(calendar(spark, sf), "season", SEASON_PAIRS, "median", 28, N_CI, SEED)
 
 
 _WPOS = "(SELECT *, date_diff('week', min(week_start) OVER (PARTITION BY station_id), week_start) AS pos FROM {0})"
@@ -213,12 +214,12 @@ _WPOS = "(SELECT *, date_diff('week', min(week_start) OVER (PARTITION BY station
         WEEKDIFF,
         f"wd AS (SELECT station_id, pos, difference AS value FROM {_WPOS.format('weekdiff')})",
         "noise AS (SELECT d.station_id, d.pos, d.value - m.m AS value FROM wd d JOIN (SELECT station_id, quantile_cont(value, 0.5) AS m FROM wd GROUP BY ALL) m USING (station_id))",
-        reps_sql("reps", "noise", [4]),
-        reps_sql("reps2", "wd", [4]),
+        reps_sql("reps", "noise", [4], N_NULL),
+        reps_sql("reps2", "wd", [4], N_CI),
     ),
 )
 def _(spark, sf):
-    return plan.paired_weekly(days(spark, sf), B, B, SEED).drop("p_independence")
+    return plan.paired_weekly(days(spark, sf), N_NULL, N_CI, SEED).drop("p_independence")
 
 
 @query(
@@ -229,11 +230,11 @@ def _(spark, sf):
         DAYS,
         WEEKLY,
         f"wk AS (SELECT station_id, pos, week_mean AS value, season FROM {_WPOS.format('weekly')})",
-        reps_sql("reps", "wk", [4], "season"),
+        reps_sql("reps", "wk", [4], N_NULL, "season"),
     ),
 )
 def _(spark, sf):
-    return plan.weekly_season(days(spark, sf), B, SEED).drop("p_independence")
+    return plan.weekly_season(days(spark, sf), N_NULL, SEED).drop("p_independence")
 
 
 @query(
@@ -244,11 +245,11 @@ def _(spark, sf):
         JOIN (SELECT station_id, min_hours, {_MEDIAN} AS point FROM cal GROUP BY ALL) USING (station_id, min_hours) WHERE stat IS NOT NULL GROUP BY station_id, min_hours, block""",
         "dd AS (SELECT station_id, CAST(timestamp AS DATE) AS date, count(pm25) AS k, avg(pm25) AS m FROM obs_grid GROUP BY ALL)",
         "cal AS (SELECT station_id, min_hours, date_diff('day', min(date) OVER (PARTITION BY station_id), date) AS pos, CASE WHEN k >= min_hours THEN m END AS value FROM dd CROSS JOIN (SELECT unnest([8, 12, 18]) AS min_hours))",
-        reps_sql("reps", "cal", [3, 7], key="station_id, min_hours"),
+        reps_sql("reps", "cal", [3, 7], N_CI, key="station_id, min_hours"),
     ),
 )
 def _(spark, sf):
-    return plan.inference_sensitivity(v.obs_grid(spark, sf), [8, 12, 18], [3, 7], B, SEED)
+    return plan.inference_sensitivity(v.obs_grid(spark, sf), [8, 12, 18], [3, 7], N_CI, SEED)
 
 
 @query(
@@ -259,11 +260,11 @@ def _(spark, sf):
         JOIN (SELECT station_id, year, {_MEDIAN} AS point FROM cal GROUP BY ALL) USING (station_id, year) WHERE stat IS NOT NULL GROUP BY station_id, year, block""",
         DAYS,
         "cal AS (SELECT station_id, year, pos - min(pos) OVER w AS pos, value FROM (SELECT *, year(date) AS year, count(value) OVER (PARTITION BY station_id, year(date)) AS k FROM days) WHERE k >= 30 WINDOW w AS (PARTITION BY station_id, year))",
-        reps_sql("reps", "cal", [28], key="station_id, year"),
+        reps_sql("reps", "cal", [28], N_CI, key="station_id, year"),
     ),
 )
 def _(spark, sf):
-    return plan.yearly_sensitivity(days(spark, sf), B, 28, SEED)
+    return plan.yearly_sensitivity(days(spark, sf), N_CI, 28, SEED)
 
 
 @query(
@@ -284,32 +285,32 @@ def _(spark, sf):
 
 @query("season_effect")
 def _(spark, sf):
-    return plan.season_effect(calendar(spark, sf), B, SEED)
+    return plan.season_effect(calendar(spark, sf), N_NULL, SEED)
 
 
 @query("weekday_effect")
 def _(spark, sf):
-    return plan.weekday_effect(calendar(spark, sf), B, SEED)
+    return plan.weekday_effect(calendar(spark, sf), N_NULL, SEED)
 
 
 @query("location_effect")
 def _(spark, sf):
-    return plan.location_effect(calendar(spark, sf), MU, "median", "median_location", B, SEED)
+    return plan.location_effect(calendar(spark, sf), MU, "median", "median_location", N_NULL, SEED)
 
 
 @query("posthoc_pairs")
 def _(spark, sf):
-    return plan.posthoc_pairs(calendar(spark, sf), B, B, SEED)
+    return plan.posthoc_pairs(calendar(spark, sf), N_NULL, N_CI, SEED)
 
 
 @query("inference_suite")
 def _(spark, sf):
-    return plan.inference_suite(days(spark, sf), MU, 250.0, B, SEED)
+    return plan.inference_suite(days(spark, sf), MU, 250.0, N_NULL, SEED)
 
 
 @query("inference_recheck")
 def _(spark, sf):
     d = calendar(spark, sf)
-    first = plan.location_effect(d, MU, "mean", "mean_location", B, SEED).withColumn("p_value", F.col("p_supporting"))
-    second = plan.location_effect(d, MU, "mean", "mean_location", B, SEED + 1).withColumn("p_value", F.col("p_supporting"))
-    return plan.inference_recheck(first, second, B)
+    first = plan.location_effect(d, MU, "mean", "mean_location", N_NULL, SEED).withColumn("p_value", F.col("p_supporting"))
+    second = plan.location_effect(d, MU, "mean", "mean_location", N_NULL, SEED + 1).withColumn("p_value", F.col("p_supporting"))
+    return plan.inference_recheck(first, second, N_NULL)
