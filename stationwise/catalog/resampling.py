@@ -7,6 +7,7 @@ for p-values.
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..operators import resample
 from ..plans import inference as plan
 from ..session import written
@@ -244,12 +245,12 @@ def _(spark, sf):
         f"""SELECT station_id, min_hours::BIGINT AS min_hours, block::BIGINT AS block, count(*) AS n_replicates, round(quantile_cont(stat, 0.025), 6) AS ci_low, round(quantile_cont(stat, 0.975), 6) AS ci_high, round(stddev_samp(stat), 6) AS replicate_sd, round(avg(obs), 6) AS mean_observed, round(any_value(point), 6) AS point FROM (SELECT station_id, min_hours, block, b, {_MEDIAN} AS stat, count(value) AS obs FROM reps GROUP BY ALL)
         JOIN (SELECT station_id, min_hours, {_MEDIAN} AS point FROM cal GROUP BY ALL) USING (station_id, min_hours) WHERE stat IS NOT NULL GROUP BY station_id, min_hours, block""",
         "dd AS (SELECT station_id, CAST(timestamp AS DATE) AS date, count(pm25) AS k, avg(pm25) AS m FROM obs_grid GROUP BY ALL)",
-        "cal AS (SELECT station_id, min_hours, date_diff('day', min(date) OVER (PARTITION BY station_id), date) AS pos, CASE WHEN k >= min_hours THEN m END AS value FROM dd CROSS JOIN (SELECT unnest([8, 12, 18]) AS min_hours))",
-        reps_sql("reps", "cal", [3, 7], N_CI, key="station_id, min_hours"),
+        "cal AS (SELECT station_id, min_hours, date_diff('day', min(date) OVER (PARTITION BY station_id), date) AS pos, CASE WHEN k >= min_hours THEN m END AS value FROM dd CROSS JOIN (SELECT unnest([12, 18, 24]) AS min_hours))",
+        reps_sql("reps", "cal", S.SENSITIVITY_BLOCKS, N_CI, key="station_id, min_hours"),
     ),
 )
 def _(spark, sf):
-    return plan.inference_sensitivity(v.obs_grid(spark, sf), [8, 12, 18], [3, 7], N_CI, SEED)
+    return plan.inference_sensitivity(v.obs_grid(spark, sf), [12, 18, 24], S.SENSITIVITY_BLOCKS, N_CI, SEED)
 
 
 @query(

@@ -32,3 +32,10 @@ def test_a_strong_weekend_can_reach_a_small_p(spark):
     daily = inference.labelled(calendar(spark, {"a": [100.0 + i % 5 if i % 7 > 4 else float(i % 5) for i in range(84)]}))
     row = inference.weekday_effect(daily, resampling.N_NULL, resampling.SEED).collect()[0]
     assert row["p_supporting"] < 2 / 41
+
+
+def test_sensitivity_covers_the_references_settings(spark):
+    """The smallest table has no day of 12 hours."""
+    rows = QUERIES["inference_sensitivity"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["block"] for r in rows} == {7, 14, 21, 28, 42}
+    assert {12, 18} <= {r["min_hours"] for r in rows} <= {12, 18, 24}
