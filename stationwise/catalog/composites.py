@@ -20,6 +20,8 @@ from .sequences import RUNS
 from .sources import export_archive, export_columnar
 
 STATIONS = ["click", "error", "purchase", "signup", "view"]
+#: All measures of merged().
+MERGED = ("pm25", "pm10", *v.WEATHER)
 
 
 def air_raw(spark, sf):
@@ -177,7 +179,7 @@ def _(spark, sf):
 
 @query("reanalysis")
 def _(spark, sf):
-    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), ("pm25", "temperature", "wind_speed"), MU, 250.0, N_NULL, SEED)
+    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), MERGED, MU, 250.0, N_NULL, SEED)
 
 
 @query("regression_suite")

@@ -59,6 +59,9 @@ def write_extended(df: DataFrame, path: str) -> str:
     return path
 
 
+CIRCULAR = ("circular_mean", "circular_sd")
+
+
 def _long(df: DataFrame, section: str, label: str, metrics: Sequence[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     return df.select(S.STATION, F.col(label).cast("string").alias("item"), F.explode(cells).alias("_r")).select(
@@ -78,7 +81,9 @@ def reanalysis(hourly: DataFrame, days: DataFrame, variables: Sequence[str], med
         [
             _long(quality_rows, "quality", "item", ["valid_hours", "coverage_pct_calendar", "gap_count", "longest_gap_hours"]),
             _long(grid.missing_runs(hourly, min_span=2), "gaps", "run_start", ["gap_hours"]),
-            _long(profile_rows, "profile", "variable", ["n", "mean", "sd", "median", "p95", "skewness"]),
+            _long(profile_rows, "profile", "variable", ["n", "mean", "sd", "median", "p95", "skewness", *CIRCULAR]).filter(
+                ~F.col("metric").isin(*CIRCULAR) | (F.col("item") == "wind_direction")
+            ),
             _long(pairs, "correlation", "variable", ["pearson", "spearman", "pair_pct"]),
             _long(tests, "inference", "test", ["statistic", "estimate", "p_value", "holm_p"]),
         ],

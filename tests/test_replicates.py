@@ -3,8 +3,9 @@
 import pytest
 
 from stationwise import catalog
-from stationwise.catalog import resampling
-from stationwise.plans import inference
+from stationwise.catalog import composites, resampling, views as v
+from stationwise.catalog.inference import days
+from stationwise.plans import dataset, inference
 from tests.helpers import calendar
 
 QUERIES, _ = catalog.load()
@@ -39,3 +40,12 @@ def test_sensitivity_covers_the_references_settings(spark):
     rows = QUERIES["inference_sensitivity"](spark, "/root/testdata/sf0.01").collect()
     assert {r["block"] for r in rows} == {7, 14, 21, 28, 42}
     assert {12, 18} <= {r["min_hours"] for r in rows} <= {12, 18, 24}
+
+
+def test_reanalysis_profiles_and_correlates_every_measure(spark):
+    """Eight measures of merged(), the angle also by circular statistics; few replicates, as they aren't looked at."""
+    rows = dataset.reanalysis(v.merged(spark, SF), days(spark, SF), composites.MERGED, 255.0, 250.0, 2, 42).filter("section in ('profile', 'correlation')").collect()
+    measures = {"pm25", "pm10", "temperature", "relative_humidity", "wind_speed", "wind_direction", "precipitation", "surface_pressure"}
+    assert {r["item"] for r in rows if r["section"] == "profile"} == measures
+    assert {r["item"] for r in rows if r["section"] == "correlation"} == measures - {"pm25"}
+    assert {r["item"] for r in rows if r["metric"] == "circular_mean"} == {"wind_direction"}
