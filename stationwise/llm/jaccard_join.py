@@ -390,6 +390,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
 
     sets = src.join(some, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, tokens binary")
+    # nodes that only documents without a key have: no doc_id names them, so those documents are asked for their node
+    unnamed = likely.join(nodes.filter("low is null"), "node", "left_semi").select("node")
+    keyless = src.filter("doc_id is null").select("text").mapInArrow(whole, "node long, tokens binary")
+    sets = sets.unionByName(keyless.join(unnamed, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")))
     roots = components(block_links(likely.withColumnRenamed("root", "block"), facts, sets, rule, exact=True))
     nodes = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "nodes")
     least_id = written(nodes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("held")), "roots")

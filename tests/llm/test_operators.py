@@ -278,3 +278,12 @@ def test_quality_ranking(spark, docs, empty):
     one_class = quality_rank.fit(given, labels.filter("quality = 1"))
     assert quality_rank.keep_good(given, one_class).count() == given.count()
     assert quality_rank.features(pa.array(["", "a b a"])).shape == (2, quality_rank.FEATURES)
+
+
+def test_keyless_near_copy_bridges_two_documents(spark):
+    w = [f"w{i}" for i in range(60)]
+    first, bridge, last = " ".join(w), " ".join(w[6:] + [f"v{i}" for i in range(6)]), " ".join(w[12:] + [f"v{i}" for i in range(12)])
+    ends = brute_components(list(enumerate([first, last])))
+    assert ends[1][1] == 1 and brute_components(list(enumerate([first, bridge, last])))[2][1] == 0
+    frame = spark.createDataFrame([(1, first, "", "", 0), (None, bridge, "", "", 0), (3, last, "", "", 0)], DOCS)
+    assert {r.component_id for r in jaccard_join.near_duplicates(frame).collect()} == {1}
