@@ -411,10 +411,16 @@ def _among(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stand for their component: those whose key is its smallest.
+    """The rows of docs, all columns, that stand for their component: one row of its smallest key.
 
-    Documents without shingles, and rows without a key, stay. Repeated rows of a key with
-    equal columns leave one row.
+    Rows are told apart by a number of their own, so a key may repeat, with equal or
+    different texts. Documents without shingles, and rows without a key, stay. Repeated
+    rows of a key with equal columns leave one row.
     """
-    found = near_duplicates(docs, key, text).filter("doc_id != component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(found, F.col(f"`{key}`").cast("long") == F.col("__doc"), "left_anti").dropDuplicates()
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    keys = numbered.select("__row", F.col(f"`{key}`").cast("long").alias("__key"))
+    found = near_duplicates(numbered, "__row", text).select(F.col("doc_id").alias("__row"), "component_id")
+    keyed = found.join(keys.filter("__key is not null"), "__row")
+    first = keyed.groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("first")).select("first.__row")
+    stay = first.unionByName(keys.filter("__key is null").select("__row"))
+    return numbered.join(stay, "__row", "left_semi").drop("__row").dropDuplicates()

@@ -287,3 +287,13 @@ def test_keyless_near_copy_bridges_two_documents(spark):
     assert ends[1][1] == 1 and brute_components(list(enumerate([first, bridge, last])))[2][1] == 0
     frame = spark.createDataFrame([(1, first, "", "", 0), (None, bridge, "", "", 0), (3, last, "", "", 0)], DOCS)
     assert {r.component_id for r in jaccard_join.near_duplicates(frame).collect()} == {1}
+
+
+def test_keep_one_decides_by_row(spark):
+    first = " ".join(f"w{i}" for i in range(60))
+    other, alone = " ".join(f"o{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    texts = [(5, other), (6, other + " x"), (6, alone), (8, first), (8, first + " y"), (None, other + " z")]
+    frame = spark.createDataFrame([(d, t, "", "", 0) for d, t in texts], DOCS)
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame).collect()]
+    assert (5, other) in kept and (6, alone) in kept and (None, other + " z") in kept
+    assert len(kept) == 4 and sum(d == 8 for d, _ in kept) == 1
