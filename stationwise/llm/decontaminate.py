@@ -19,8 +19,8 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 13, item: str = "item_id", text: str = "text") -> DataFrame:
-    """Distinct (item_id, words, size, hash) windows of n words; an item of fewer words is one window."""
-    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), words_of(F.col(f"`{text}`")).alias("w")).filter("size(w) > 0 and item_id is not null")
+    """Distinct (item_id, words, size, hash) windows of n words; an item of fewer words is one window, one without an id has its windows all the same."""
+    items = benchmark.select(F.col(f"`{item}`").alias("item_id"), words_of(F.col(f"`{text}`")).alias("w")).filter("size(w) > 0")
     size = F.least(F.size("w"), F.lit(n))
     at = F.explode(F.sequence(F.lit(1), F.size("w") - size + 1))
     out = items.select("item_id", "w", size.alias("size"), at.alias("at")).select("item_id", F.slice("w", F.col("at"), F.col("size")).alias("words"), "size")
@@ -70,7 +70,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
 
     A document word inside any occurrence of a benchmark window is hit. A document is
     contaminated if n_hit > 0 and share * n_hit >= n_words. Candidate windows are those
-    with a benchmark window's hash; a join on the words themselves verifies them. Other
+    with a benchmark window's hash; a join on the words themselves verifies them. Windows of
+    items without an id count for n_hit, spans and contaminated; item_ids leaves the null out. Other
     columns pass through, but for text; columns named like a result are replaced. Null and empty texts have no
     words. Repeated rows give repeated results; empty tables are fine.
     """

@@ -280,6 +280,14 @@ def test_quality_ranking(spark, docs, empty):
     assert quality_rank.features(pa.array(["", "a b a"])).shape == (2, quality_rank.FEATURES)
 
 
+def test_windows_of_items_without_an_id_count(spark):
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (7, "red green blue")], "item_id long, text string")
+    frame = spark.createDataFrame(rows(["x alpha beta gamma delta", "red green blue", "none"]), DOCS)
+    for sent in (1000, 1):
+        got = {r.doc_id: (r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.contamination(frame, bench, sent=sent).collect()}
+        assert got == {0: (4, [], True), 1: (3, ["7"], True), 2: (0, [], False)}
+
+
 def test_keyless_near_copy_bridges_two_documents(spark):
     w = [f"w{i}" for i in range(60)]
     first, bridge, last = " ".join(w), " ".join(w[6:] + [f"v{i}" for i in range(6)]), " ".join(w[12:] + [f"v{i}" for i in range(12)])
