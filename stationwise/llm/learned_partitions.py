@@ -24,6 +24,7 @@ AIM = 0.97
 BLOCK = 4096
 #: A partition may exceed its fair share of the sample by this factor.
 SLACK = 1.1
+ROUTED = ["part", "ask", "vec_id", "asked", "v"]
 
 
 @dataclass
@@ -155,11 +156,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
     query's own key. Partitions and router are learned on at most SAMPLE vectors; all
     vectors are indexed, each in the partition that the router finds likeliest, and each
     query searches as many partitions as held AIM of the true neighbours of a part of the
-    sample that was not learned on. Scores are exact, summed alike for equal vectors; ties
+    sample that was not learned on, or all where those hold fewer than k others. Scores are exact, summed alike for equal vectors; ties
     go to the smaller key. Fewer candidates than k give fewer rows.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite
-    components take no part. Rows of one key with several vectors count each. Extra columns
+    components take no part. Rows of one key with several vectors count each; as queries, each
+    distinct vector of a key is asked once and has its own ranks. Extra columns
     are ignored; an empty table gives no rows.
     """
     indexed = usable(vectors, key, vector)
@@ -170,21 +172,38 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
     parts = max(1, min(parts, len(x) // 16))
     router = learn(x, parts, k) if parts > 1 else None
 
+    def home(batches):
+        """A row for the home of each vector (ask 0)."""
+        for b in batches:
+            if b.num_rows:
+                part = router.best(_matrix(b.column("v")), 1)[:, 0] if router else np.zeros(b.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.zeros(b.num_rows, np.int32)), b.column("vec_id"), pa.nulls(b.num_rows, pa.int64()), b.column("v")], names=ROUTED)
+
+    schema = "part int, ask int, vec_id long, asked long, v array<double>"
+    homes = written(indexed.mapInArrow(home, schema), "homes")
+    held_by = np.zeros(max(1, parts), np.int64)
+    for r in homes.groupBy("part").count().collect():  # at most 256 rows
+        held_by[r["part"]] = r["count"]
+
     def route(batches):
-        """A row for the home of each vector (ask 0), and for each partition a query searches (ask 1)."""
+        """A row for each partition that a query searches (ask 1): the likeliest, or all if those may hold fewer than k others."""
         for b in batches:
             if not b.num_rows:
                 continue
             m = _matrix(b.column("v"))
-            order = router.best(m, router.probes) if router else np.zeros((len(m), 1), np.int64)
-            asks = np.flatnonzero(b.column("vec_id").to_numpy() % every == 0)
-            rows = np.concatenate([np.arange(len(m)), np.repeat(asks, order.shape[1])])
-            part = np.concatenate([order[:, 0], order[asks].ravel()])
-            ask = np.concatenate([np.zeros(len(m)), np.ones(len(asks) * order.shape[1])])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(ask.astype(np.int32)), b.column("vec_id").take(pa.array(rows)), b.column("v").take(pa.array(rows))], names=["part", "ask", "vec_id", "v"])
-
-    routed = written(indexed.mapInArrow(route, "part int, ask int, vec_id long, v array<double>"), "routed")
-    blocks = routed.filter("ask = 0").groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+            order = router.best(m, parts) if router else np.zeros((len(m), 1), np.int64)
+            probes = router.probes if router else 1
+            short = held_by[order[:, :probes]].sum(1) - b.column("own").to_numpy() < k
+            rows, at = np.nonzero(short[:, None] | (np.arange(order.shape[1]) < probes)[None, :])
+            pick = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(order[rows, at].astype(np.int32)), pa.array(np.ones(len(rows), np.int32)), b.column("vec_id").take(pick), b.column("asked").take(pick), b.column("v").take(pick)], names=ROUTED)
+
+    mine = homes.filter(F.col("vec_id") % every == 0)
+    own = mine.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asking = mine.select("vec_id", "v").distinct().withColumn("asked", F.monotonically_increasing_id()).join(own, "vec_id")
+    asks = written(asking.select("vec_id", "asked", "own", "v").mapInArrow(route, schema), "asks")
+    routed = homes.unionByName(asks)
+    blocks = homes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = routed.join(blocks, "part")  # one row per partition
     mine = F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("ask") == 0, mine).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).drop("blocks")
@@ -207,16 +226,16 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
                     held.append((ids, m))
                 elif held:
                     ready = ready or (np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
-                    yield _top(ids, m, *ready, k)
+                    yield _top(part.column("asked").to_numpy(), ids, m, *ready, k)
 
-    near = dealt.mapInArrow(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    near = dealt.mapInArrow(compare, "asked long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")).cast("int")
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _top(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+def _top(asked: np.ndarray, queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
     """The k nearest of each query in a block, all ties at the edge considered."""
-    out: list[list[np.ndarray]] = [[], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ v.T
         room = 1e-9 * np.abs(s).max(axis=1)
@@ -225,10 +244,11 @@ def _top(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
             at = np.flatnonzero((row >= edge[r] - room[r]) & (ids != queries[i + r]))
             score = (v[at] * q[i + r]).sum(axis=1)
             best = np.lexsort([ids[at], -score])[:k]
-            out[0].append(np.full(len(best), queries[i + r]))
-            out[1].append(ids[at][best])
-            out[2].append(score[best])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+            out[0].append(np.full(len(best), asked[i + r]))
+            out[1].append(np.full(len(best), queries[i + r]))
+            out[2].append(ids[at][best])
+            out[3].append(score[best])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["asked", "query_id", "vec_id", "score"])
 
 
 def brute_force(ids: np.ndarray, v: np.ndarray, k: int, every: int) -> Iterator[tuple[int, list[int]]]:

@@ -280,6 +280,36 @@ def test_quality_ranking(spark, docs, empty):
     assert quality_rank.features(pa.array(["", "a b a"])).shape == (2, quality_rank.FEATURES)
 
 
+def test_repeated_queries_and_small_partitions_have_k_neighbours(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.normal(size=(400, 8)), 50 + 0.01 * rng.normal(size=(6, 8))])
+    data = [(i, x.tolist()) for i, x in enumerate(v)]
+    data += [data[20], data[20], (40, data[41][1]), (400, data[400][1])]
+    got = {}
+    for r in learned_partitions.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), partitions=24).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == set(range(0, 401, 20))
+    for q, hits in got.items():  # 40 has two vectors
+        assert sorted(r for r, _ in hits) == sorted([*range(1, 21)] * (2 if q == 40 else 1))
+    assert len({i for _, i in got[20]}) >= 19  # 40 may be there with both its vectors
+
+
+def test_small_partitions_are_widened(spark, monkeypatch):
+    """A router that sends each query to one partition of few vectors."""
+    x = np.eye(8)[np.arange(200) % 8] + 0.01 * np.arange(200)[:, None]
+    real = learned_partitions.learn
+
+    def one_probe(*a):
+        router = real(*a)
+        router.probes = 1
+        return router
+
+    monkeypatch.setattr(learned_partitions, "learn", one_probe)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows_ = learned_partitions.search(frame, k=60, partitions=8).collect()
+    assert all(sum(r.query_id == q for r in rows_) == 60 for q in range(0, 200, 20))
+
+
 def test_windows_of_items_without_an_id_count(spark):
     bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (7, "red green blue")], "item_id long, text string")
     frame = spark.createDataFrame(rows(["x alpha beta gamma delta", "red green blue", "none"]), DOCS)
