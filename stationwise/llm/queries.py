@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import use_utc
-from . import chat_trees, decontaminate, jaccard_join, learned_partitions, pii_bootstrap, quality_rank, segment_bpe, token_counts, token_files, url_filter
+from . import chat_trees, decontaminate, grid_order_join, jaccard_join, learned_partitions, level_products, pii_bootstrap, quality_rank, segment_bpe
+from . import threshold_centroids, token_counts, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -158,3 +159,54 @@ def op10(spark, sf_dir):
     """Byte-level BPE of every document, and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return segment_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+_KMEANS_ROUND = """
+m{i} AS (SELECT k.vec_id, k.v, min({{'d': list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) AS m FROM kept k CROSS JOIN c{i} c GROUP BY k.vec_id, k.v),
+s{i} AS (SELECT m.c AS c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT m, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM m{i}) GROUP BY ALL),
+n{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c),
+c{j} AS (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN n{i} n USING (c)),"""
+_KMEANS_SQL = f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, v FROM kept QUALIFY c < 16),
+{"".join(_KMEANS_ROUND.format(i=i, j=i + 1) for i in range(3))}
+last AS (SELECT k.vec_id, min({{'d': list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, 'c': c.c}}) AS m FROM kept k CROSS JOIN c3 c GROUP BY k.vec_id)
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, sum(m.d) OVER (PARTITION BY m.c)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM last JOIN c3 ON c3.c = m.c
+"""
+
+
+@query("op11_threshold_centroids", _KMEANS_SQL)
+def op11(spark, sf_dir):
+    """Every vector's cluster after three rounds."""
+    return threshold_centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+_AUDIT_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+l AS (SELECT lang, coalesce(any_value(v), 0) AS v, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang) USING (lang) GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY ALL) USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS p, 1 + 1000000000 * (k.n + 1) // (l.total + l.v) AS q
+  FROM g JOIN l USING (lang) JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r
+QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_level_products", _AUDIT_SQL)
+def op12(spark, sf_dir):
+    """Sources of each language against each other, and the terms that set them apart."""
+    return level_products.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("op13_grid_order_join")
+def op13(spark, sf_dir):
+    """Links and components of all vectors."""
+    return grid_order_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
