@@ -85,21 +85,45 @@ class UnitEncoder:
         at = np.fromiter((index.get(u, -1) for u in units), np.int64, len(units))
         return at, np.fromiter((-1 if h[-1:].isspace() else index[h,] for h in heads), np.int64, len(heads))
 
+    def cut(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each unit's ids are, where each text's units end, and which texts are to be encoded whole."""
+        whole = pc.match_substring(part, GLUE).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(part, "\n", " \n"), r"(\pL)([.,;:!?]) ", rf"\1 {GLUE}\2 "), " ")
+        ends = pieces.offsets.to_numpy()
+        values = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends = ends - ends[0]
+        units, heads = self.learn(values.dictionary.to_pylist(), pieces.values.take(pieces.offsets[:-1]).to_pylist())
+        at = units[values.indices.to_numpy()]
+        at[ends[:-1]] = heads
+        bad = np.concatenate([[0], np.cumsum(at < 0)])
+        return at, ends, whole | (bad[ends[1:]] > bad[ends[:-1]])
+
     def encode_block(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
         """For each text its ids, in pieces."""
         for a, b in blocks(texts):
             part = texts.slice(a, b - a)
-            whole = pc.match_substring(part, GLUE).to_pylist()
-            cut = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(part, "\n", " \n"), r"(\pL)([.,;:!?]) ", rf"\1 {GLUE}\2 "), " ")
-            ends = cut.offsets.to_numpy()
-            values = cut.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-            ends = ends - ends[0]
-            units, heads = self.learn(values.dictionary.to_pylist(), cut.values.take(cut.offsets[:-1]).to_pylist())
-            at = units[values.indices.to_numpy()]
-            at[ends[:-1]] = heads
-            bad = np.concatenate([[0], np.cumsum(at < 0)])
+            at, ends, whole = self.cut(part)
             for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
-                yield iter([self.encode_many([part[i].as_py()])[0]]) if whole[i] or bad[hi] > bad[lo] else self._slices(at[lo:hi])
+                yield iter([self.encode_many([part[i].as_py()])[0]]) if whole[i] else self._slices(at[lo:hi])
+
+    def encode_rows(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For neighbouring texts their ids in a row, and how many each has."""
+        for a, b in blocks(texts):
+            part = texts.slice(a, b - a)
+            at, ends, whole = self.cut(part)
+            alone = np.flatnonzero(whole)
+            own, own_n = self.encode_many(part.take(pa.array(alone)).to_pylist()) if len(alone) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            at = at[np.repeat(~whole, np.diff(ends))]
+            sizes = self.runs.sizes[at]
+            sums = np.concatenate([[0], np.cumsum(sizes)])
+            kept = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(ends)))])
+            counts = np.diff(sums[kept])
+            counts[alone] = own_n
+            flat = np.empty(int(counts.sum()), np.uint32)
+            from_own = np.repeat(whole, counts)
+            flat[from_own] = own
+            flat[~from_own] = gather(self.runs.pool, self.runs.starts[at], sizes)
+            yield flat, counts
 
     def _slices(self, at: np.ndarray) -> Iterator[np.ndarray]:
         for i in range(0, len(at), SLICE):

@@ -201,7 +201,7 @@ class TokenFiles:
 
         asked = keys.select(F.col(f"`{key}`").cast("long").alias("doc_id")).mapInArrow(shard, "doc_id long, shard int")
         asked = asked.join(self.manifest().select("shard", "base"), "shard").select("shard", "doc_id", "base")
-        asked = asked.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
+        asked = asked.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
 
         def look_up(batches):
             files, root = _open(folder)
@@ -263,27 +263,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: in
     kind = f"<u{id_bytes}"
 
     def encode(batches):
+        """Rows of neighbouring documents share one buffer of ids, cut by offsets."""
         units = _encoder(tokenizer)
-        end = np.array([end_id], np.uint32)
         for b in batches:
-            shard = _shard_of(b.column("doc_id"), cuts)
-            for i, parts in enumerate(units.encode_block(b.column("__text"))):
-                ids = np.concatenate([*parts, end])
-                if int(ids.max()) >= 1 << (8 * id_bytes):
-                    raise ValueError(f"id {ids.max()} needs more than {id_bytes} bytes")
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i : i + 1]), b.column("doc_id").slice(i, 1), pa.array([ids.astype(kind).tobytes()], pa.binary())], names=["shard", "doc_id", "ids"])
-
-    def gathered(batches):
-        """Batches of about IO_BYTES instead of one per document."""
-        held, size = [], 0
-        for b in encode(batches):
-            held.append(b)
-            size += b.nbytes
-            if size >= IO_BYTES:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            shard, at = _shard_of(b.column("doc_id"), cuts), 0
+            for flat, counts in units.encode_rows(b.column("__text")):
+                if max(end_id, int(flat.max(initial=0))) >= 1 << (8 * id_bytes):
+                    raise ValueError(f"id {max(end_id, int(flat.max(initial=0)))} needs more than {id_bytes} bytes")
+                ends = np.cumsum(counts + 1)
+                ids = np.full(int(ends[-1]), end_id, kind)
+                text_id = np.ones(len(ids), bool)
+                text_id[ends - 1] = False
+                ids[text_id] = flat
+                cells = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]) * id_bytes), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[at : at + len(ends)]), b.column("doc_id").slice(at, len(ends)), cells.cast(pa.binary())], names=["shard", "doc_id", "ids"])
+                at += len(ends)
 
     def write(batches):
         files, root = _open(folder)
@@ -315,7 +309,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_bytes: in
             files.move(temp + end, f"{root}/{shard:08d}{end}")
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["shard", "n_docs", "n_ids"])
 
-    encoded = src.mapInArrow(gathered, "shard int, doc_id long, ids binary")
-    ordered = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+    encoded = src.mapInArrow(encode, "shard int, doc_id long, ids binary")
+    ordered = encoded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
     ordered.mapInArrow(write, "shard int, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return TokenFiles(spark, folder, cuts)
