@@ -56,20 +56,31 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     queries, _ = catalog.load()
     names = [n for n in HEADLINE if n in queries]
-    queries[names[0]](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-    times = {}
-    for name in names:
+    times: dict[str, float | None] = {}
+    errors: dict[str, str] = {}
+
+    def timed(name: str) -> float | None:
+        """Seconds, or None where the query fails; the others are still timed."""
         start = time.perf_counter()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
+        try:
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+            return None
+        return round(time.perf_counter() - start, 3)
+
+    timed(names[0])  # warm-up
+    for name in names:
+        times[name] = timed(name)
     spark.stop()
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total",
-                "value": round(sum(times.values()), 3),
+                "value": round(sum(t for t in times.values() if t is not None), 3),
                 "unit": "sec",
                 "queries": times,
+                "errors": errors,
                 "sf": Path(sf_dir).name.removeprefix("sf"),
             }
         )

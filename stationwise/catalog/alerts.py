@@ -164,3 +164,9 @@ def _(spark, sf):
 @query("temporal_backtest")
 def _(spark, sf):
     return alerts.temporal_backtest(model_frame(spark, sf), FEATURES)
+
+
+@query("alert_drift")
+def _(spark, sf):
+    """Metrics per test year and month at the threshold locked on train."""
+    return alerts.locked_drift(model_frame(spark, sf), FEATURES)

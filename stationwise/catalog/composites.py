@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from .. import schema as S
+from ..operators import quality, resample
 from ..operators.stats import holm
 from ..plans import cleaning, dataset, inference, suites
 from ..schema import EXPECTED_UNITS
@@ -15,7 +16,7 @@ from .inference import MU, days
 from .linear import CALENDAR, model_table
 from .panels import LABELLED, SEASON, labelled
 from .quality import MEASURES, extended, six_dimension_sql
-from .resampling import N_NULL, SEED
+from .resampling import N_CI, N_NULL, SEED
 from .sequences import RUNS
 from .sources import export_archive, export_columnar
 
@@ -179,12 +180,18 @@ def _(spark, sf):
 
 @query("reanalysis")
 def _(spark, sf):
-    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), MERGED, MU, 250.0, N_NULL, SEED)
+    ext = written(extended(spark, sf), "extended")
+    return dataset.reanalysis(v.merged(spark, sf), days(spark, sf), MERGED, MU, 250.0, N_NULL, SEED, ext, N_CI)
 
 
 @query("regression_suite")
 def _(spark, sf):
-    return suites.regression_suite(model_table(spark, sf), "pm25", [*FEATURES, *CALENDAR])
+    every = [*FEATURES, *CALENDAR]
+    sets = {"mean": [], "full": every, "no_calendar": list(FEATURES), "weather_pair": ["temperature", "wind_speed"], "with_lag": [*every, "lag_24h"]}
+    table = written(model_table(spark, sf), "model_table")
+    derived = extended(spark, sf).select("station_id", "timestamp", "pm25_derived")
+    table = written(table.drop("pm25_derived").join(derived, ["station_id", "timestamp"], "left"), "with_derived")
+    return suites.regression_suite(table, "pm25", every, sets, "pm25_derived", ["wind_speed", "precipitation", "temperature"])
 
 
 @query("alert_suite")
@@ -209,12 +216,15 @@ def _(spark, sf):
 
 @query("revalidate")
 def _(spark, sf):
-    """Published quality rows and a test family, both recomputed here, checked against the extended table."""
+    """Quality rows, a test family and bootstrap intervals, each checked by another path."""
     ext = written(extended(spark, sf), "extended")
-    published = quality.period_quality_table(ext)
-    tests = written(inference.weekday_effect(written(days(spark, sf), "calendar"), N_NULL, SEED), "tests")
+    published = written(quality.period_quality_table(ext), "published")
+    calendar = written(days(spark, sf), "calendar")
+    tests = written(inference.weekday_effect(calendar, N_NULL, SEED), "tests")
+    reported = written(resample.compact_mean_report(calendar, N_NULL, S.SENSITIVITY_BLOCKS, SEED), "reported")
+    recheck = inference.inference_recheck(reported, calendar, N_NULL, S.SENSITIVITY_BLOCKS, SEED)
     results = tests.select(
         F.lit("weekday").alias("family"), F.col("station_id").alias("test"), "estimate", "ci_low", "ci_high", F.col("p_value").alias("p")
     )
     adjusted = holm(results, ["family"], "p", "test")
-    return dataset.revalidate(ext, STATIONS, published, adjusted.withColumn("rejected", F.col("holm_p") < 0.05))
+    return dataset.revalidate(ext, STATIONS, published, adjusted.withColumn("rejected", F.col("holm_p") < 0.05), recheck)

@@ -73,7 +73,7 @@ def _(spark, sf):
     dim = v.weather_hourly(spark, sf).select("timestamp", F.col("relative_humidity").alias("rh"))
     air = v.obs_grid(spark, sf).select("station_id", "timestamp")
     return (
-        air.join(dim, "timestamp", "left")
+        joins.lookup_many_to_one(air, dim, ["timestamp"])
         .groupBy("station_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -259,8 +259,8 @@ def _(spark, sf):
     df = v.obs_hourly(spark, sf).filter(
         ~((F.col("station_id") == "view") & (t >= "2024-01-09")) & ~((F.col("station_id") == "click") & (t < "2024-01-12"))
     )
-    named = ("click error", "click purchase", "click signup", "click view", "error purchase", "error signup", "error view", "purchase signup", "purchase view", "signup view")
-    pairs = spark.sql("SELECT * FROM VALUES " + ", ".join(str(tuple(n.split())) for n in named) + " AS t(station_a, station_b)")
+    # all stations of the events table form one network, whatever their names and number
+    pairs = joins.pairs_within(df.select("station_id").withColumn("network", F.lit("events")), "network")
     return joins.station_pair_overlap(df, pairs)
 
 

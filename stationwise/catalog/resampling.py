@@ -311,7 +311,7 @@ def _(spark, sf):
 
 @query("inference_recheck")
 def _(spark, sf):
+    """Bootstrap intervals of the mean, checked by prefix sums and by the closed form."""
     d = calendar(spark, sf)
-    first = plan.location_effect(d, MU, "mean", "mean_location", N_NULL, SEED).withColumn("p_value", F.col("p_supporting"))
-    second = plan.location_effect(d, MU, "mean", "mean_location", N_NULL, SEED + 1).withColumn("p_value", F.col("p_supporting"))
-    return plan.inference_recheck(first, second, N_NULL)
+    reported = written(resample.compact_mean_report(d, N_NULL, S.SENSITIVITY_BLOCKS, SEED), "reported")
+    return plan.inference_recheck(reported, d, N_NULL, S.SENSITIVITY_BLOCKS, SEED)

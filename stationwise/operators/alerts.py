@@ -11,17 +11,19 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions import scalar as fn
 from ..session import written
-from .linear import fold_rows
+from . import keyed_logistic as keyed
 from .sequence import hour_number, running
 from .splits import apply_scaler, fit_scaler
 
@@ -276,18 +278,18 @@ def score_model(model, rows: DataFrame, features: Sequence[str], name: str) -> D
     )
 
 
-def baseline_scores(frame: DataFrame) -> DataFrame:
-    """Prior (train share of positives) and persistence (past mean) scores of the test rows."""
-    used = frame.filter("row_state = 'used'")
-    train = used.filter("split = 'train'").agg(F.avg("label").alias("_prior"), F.avg("past_mean").alias("_fill"))
-    prior, fill = train.select("_prior").scalar(), train.select("_fill").scalar()
-    test = used.filter("split = 'test'")
+def baseline_scores(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Prior (train share of positives) and persistence (past mean) scores of the test rows, per key."""
+    k = [*keys, "_scope"]
+    used = frame.filter("row_state = 'used'").withColumn("_scope", F.lit("all"))
+    train = used.filter("split = 'train'").groupBy(*k).agg(F.avg("label").alias("_prior"), F.avg("past_mean").alias("_fill"))
+    test = used.filter("split = 'test'").join(train, k, "left")
     cells = F.array(
-        F.struct(F.lit("prior").alias("model"), prior.alias("score")),
-        F.struct(F.lit("persistence").alias("model"), fn.persistence_probability("past_mean", fill).alias("score")),
+        F.struct(F.lit("prior").alias("model"), F.col("_prior").alias("score")),
+        F.struct(F.lit("persistence").alias("model"), fn.persistence_probability("past_mean", F.col("_fill")).alias("score")),
     )
-    return test.select(S.STATION, S.TIME, F.col("label").alias("y"), F.explode(cells).alias("_m")).select(
-        S.STATION, S.TIME, "y", "_m.score", "_m.model"
+    return test.select(*keys, S.STATION, S.TIME, F.col("label").alias("y"), F.explode(cells).alias("_m")).select(
+        *keys, S.STATION, S.TIME, "y", "_m.score", "_m.model"
     )
 
 
@@ -315,90 +317,122 @@ def model_scores(frame: DataFrame, features: Sequence[str], trees: int = 100, de
     return reduce(DataFrame.unionByName, parts)
 
 
+def used_rows(frame: DataFrame, features: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """What fits need of the used rows of a frame."""
+    return frame.filter("row_state = 'used'").select(*keys, S.STATION, S.TIME, "split", "label", *features)
+
+
 def out_of_fold_scores(frame: DataFrame, features: Sequence[str], n_folds: int = 5, c: float = 1.0) -> DataFrame:
     """Expanding-window logistic scores of the train rows; a single-class fold scores its own prevalence.
 
     Folds cut the distinct hours of all stations, because one model learns from all of them: no
-    station's train hours are later than another's validation hours.
+    station's train hours are later than another's validation hours. All folds are fitted at once.
     """
-    train = frame.filter("row_state = 'used' and split = 'train'").select(S.STATION, S.TIME, "label", "row_state", *features)
-    hours = train.select(S.TIME, F.lit("all").alias("_scope")).distinct()
-    folds = written(train.join(fold_rows(hours, n_folds, ["_scope"]).drop("_scope"), S.TIME), "folds")
-    parts = []
-    for fold in range(1, n_folds + 1):
-        part = folds.filter(F.col("fold") == fold).withColumn(
-            "split", F.when(F.col("role") == "train", "train").otherwise("test")
-        )
-        ready = prepared(part, features)
-        tr, va = ready.filter("split = 'train'"), ready.filter("split = 'test'")
-        n, pos = class_counts(tr)
-        if pos in (0, n):
-            scored = va.select(S.STATION, S.TIME, F.col("label").alias("y"), F.lit(pos / max(n, 1)).alias("score"), F.lit("logistic").alias("model"))
-        else:
-            scored = score_model(fit_model(tr, features, logistic(c, n)), va, features, "logistic")
-        parts.append(scored.withColumn("fold", F.lit(fold).cast("long")))
-    return reduce(DataFrame.unionByName, parts)
+    train = used_rows(frame, features).filter("split = 'train'")
+    folds = written(train.join(keyed.members(train.select(S.TIME).distinct(), n_folds), S.TIME), "folds")
+    _, scored = keyed.fit_and_score(folds, ["fold"], features, c)
+    return scored.select(S.STATION, S.TIME, F.col("label").alias("y"), "score", F.lit("logistic").alias("model"), F.col("fold").cast("long").alias("fold"))
+
+
+def tuned_models(rows: DataFrame, keys: Sequence[str], features: Sequence[str], n_folds: int = 5, c: float = 1.0, min_rows: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fits, thresholds, scored test rows) of the logistic model of every key.
+
+    `rows` are used rows with keys, split, label and features. The model of all train rows
+    and those of the expanding folds inside them are keys of one fit; thresholds are tuned
+    on the folds' own validation scores, so no test row is looked at.
+    """
+    keys = list(keys)
+    train = rows.filter("split = 'train'")
+    folds = written(keyed.members(train.select(*keys, S.TIME).distinct(), n_folds, keys), "folds")
+    whole = rows.withColumns({"fold": F.lit(0), "role": F.col("split")})
+    every = whole.unionByName(train.join(folds, [*keys, S.TIME]).select(*whole.columns))
+    fits, scored = keyed.fit_and_score(every, [*keys, "fold"], features, c, min_rows)
+    scored = written(scored, "tuned_scores")
+    tau = tune_threshold(scored.filter("fold > 0"), keys, y="label")
+    return fits.filter("fold = 0").drop("fold"), tau, scored.filter("fold = 0").drop("fold", "role")
+
+
+def odds_of(fits: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """keys, feature, coef and odds_ratio of fitted models."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col("beta")[i].alias("coef")) for i, f in enumerate(features)])
+    rows = fits.filter("beta is not null").select(*keys, F.explode(cells).alias("_r")).select(*keys, "_r.*")
+    return rows.withColumn("odds_ratio", F.exp(F.least(F.greatest("coef", F.lit(-20.0)), F.lit(20.0))))
 
 
 def odds_ratios(frame: DataFrame, features: Sequence[str], c: float = 1.0) -> DataFrame:
-    """Coefficients and odds ratios of the logistic model, strongest first."""
-    train = written(prepared(frame, features).filter("split = 'train'"), "ready")
-    n, _ = class_counts(train)
-    model = fit_model(train, features, logistic(c, n))
-    rows = [(f, float(b)) for f, b in zip(features, model.coefficients.toArray())]
-    out = frame.sparkSession.createDataFrame(rows, "feature string, coef double")
-    return out.withColumn("odds_ratio", F.exp(F.least(F.greatest("coef", F.lit(-20.0)), F.lit(20.0)))).orderBy(
-        F.desc(F.abs("coef"))
-    )
+    """Coefficients and odds ratios of the logistic model of all stations."""
+    rows = used_rows(frame, features).withColumns({"_scope": F.lit("all"), "role": F.col("split")})
+    ready = written(keyed.scaled(rows, ["_scope"], features).filter("role = 'train'"), "ready")
+    return odds_of(keyed.fit(ready, ["_scope"], features, c=c), ["_scope"], features).drop("_scope")
+
+
+def shuffled_places(place: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A keyed bijection of 0..n-1 applied to places: four Feistel rounds over a square of at most 4 n cells, walked until inside."""
+    half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, todo = place.astype(np.uint64), np.ones(len(place), bool)
+    while todo.any():
+        high, low = out[todo] >> half[todo], out[todo] & mask[todo]
+        for r in range(4):
+            x = (low + key[todo] + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            high, low = low, high ^ ((x ^ (x >> np.uint64(32))) & mask[todo])
+        out[todo] = (high << half[todo]) | low
+        todo = out >= n.astype(np.uint64)
+    return out.astype(np.int64)
+
+
+@F.pandas_udf(T.LongType())
+def _donor(place: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
+    return pd.Series(shuffled_places(place.to_numpy(np.int64), n.to_numpy(np.int64), key.to_numpy(np.int64).view(np.uint64)))
+
+
+def shuffled_rows(rows: DataFrame, features: Sequence[str], repeats: int, seed: int, keys: Sequence[str] = ()) -> DataFrame:
+    """rows once per repeat, with `_new`: the features of a donor row of the same station (and keys).
+
+    The donor's place is a keyed bijection of the row's own, so a shuffle needs no sort:
+    rows meet their donors by one equi-join on the place.
+    """
+    k = [*keys, S.STATION]
+    numbered = running(rows.withColumn("_hour", hour_number(S.TIME)), k, "_hour", {"_rn": F.lit(1)}).drop("_hour")
+    numbered = written(numbered.withColumn("_rn", F.col("_rn") - 1), "numbered")
+    n = numbered.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    copies = numbered.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).join(n, k)
+    key = fn.draw32(F.lit(seed), F.col("repeat"), *map(F.col, k))
+    donors = numbered.select(*k, F.col("_rn").alias("_from"), F.struct(*features).alias("_new"))
+    return copies.withColumn("_from", _donor("_rn", "_n", key)).join(donors, [*k, "_from"]).drop("_rn", "_n", "_from")
 
 
 def permuted_rows(rows: DataFrame, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """Copies of the rows in which one feature is shuffled within its station, keyed by (feature, repeat).
+    """Copies of the rows in which one feature is shuffled within its station, keyed by (feature, repeat)."""
+    copies = shuffled_rows(rows, features, repeats, seed).withColumn("feature", F.explode(F.array(*map(F.lit, features))))
+    return copies.withColumns({f: F.when(F.col("feature") == f, F.col(f"_new.{f}")).otherwise(F.col(f)) for f in features}).drop("_new")
+
 
-    A shuffle is the order of a 52-bit hash; rows meet their new value by an
-    equi-join on position, so no task sorts a whole station.
+def permutation_importance(frame: DataFrame, features: Sequence[str], repeats: int = 20, seed: int = 42, c: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Drop in average precision when one feature is shuffled within stations: mean, sd and interval over repeats, per key.
+
+    A shuffled feature moves the logit by its coefficient times the difference of the
+    values, so each row is scored once and shifted per feature.
     """
-    numbered = running(rows.withColumn("_hour", hour_number(S.TIME)), [S.STATION], "_hour", {"_rn": F.lit(1)})
-    tags = numbered.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features]))).withColumn(
-        "repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    )
-    text = F.concat_ws(":", F.lit(str(seed)), "feature", F.col("repeat").cast("string"), S.STATION, F.col("_hour").cast("string"))
-    drawn = tags.withColumn("_draw", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long"))
-    value = F.lit(None).cast("double")
-    for f in features:
-        value = F.when(F.col("feature") == f, F.col(f)).otherwise(value)
-    ranked = running(
-        drawn.select(S.STATION, "feature", "repeat", "_draw", value.alias("_value")),
-        [S.STATION, "feature", "repeat"],
-        "_draw",
-        {"_rn": F.lit(1)},
-        size=1 << 42,
-    ).drop("_draw")
-    joined = tags.join(ranked, [S.STATION, "feature", "repeat", "_rn"])
-    return joined.withColumns(
-        {f: F.when(F.col("feature") == f, F.col("_value")).otherwise(F.col(f)) for f in features}
-    ).drop("_hour", "_rn", "_value")
-
-
-def permutation_importance(frame: DataFrame, features: Sequence[str], repeats: int = 20, seed: int = 42, c: float = 1.0) -> DataFrame:
-    """Drop in average precision when one feature is shuffled: mean, sd and interval over repeats."""
-    ready = written(prepared(frame, features), "ready")
-    train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
-    n, _ = class_counts(train)
-    model = fit_model(train, features, logistic(c, n))
-    base = ranking_metrics(score_model(model, test, features, "m"), ["model"]).select("pr_auc").scalar()
-    shuffled = permuted_rows(test.select(S.STATION, S.TIME, "label", *features), features, repeats, seed)
-    scored = model.transform(_assembled(shuffled, features)).select(
-        "feature", "repeat", F.col("label").alias("y"), vector_to_array("probability")[1].alias("score")
-    )
-    drop = ranking_metrics(scored, ["feature", "repeat"]).select("feature", (base - F.col("pr_auc")).alias("drop"))
+    k = [*keys, "_scope"]
+    rows = used_rows(frame, features, keys).withColumns({"_scope": F.lit("all"), "role": F.col("split")})
+    ready = written(keyed.scaled(rows, k, features), "ready")
+    fits = keyed.fit(ready.filter("role = 'train'"), k, features, c=c)
+    test = ready.filter("role = 'test'").join(fits.filter("beta is not null").select(*k, "beta"), k).withColumn("_z", keyed.linear(features))
+    base = ranking_metrics(test.withColumn("score", keyed.probability(F.col("_z"))), k, "label").select(*k, F.col("pr_auc").alias("_base"))
+    copies = shuffled_rows(test.select(*k, S.STATION, S.TIME, "label", "beta", "_z", *features), features, repeats, seed, k)
+    shift = [F.struct(F.lit(f).alias("feature"), (F.col("beta")[i] * (F.col(f"_new.{f}") - F.col(f))).alias("by")) for i, f in enumerate(features)]
+    moved = copies.select(*k, "repeat", "label", "_z", F.explode(F.array(*shift)).alias("_s"))
+    scored = moved.select(*k, "_s.feature", "repeat", "label", keyed.probability(F.col("_z") + F.col("_s.by")).alias("score"))
+    drop = ranking_metrics(scored, [*k, "feature", "repeat"], "label").join(base, k).select(*k, "feature", (F.col("_base") - F.col("pr_auc")).alias("drop"))
     se = F.stddev_pop("drop") / F.sqrt(F.count("drop"))
-    return drop.groupBy("feature").agg(
+    return drop.groupBy(*k, "feature").agg(
         F.avg("drop").alias("mean_drop"),
         F.stddev_pop("drop").alias("sd_drop"),
         (F.avg("drop") - 1.96 * se).alias("ci_low"),
         (F.avg("drop") + 1.96 * se).alias("ci_high"),
-    )
+    ).drop("_scope")
 
 
 def impurity_importance(frame: DataFrame, features: Sequence[str], trees: int = 100, depth: int = 8) -> DataFrame:
@@ -408,37 +442,66 @@ def impurity_importance(frame: DataFrame, features: Sequence[str], trees: int =
     return frame.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence[str]], full: str, threshold: float = 0.5, min_rows: int = 30) -> DataFrame:
-    """Feature sets at horizon 0 and the full set at later horizons; specs with too few train rows or one class are rows without metrics.
+def ablation_and_horizons(frames: dict[int, DataFrame], sets: dict[str, Sequence[str]], full: str, n_folds: int = 5, min_rows: int = 30) -> DataFrame:
+    """Feature sets at horizon 0 and the full set at later horizons, each at its own tuned threshold, beside the prior.
 
-    status is EVALUATED, INSUFFICIENT_DATA or SINGLE_CLASS.
+    A spec is a key: features outside its set are masked (their coefficient is then 0), so all
+    specs and their folds are fitted together. status is EVALUATED, INSUFFICIENT_DATA or
+    SINGLE_CLASS; the latter two have no metrics. The prior's average precision is the test
+    share of positives.
     """
+    features = list(dict.fromkeys(f for fs in sets.values() for f in fs))
     specs = [(0, name) for name in sets] + [(h, full) for h in frames if h > 0]
+    keys = ["spec", "horizon"]
     parts = []
-    for horizon, name in specs:
-        features = sets[name]
-        ready = written(prepared(frames[horizon], features), "ready")
-        train, test = ready.filter("split = 'train'"), ready.filter("split = 'test'")
-        n, pos = class_counts(train)
-        spec = {"spec": F.lit(name), "horizon": F.lit(horizon).cast("long"), "n_train": F.lit(n).cast("long")}
-        if n < min_rows or pos in (0, n):
-            status = "INSUFFICIENT_DATA" if n < min_rows else "SINGLE_CLASS"
-            parts.append(frames[horizon].sparkSession.range(1).select(F.lit("logistic").alias("model"), F.lit(status).alias("status")).withColumns(spec))
-            continue
-        scored = score_model(fit_model(train, features, logistic(1.0, n)), test, features, "logistic")
-        parts.append(
-            classifier_metrics(scored, ["model"], threshold)
-            .withColumns({"status": F.lit("EVALUATED"), **spec})
-        )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def temporal_backtest(frame: DataFrame, features: Sequence[str], n_folds: int = 5) -> DataFrame:
-    """Per fold: threshold tuned on earlier folds' out-of-fold scores, metrics on the fold itself."""
-    oof = written(out_of_fold_scores(frame, features, n_folds), "oof")
-    earlier = oof.withColumn("target_fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(n_folds).cast("long")))).filter(
-        F.col("target_fold") > F.col("fold")
-    )
-    tau = tune_threshold(earlier, ["target_fold"]).select(F.col("target_fold").alias("fold"), "tau_f2")
-    tagged = oof.join(tau, "fold", "left").withColumn("tau_f2", F.coalesce("tau_f2", F.lit(0.5)))
-    return classifier_metrics(tagged, ["fold", "tau_f2"], F.col("tau_f2"))
+    for horizon, frame in frames.items():
+        names = [name for h, name in specs if h == horizon]
+        base = used_rows(frame, features).withColumn("spec", F.explode(F.array(*map(F.lit, names)))).withColumn("horizon", F.lit(horizon).cast("long"))
+        parts.append(base.withColumns({f: F.when(F.col("spec").isin([n for n in names if f in sets[n]]), F.col(f)) for f in features}))
+    rows = written(reduce(DataFrame.unionByName, parts), "specs")
+    fits, tau, test = tuned_models(rows, keys, features, n_folds, min_rows=min_rows)
+    metrics = classifier_metrics(test.join(tau.select(*keys, "tau_f2"), keys), [*keys, "tau_f2"], F.col("tau_f2"), y="label").drop("status")
+    prior = test.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.sum("label").alias("n_test_pos"), F.avg("label").alias("prior_pr_auc"))
+    named = frames[0].sparkSession.createDataFrame([(n, h) for h, n in specs], "spec string, horizon long")
+    out = named.join(fits.select(*keys, F.col("n").alias("n_train"), "status"), keys, "left").join(prior, keys, "left").join(metrics, keys, "left")
+    fitted = F.col("status") == "FITTED"
+    values = [c for c in metrics.columns if c not in keys]
+    status = F.when(fitted & F.col("n_test").isNotNull(), "EVALUATED").when(F.coalesce("status", F.lit("")) == "SINGLE_CLASS", "SINGLE_CLASS").when(F.col("status") == "NOT_SETTLED", "NOT_SETTLED").otherwise("INSUFFICIENT_DATA")
+    return out.withColumn("status", status).withColumns({c: F.when(F.col("status") == "EVALUATED", F.col(c)) for c in values}).withColumn("model", F.lit("logistic"))
+
+
+def temporal_backtest(frame: DataFrame, features: Sequence[str], n_folds: int = 5, inner_folds: int = 3, keys: Sequence[str] = (), min_rows: int = 80, min_positives: int = 15) -> DataFrame:
+    """Per fold: threshold tuned on folds inside its own train hours, metrics on the hours after them.
+
+    Folds and inner folds are keys of one fit. A fold whose train rows are too few, or
+    have too few positives, takes 0.5. status is OK, UNESTIMABLE or SINGLE_CLASS_FOLD
+    (train or validation rows of one class: a row without metrics).
+    """
+    keys = list(keys)
+    train = written(used_rows(frame, features, keys).filter("split = 'train'").drop("split"), "backtest")
+    outer = written(keyed.members(train.select(*keys, S.TIME).distinct(), n_folds, keys), "outer")
+    k = [*keys, "fold"]
+    inner = keyed.members(outer.filter("role = 'train'").select(*k, S.TIME), inner_folds, k, "inner")
+    every = outer.withColumn("inner", F.lit(0)).unionByName(inner.select(*outer.columns, F.col("inner").cast("int").alias("inner")))
+    rows = train.join(written(every, "members"), [*keys, S.TIME])
+    fits, scored = keyed.fit_and_score(rows, [*k, "inner"], features)
+    scored = written(scored, "backtest_scores")
+    tau = tune_threshold(scored.filter("inner > 0"), k, y="label").select(*k, "tau_f2")
+    head = fits.filter("inner = 0").select(*k, F.col("n").alias("n_train"), F.col("n_pos").alias("_pos"), F.col("status").alias("_fit")).join(tau, k, "left")
+    enough = (F.col("n_train") >= min_rows) & (F.col("_pos") >= min_positives)
+    head = written(head.withColumn("tau_f2", F.when(enough, F.coalesce("tau_f2", F.lit(0.5))).otherwise(0.5)), "fold_thresholds")
+    last = scored.filter("inner = 0").join(head.select(*k, "tau_f2"), k)
+    metrics = classifier_metrics(last, k, F.col("tau_f2"), y="label")
+    sizes = last.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_pos"))
+    out = head.join(sizes, k, "left").join(metrics, k, "left")
+    one_class = (F.col("_fit") == "SINGLE_CLASS") | (F.col("n_pos") == 0) | (F.col("n_pos") == F.col("n"))
+    status = F.when(one_class, "SINGLE_CLASS_FOLD").when(F.col("_fit") == "NOT_SETTLED", "NOT_SETTLED").otherwise(F.col("status"))
+    values = [c for c in metrics.columns if c not in (*k, "status")] + ["tau_f2"]
+    return out.withColumn("status", status).withColumns({c: F.when(F.col("status") != "SINGLE_CLASS_FOLD", F.col(c)) for c in values}).drop("_pos", "_fit")
+
+
+def locked_drift(frame: DataFrame, features: Sequence[str], n_folds: int = 5) -> DataFrame:
+    """Test metrics per year and month of the model of all train rows, at the threshold locked on train."""
+    rows = written(used_rows(frame, features).withColumn("_scope", F.lit("all")), "drift_rows")
+    _, tau, test = tuned_models(rows, ["_scope"], features, n_folds)
+    return drift_table(test.join(tau.select("_scope", "tau_f2"), "_scope"), ["tau_f2"], F.col("tau_f2"), y="label")

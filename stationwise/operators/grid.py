@@ -222,9 +222,9 @@ def interpolate_short_gaps(
 ) -> DataFrame:
     """Linear fill of interior NULL runs up to max_gap, into a separate derived column.
 
-    Needs a dense hourly axis inside each key. A fillable gap reaches at most
-    max_gap + 1 hours either way, so the nearest observed neighbours come from a
-    short halo and nothing travels further.
+    Needs a dense hourly axis inside each key; a missing or repeated hour fails the job. A
+    fillable gap reaches at most max_gap + 1 hours either way, so the nearest observed
+    neighbours come from a short halo and nothing travels further.
     """
     reach = max_gap + 1
     seen_pos = F.when(F.col(value).isNotNull(), F.col("_hour"))
@@ -235,6 +235,8 @@ def interpolate_short_gaps(
         return pick(c, ignorenulls=True).over(frame)
 
     src = df.withColumn("_hour", hour_number(S.TIME))
+    axis = src.groupBy(*keys).agg((F.max("_hour") - F.min("_hour") + 1 - F.count(F.lit(1))).alias("_off"), F.count_distinct("_hour").alias("_d"), F.count(F.lit(1)).alias("_n"))
+    uneven = axis.agg(F.count_if((F.col("_off") != 0) | (F.col("_d") != F.col("_n"))).alias("bad")).scalar()
     out = windowed(
         src,
         list(keys),
@@ -255,6 +257,7 @@ def interpolate_short_gaps(
     derived = F.when(F.col(value).isNotNull(), F.col(value)).when(
         fillable, F.col("_v0") + (F.col("_v1") - F.col("_v0")) * weight
     )
+    derived = F.when(uneven > 0, F.raise_error(F.lit("interpolation needs one row per hour")).cast("double")).otherwise(derived)
     return (
         out.withColumn(f"{value}_derived", derived)
         .withColumn("is_derived", F.col(value).isNull() & F.col(f"{value}_derived").isNotNull())
@@ -338,43 +341,28 @@ def interpolation_scores(
 ) -> DataFrame:
     """Recovery and error of short-gap interpolation over masked cells.
 
-    Masked positions are one long table keyed by the gap length; every max_gap
-    setting scores it in the same job. Totals over seasons come from grouping sets.
+    A masked gap has observed, unmasked hours on both sides, so its neighbourhood of
+    gap + 2 hours is all that interpolation sees. Only these are looked up, by an equi-join
+    with the table; every max_gap setting scores them in the same job. Totals over seasons
+    come from grouping sets.
     """
-    parts = []
-    hidden_all = []
-    for g in gaps:
-        starts = mask_contiguous(df, g, per_group, seed, value)
-        hidden_all.append(
-            starts.select(
-                S.STATION,
-                "split",
-                "gap_hours",
-                F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("_k"),
-                "gap_start",
-            ).select(
-                S.STATION,
-                "split",
-                "gap_hours",
-                F.timestamp_seconds(F.unix_seconds("gap_start") + F.col("_k") * 3600).alias(S.TIME),
-            )
-        )
-    hidden = reduce(DataFrame.unionByName, hidden_all)
-    base = df.select(S.STATION, "split", S.TIME, value).withColumn(
-        "gap_hours", F.explode(F.array(*[F.lit(g) for g in gaps]))
+    k = [S.STATION, "split"]
+    starts = reduce(DataFrame.unionByName, [mask_contiguous(df, g, per_group, seed, value) for g in gaps])
+    near = starts.withColumn("_k", F.explode(F.sequence(F.lit(-1), F.col("gap_hours"))))
+    near = near.withColumn(S.TIME, F.timestamp_seconds(F.unix_seconds("gap_start") + F.col("_k") * 3600))
+    cells = near.join(df.select(*k, S.TIME, F.col(value).alias("truth")), [*k, S.TIME])
+    at = lambda c: F.max(F.when(c, F.col("truth")))
+    inside = (F.col("_k") >= 0) & (F.col("_k") < F.col("gap_hours"))
+    held = cells.groupBy(*k, "gap_hours", "gap_start").agg(
+        at(F.col("_k") < 0).alias("_v0"),
+        at(F.col("_k") == F.col("gap_hours")).alias("_v1"),
+        F.collect_list(F.when(inside, F.struct("_k", S.TIME, "truth"))).alias("_cells"),  # gap_hours of them
     )
-    masked = base.join(hidden.withColumn("_hidden", F.lit(True)), [S.STATION, "split", "gap_hours", S.TIME], "left").select(
-        S.STATION,
-        "split",
-        "gap_hours",
-        S.TIME,
-        F.when(F.col("_hidden"), F.col(value)).alias("truth"),
-        F.when(F.col("_hidden").isNull(), F.col(value)).alias("seen"),
+    rows = held.select("*", F.explode("_cells").alias("_c")).select(*k, "gap_hours", "_v0", "_v1", "_c.*")
+    scored = rows.withColumn("max_gap", F.explode(F.array(*map(F.lit, max_gaps)))).withColumn(
+        "seen_derived",
+        F.when(F.col("gap_hours") <= F.col("max_gap"), F.col("_v0") + (F.col("_v1") - F.col("_v0")) * ((F.col("_k") + 1) / (F.col("gap_hours") + 1))),
     )
-    for m in max_gaps:
-        filled_m = interpolate_short_gaps(masked, "seen", m, (S.STATION, "split", "gap_hours"))
-        parts.append(filled_m.withColumn("max_gap", F.lit(m)))
-    scored = reduce(DataFrame.unionByName, parts).filter(F.col("truth").isNotNull())
     err = F.col("seen_derived") - F.col("truth")
     return (
         scored.withColumn("season", fn.season(S.TIME))

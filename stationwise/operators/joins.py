@@ -43,13 +43,28 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def unique_rows(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """df with one row per key; a repeated key fails the job that reads it. Null keys never join and are left out."""
+    rest = [c for c in df.columns if c not in keys]
+    whole = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    name = F.concat_ws(" ", F.lit(f"repeated {what}"), *[F.col(k).cast("string") for k in keys])
+    # the check is part of the key, so no column selection prunes it away
+    checked = F.when(F.col("_n") > 1, F.raise_error(name).cast(df.schema[keys[-1]].dataType)).otherwise(F.col(keys[-1]))
+    return whole.withColumn(keys[-1], checked).select(*[k if k in keys else F.col(f"_r.{k}").alias(k) for k in df.columns])
+
+
+def lookup_many_to_one(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join that can't multiply rows: a repeated key of the dimension fails the job."""
+    return df.join(unique_rows(dim, keys, "lookup key"), list(keys), "left")
+
+
 def join_air_weather(
     air: DataFrame, weather: DataFrame, check: bool = False
 ) -> DataFrame:
     """Left join of weather on (station, time), or on time where weather has no station.
 
-    Column collisions raise at plan time. With check=True duplicate keys on
-    either side raise as well; that costs one aggregate per side.
+    Column collisions raise at plan time, and a repeated weather key fails the job. With
+    check=True duplicate keys on either side raise at once; that costs one aggregate per side.
     """
     keys = [S.STATION, S.TIME] if S.STATION in weather.columns else [S.TIME]
     clash = (set(air.columns) & set(weather.columns)) - set(keys)
@@ -59,7 +74,8 @@ def join_air_weather(
         for side, cols in ((air, [S.STATION, S.TIME]), (weather, keys)):
             if duplicate_keys(side, cols).take(1):
                 raise ValueError(f"duplicate keys {cols}")
-    return air.join(weather.withColumn("weather_matched", F.lit(True)), keys, "left").withColumn(
+    weather = unique_rows(weather.withColumn("weather_matched", F.lit(True)), keys, "weather key")
+    return air.join(weather, keys, "left").withColumn(
         "weather_matched", F.coalesce("weather_matched", F.lit(False))
     )
 
@@ -226,18 +242,37 @@ def with_periods(df: DataFrame, time: str = S.TIME) -> DataFrame:
     return df.withColumn("_p", F.explode(periods)).select(*df.columns, "_p.*")
 
 
+def pairs_within(stations: DataFrame, group: str) -> DataFrame:
+    """(station_a, station_b), a before b, of the stations that share a group: an equi-join on the group."""
+    a = stations.select(group, F.col(S.STATION).alias("station_a")).distinct()
+    b = a.withColumnRenamed("station_a", "station_b")
+    return a.join(b, group).filter("station_a < station_b").select("station_a", "station_b").distinct()
+
+
+def presence_pages(df: DataFrame) -> DataFrame:
+    """Hours with a row as bitmaps, one per station and page of 32,768 hours."""
+    hour = hour_number(S.TIME)
+    return df.groupBy(S.STATION, F.bitmap_bucket_number(hour).alias("_page")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(hour)).alias("_bits")
+    )
+
+
 def station_pair_overlap(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Overlap window, shared hours or gap hours for each given (station_a, station_b)."""
+    """Overlap window, shared hours or gap hours for each given (station_a, station_b).
+
+    Hours are reduced to bitmap pages before pairs are made of them, so a pair costs one
+    row per page (nearly four years), not one per hour.
+    """
     spans = df.groupBy(S.STATION).agg(F.min(S.TIME).alias("lo"), F.max(S.TIME).alias("hi"))
     a = spans.select(F.col(S.STATION).alias("station_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
     b = spans.select(F.col(S.STATION).alias("station_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     base = pairs.join(a, "station_a").join(b, "station_b")
-    hours = df.select(S.STATION, S.TIME).distinct()
-    left = pairs.join(hours.withColumnRenamed(S.STATION, "station_a"), "station_a")
-    right = hours.withColumnRenamed(S.STATION, "station_b")
-    shared = left.join(right, ["station_b", S.TIME]).groupBy("station_a", "station_b").agg(
-        F.count(F.lit(1)).alias("_shared")
+    pages = presence_pages(df)
+    sides = F.explode(F.array("station_a", "station_b")).alias(S.STATION)
+    both = pairs.select("station_a", "station_b", sides).join(pages, S.STATION).groupBy("station_a", "station_b", "_page").agg(
+        F.bitmap_and_agg("_bits").alias("_bits"), F.count(F.lit(1)).alias("_sides")
     )
+    shared = both.filter("_sides = 2").groupBy("station_a", "station_b").agg(F.sum(F.bitmap_count("_bits")).alias("_shared"))
     start, end = F.greatest("lo_a", "lo_b"), F.least("hi_a", "hi_b")
     overlaps = start <= end
     return base.join(shared, ["station_a", "station_b"], "left").select(
@@ -263,10 +298,28 @@ def compare_evidence(a: DataFrame, b: DataFrame, alpha: float = S.ALPHA) -> Data
 
     Both inputs: test, estimate, ci_low, ci_high, holm_p.
     """
-    cols = ("estimate", "ci_low", "ci_high", "holm_p")
-    j = a.select("test", *[F.col(c).alias(f"a_{c}") for c in cols]).join(
-        b.select("test", *[F.col(c).alias(f"b_{c}") for c in cols]), "test", "full_outer"
-    )
+    return _classified(_side(a, "a", ["test"]).join(_side(b, "b", ["test"]), "test", "full_outer"), ["test"], alpha)
+
+
+def compare_station_pairs(results: DataFrame, pairs: DataFrame, alpha: float = S.ALPHA) -> DataFrame:
+    """compare_evidence for each (station_a, station_b) of a pair table, from one table of results by station."""
+    k = ["station_a", "station_b", "test"]
+    tests = results.select(F.col(S.STATION).alias("_s"), "test", *_EVIDENCE)
+    sides = [
+        _side(pairs.join(tests, pairs[f"station_{e}"] == F.col("_s")).drop("_s"), e, k) for e in "ab"
+    ]
+    return _classified(sides[0].join(sides[1], k, "full_outer"), k, alpha)
+
+
+_EVIDENCE = ("estimate", "ci_low", "ci_high", "holm_p")
+
+
+def _side(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in _EVIDENCE])
+
+
+def _classified(j: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
+    cols = _EVIDENCE
     every = [f"{s}_{c}" for s in "ab" for c in cols]
     bad = F.lit(False)
     for c in every:
@@ -278,7 +331,7 @@ def compare_evidence(a: DataFrame, b: DataFrame, alpha: float = S.ALPHA) -> Data
     usable = ~seasonal & ~bad
     # The classification labels.
     return j.select(
-        "test",
+        *keys,
         F.when(seasonal, "EXPLORATORY / INCOMPARABLE")
         .when(bad, "UNVERIFIED")
         .when(~same, "INCOMPARABLE (effect direction differs across physical stations)")

@@ -208,23 +208,37 @@ def group_quality(df: DataFrame, raw: DataFrame | None = None, bounds: Mapping[s
             *other,
         )
     )
-    spans = per_key.groupBy(S.STATION).agg(F.min(S.TIME).alias("_lo"), F.max(S.TIME).alias("_hi"))
-    keyed = with_periods(per_key)
-    start, end = F.col("period_start"), F.col("period_end")
-    prev_inside = start.isNull() | (
-        F.unix_seconds(S.TIME) - F.col("step_hours") * 3600 >= F.unix_seconds(start)
+    # one state per station and month, which every longer period adds up
+    month = F.date_trunc("month", S.TIME)
+    sums = ["rows", "observed", "valid", "nonfinite", "out", "negative", "derived", *(f"_b_{c}" for c in bounds)]
+    since = F.unix_seconds(S.TIME) - F.col("step_hours") * 3600
+    months = per_key.withColumn("_inside", since >= F.unix_seconds(month)).groupBy(S.STATION, month.alias("_month")).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        F.count(F.lit(1)).alias("hours"),
+        F.min(S.TIME).alias("_lo"),
+        F.max(S.TIME).alias("_hi"),
+        F.count_if((F.col("step_hours") != 1) & F.col("_inside")).alias("irregular"),
+        # the first row's predecessor may be in an earlier month: inside a longer period or not
+        F.min_by(F.struct("step_hours", since.alias("since"), "_inside"), S.TIME).alias("_first"),
+    )
+    spans = months.groupBy(S.STATION).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    start = F.col("period_start")
+    across = (
+        (F.col("_first.step_hours") != 1)
+        & ~F.col("_first._inside")
+        & (start.isNull() | (F.col("_first.since") >= F.unix_seconds(start)))
     )
     keys = [S.STATION, "period_type", "period", "period_start", "period_end"]
-    agg = keyed.groupBy(*keys).agg(
+    agg = with_periods(months.drop("_lo", "_hi"), "_month").groupBy(*keys).agg(
         F.sum("rows").alias("active_grid_rows"),
-        F.count(F.lit(1)).alias("active_grid_hours"),
+        F.sum("hours").alias("active_grid_hours"),
         F.sum("observed").alias("observed_hours"),
         F.sum("valid").alias("valid_hours"),
         F.sum("nonfinite").alias("nonfinite_values"),
         F.sum("out").alias("out_of_bounds_values"),
         F.sum("negative").alias("negative_values"),
         F.sum("derived").alias("derived_hours"),
-        F.count_if((F.col("step_hours") != 1) & prev_inside).alias("irregular_intervals"),
+        (F.sum("irregular") + F.count_if(across)).alias("irregular_intervals"),
         sum((F.sum(f"_b_{c}") for c in bounds), F.lit(0)).alias("other_bound_violations"),
     )
     out = agg.join(spans, S.STATION).withColumns(
@@ -241,14 +255,13 @@ def group_quality(df: DataFrame, raw: DataFrame | None = None, bounds: Mapping[s
             F.count_if(F.col("value").isNull() | ~F.col("value").between(low, high)).alias("_inv"),
         )
         present = per_key.select(S.STATION, S.TIME, F.lit(1).alias("_in"))
-        src = (
-            with_periods(hours.join(present, [S.STATION, S.TIME], "left"))
-            .groupBy(S.STATION, "period_type", "period")
-            .agg(
-                F.sum("_r").alias("raw_observations"),
-                F.sum("_inv").alias("invalid_source_rows"),
-                F.count("_in").alias("raw_source_hours"),
-            )
+        by_month = hours.join(present, [S.STATION, S.TIME], "left").groupBy(S.STATION, month.alias("_month")).agg(
+            F.sum("_r").alias("_r"), F.sum("_inv").alias("_inv"), F.count("_in").alias("_in")
+        )
+        src = with_periods(by_month, "_month").groupBy(S.STATION, "period_type", "period").agg(
+            F.sum("_r").alias("raw_observations"),
+            F.sum("_inv").alias("invalid_source_rows"),
+            F.sum("_in").alias("raw_source_hours"),
         )
         out = out.join(src, [S.STATION, "period_type", "period"], "left").withColumn(
             "missing_source_hours", F.col("active_grid_hours") - F.coalesce("raw_source_hours", F.lit(0))
@@ -274,22 +287,55 @@ def group_quality(df: DataFrame, raw: DataFrame | None = None, bounds: Mapping[s
     )
 
 
+def gap_pieces(df: DataFrame, value: str = S.TARGET) -> DataFrame:
+    """Gaps cut at month borders: station, run_first (the gap's first hour), _month and hours of each piece.
+
+    Pieces of a gap share its first hour, so a longer period adds them up again.
+    """
+    hours = df.select(S.STATION, S.TIME, value).withColumn("_hour", hour_number(S.TIME))
+    missing = runs(hours, [S.STATION], "_hour", F.col(value).isNull()).filter(F.col(value).isNull())
+    return missing.groupBy(S.STATION, "run_first", F.date_trunc("month", S.TIME).alias("_month")).agg(
+        (F.max("_hour") - F.min("_hour") + 1).alias("hours")
+    )
+
+
 def period_gaps(df: DataFrame, value: str = S.TARGET) -> DataFrame:
     """Gap count, longest and median gap inside each period; a gap is cut at period borders."""
-    keyed = with_periods(df.select(S.STATION, S.TIME, value)).withColumn("_hour", hour_number(S.TIME))
     keys = [S.STATION, "period_type", "period"]
-    r = runs(keyed, keys, "_hour", F.col(value).isNull())
-    gaps = r.filter(F.col(value).isNull() & (F.col("run_first") == F.col("_hour"))).withColumn(
-        "gap", F.col("run_len").cast("double")
-    )
+    gaps = with_periods(gap_pieces(df, value), "_month").groupBy(*keys, "run_first").agg(F.sum("hours").alias("hours"))
+    gaps = gaps.withColumn("gap", F.col("hours").cast("double"))
     med = quantiles(gaps, keys, "gap", {"median_gap_hours": 0.5})
     return (
         gaps.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("gap_count"), F.max("run_len").alias("longest_gap_hours"))
+        .agg(F.count(F.lit(1)).alias("gap_count"), F.max("hours").alias("longest_gap_hours"))
         .join(med, keys, "left")
     )
 
 
+def period_recount(df: DataFrame, value: str = S.TARGET) -> DataFrame:
+    """Coverage and gaps of each period counted the long way, on a copy of every hour per period: a check of the monthly states."""
+    keys = [S.STATION, "period_type", "period"]
+    v = F.col(value)
+    low, high = S.AUDIT_BOUNDS["pm25"]
+    valid = F.max((v.isNotNull() & ~F.isnan(v) & ~fn.is_nonfinite(v) & v.between(low, high)).cast("int"))
+    hourly = df.groupBy(S.STATION, S.TIME).agg(valid.alias("_valid"), F.max(v).alias(value))
+    ends = hourly.groupBy(S.STATION).agg(F.min(S.TIME).alias("_lo"), F.max(S.TIME).alias("_hi"))
+    keyed = with_periods(hourly).withColumn("_hour", hour_number(S.TIME))
+    r = runs(keyed, keys, "_hour", v.isNull()).join(ends, S.STATION)
+    opens = v.isNull() & (F.col("run_first") == F.col("_hour"))
+    start = F.coalesce("period_start", "_lo")
+    end = F.coalesce("period_end", F.timestamp_seconds(F.unix_seconds("_hi") + 3600))
+    span = F.max((F.unix_seconds(end) - F.unix_seconds(start)) / 3600)
+    n_valid = F.coalesce(F.sum("_valid"), F.lit(0))
+    return r.groupBy(*keys).agg(
+        n_valid.alias("valid_hours"),
+        F.count_if(opens).alias("gap_count"),
+        F.coalesce(F.max(F.when(opens, F.col("run_len"))), F.lit(0)).alias("longest_gap_hours"),
+        (100.0 * n_valid / span).alias("coverage_pct_calendar"),
+        (100.0 * n_valid / F.count(F.lit(1))).alias("coverage_pct_active"),
+    )
+
+
 def period_quality_table(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """group_quality plus gap statistics and coverage against calendar and active hours."""
     keys = [S.STATION, "period_type", "period"]

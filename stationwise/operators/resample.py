@@ -1,10 +1,9 @@
 """Block resampling of daily and weekly calendars.
 
 A calendar is one row per (station, pos) with value (NULL = missing) and labels.
-Replicates are a long table keyed by (station, block, b): block starts come from
-a seeded hash, offsets are exploded, values join by source position and labels by
-destination position. Nothing is collected; a replicate group never exceeds one
-station's calendar.
+Statistics are taken of packed replicates (see `packed`): block starts come from a
+seeded hash, values move with their blocks, labels stay. `replicates` writes the
+same replicates out as rows, for a look at single ones.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import scalar as fn
+from . import packed
 from .ranks import quantiles
 from .sequence import running, runs
 from .stats import kruskal_wallis, mann_whitney, signed_rank
@@ -32,6 +32,19 @@ def compact_calendar(df: DataFrame, value: str = "value", keys: Sequence[str] =
     )
 
 
+def block_starts(calendar: DataFrame, n_boot: int, blocks: Sequence[int], seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, block, b, _n (days), _len (of a whole block), _j (number of the block) and _start of every drawn block."""
+    n = calendar.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
+    sized = n.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in blocks]))).withColumn(
+        "_len", F.least("block", "_n")
+    )
+    return (
+        sized.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / F.col("_len")) - 1)))
+        .withColumn("_start", fn.draw32(F.lit(seed), *[F.col(k) for k in keys], F.col("b"), F.col("_j")) % F.col("_n"))
+    )
+
+
 def replicates(
     calendar: DataFrame,
     n_boot: int,
@@ -41,22 +54,14 @@ def replicates(
     labels: Sequence[str] = (),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Circular moving-block replicates: keys, block, b, dest, value and the labels of the destination.
+    """Circular moving-block replicates as rows: keys, block, b, dest, value and the labels of the destination.
 
     Values (and their missing marks) move; labels stay where they are.
     """
     keys = list(keys)
-    n = calendar.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
-    sized = n.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in blocks]))).withColumn(
-        "_len", F.least("block", "_n")
-    )
-    starts = (
-        sized.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / F.col("_len")) - 1)))
-        .withColumn("_start", fn.draw32(F.lit(seed), *[F.col(k) for k in keys], F.col("b"), F.col("_j")) % F.col("_n"))
-    )
     cells = (
-        starts.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
+        block_starts(calendar, n_boot, blocks, seed, keys)
+        .withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_len") - 1)))
         .withColumn("dest", F.col("_j") * F.col("_len") + F.col("_o"))
         .filter(F.col("dest") < F.col("_n"))
         .withColumn("_src", (F.col("_start") + F.col("_o")) % F.col("_n"))
@@ -68,7 +73,56 @@ def replicates(
     return out.select(*keys, "block", "b", "dest", "value", *labels)
 
 
-def percentile_ci(stats: DataFrame, keys: Sequence[str], stat: str = "stat", level: float = 0.95) -> DataFrame:
+def mean_by_prefix_sums(dense: DataFrame, n_boot: int, blocks: Sequence[int], seed: int, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, block, b, stat: means of the replicates of a series without gaps, one row per drawn block.
+
+    A block's sum is the difference of two prefix sums over the series run twice, so this
+    is another way to the same replicates: drawn, joined and added up by Spark alone.
+    """
+    keys = list(keys)
+    n = dense.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"))
+    twice = dense.join(n, keys).withColumn("_lap", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>")))
+    twice = twice.select(*keys, (F.col("pos") + F.col("_lap") * F.col("_n") + 1).alias("_at"), F.col(value).alias("_x"))
+    sums = F.sum("_x").over(W.partitionBy(*keys).orderBy("_at"))
+    prefix = twice.select(*keys, "_at", sums.alias("_sum")).unionByName(n.select(*keys, F.lit(0).cast("long").alias("_at"), F.lit(0.0).alias("_sum")))
+    # a series stands for itself at two ends of each block, weighed -1 and +1
+    length = F.least(F.col("_len"), F.col("_n") - F.col("_j") * F.col("_len"))
+    ends = F.explode(F.array(F.struct(F.col("_start").alias("_at"), F.lit(-1.0).alias("_w")), F.struct((F.col("_start") + length).alias("_at"), F.lit(1.0).alias("_w"))))
+    drawn = block_starts(dense, n_boot, blocks, seed, keys).select(*keys, "block", "b", "_n", ends.alias("_e")).select(*keys, "block", "b", "_n", "_e.*")
+    return drawn.join(prefix, [*keys, "_at"]).groupBy(*keys, "block", "b").agg((F.sum(F.col("_w") * F.col("_sum")) / F.max("_n")).alias("stat"))
+
+
+def closed_form_mean(dense: DataFrame, blocks: Sequence[int], value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, block, expected and sd of the circular block bootstrap mean of a series without gaps, exactly.
+
+    A block's start is uniform on the circle, so the variance of its sum is
+    L g(0) + 2 sum_k (L - k) g(k), g the autocovariances of the circle; whole blocks and
+    the cut last one are independent.
+    """
+    keys = list(keys)
+    sizes = F.array(*[F.lit(b).cast("long") for b in blocks])
+    m = dense.groupBy(*keys).agg((F.max("pos") + 1).alias("_n"), F.avg(value).alias("expected"))
+    centred_ = dense.join(m, keys).select(*keys, "pos", "_n", (F.col(value) - F.col("expected")).alias("_x"))
+    lags = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(max(blocks)).cast("long"), F.col("_n")) - 1))
+    ahead = centred_.withColumn("_k", lags).withColumn("_to", (F.col("pos") + F.col("_k")) % F.col("_n"))
+    other = centred_.select(*keys, F.col("pos").alias("_to"), F.col("_x").alias("_y"))
+    g = ahead.join(other, [*keys, "_to"]).groupBy(*keys, "_k").agg((F.sum(F.col("_x") * F.col("_y")) / F.max("_n")).alias("_g"))
+    laid = m.withColumn("block", F.explode(sizes)).withColumn("_len", F.least("block", "_n")).withColumn("_rest", F.col("_n") % F.col("_len"))
+
+    def weight(size):
+        return F.when(F.col("_k") < size, F.when(F.col("_k") == 0, size).otherwise(2 * (size - F.col("_k")))).otherwise(F.lit(0))
+
+    part = F.col("_g") * (F.floor(F.col("_n") / F.col("_len")) * weight(F.col("_len")) + weight(F.col("_rest")))
+    var = F.sum(part) / F.max(F.col("_n") * F.col("_n"))
+    return laid.join(g, keys).groupBy(*keys, "block").agg(F.max("expected").alias("expected"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"))
+
+
+def compact_mean_report(calendar: DataFrame, n_boot: int, blocks: Sequence[int], seed: int, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Bootstrap intervals of the mean of observed days, as `inference_recheck` checks them."""
+    return calendar_ci(compact_calendar(calendar, value, keys), "mean", n_boot, blocks, seed, value, keys)
+
+
+def percentile_ci(stats: DataFrame, keys: Sequence[str], stat: str = "stat", level: float = 0.95, extra: Sequence[Column] = ()) -> DataFrame:
     """Percentile interval over replicates; a group holds one number per replicate."""
     tail = (1 - level) / 2
     return stats.filter(F.col(stat).isNotNull()).groupBy(*keys).agg(
@@ -76,95 +130,44 @@ def percentile_ci(stats: DataFrame, keys: Sequence[str], stat: str = "stat", lev
         F.percentile(stat, F.lit(tail)).alias("ci_low"),
         F.percentile(stat, F.lit(1 - tail)).alias("ci_high"),
         F.stddev_samp(stat).alias("replicate_sd"),
+        *extra,
     )
 
 
-def reducer(name: str, value: str = "value") -> Column:
-    """Aggregate named by the caller: median or mean."""
-    if name not in ("median", "mean"):
-        raise ValueError(f"statistic must be median or mean, got {name!r}")
-    return F.median(value) if name == "median" else F.avg(value)
-
-
-def point_estimate(df: DataFrame, statistic: str, value: str, keys: Sequence[str]) -> DataFrame:
+def point_estimate(df: DataFrame, statistic, value: str, keys: Sequence[str]) -> DataFrame:
+    """The statistic of the observed values; a caller's own is taken of the calendar as it is."""
     if statistic == "median":
         return quantiles(df, keys, value, {"point": 0.5}, bounded=True)
-    return df.groupBy(*keys).agg(F.avg(value).alias("point"))
+    if statistic == "mean":
+        return df.groupBy(*keys).agg(F.avg(value).alias("point"))
+    own = packed.named(statistic, value)
+    return packed.identity_stats(df, own, keys).withColumnRenamed(own.names[0], "point")
 
 
 def calendar_ci(
-    calendar: DataFrame, statistic: str, n_boot: int, blocks: Sequence[int], seed: int, value: str = "value", keys: Sequence[str] = KEYS
+    calendar: DataFrame, statistic, n_boot: int, blocks: Sequence[int], seed: int, value: str = "value", keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """Percentile interval of the mean or median; missing days travel with the blocks."""
+    """Percentile interval of the median, the mean or a caller's statistic; missing days travel with the blocks.
+
+    A caller's statistic is a `packed.Statistic` of one name, or a function of a matrix
+    (replicates x days, NaN where missing).
+    """
     keys = list(keys)
-    reps = replicates(calendar, n_boot, blocks, seed, value, keys=keys)
-    stats = reps.groupBy(*keys, "block", "b").agg(reducer(statistic).alias("stat"), F.count("value").alias("_obs"))
-    ci = percentile_ci(stats, [*keys, "block"])
-    size = stats.filter("stat is not null").groupBy(*keys, "block").agg(F.avg("_obs").alias("mean_observed"))
-    return ci.join(size, [*keys, "block"]).join(point_estimate(calendar, statistic, value, keys), keys)
+    own = packed.named(statistic, value)
+    stats = packed.replicate_stats(calendar, n_boot, blocks, seed, [own], keys, value).withColumnRenamed(own.names[0], "stat")
+    ci = percentile_ci(stats, [*keys, "block"], extra=[F.avg("n_observed").alias("mean_observed")])
+    return ci.join(point_estimate(calendar, statistic, value, keys), keys)
 
 
-def compact_ci(calendar: DataFrame, statistic: str, n_boot: int, block: int, seed: int, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
+def compact_ci(calendar: DataFrame, statistic, n_boot: int, block: int, seed: int, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
     """The same interval on the series of observed days, closed up."""
     return calendar_ci(compact_calendar(calendar, value, keys), statistic, n_boot, [block], seed, value, keys)
 
 
-def with_replicate_ranks(reps: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Average ranks inside each replicate; a replicate is at most one calendar long."""
-    w = W.partitionBy(*keys, "block", "b").orderBy(value)
-    upto = w.rangeBetween(W.unboundedPreceding, 0)
-    seen = reps.filter(F.col(value).isNotNull())
-    return seen.withColumn("_rank", (F.rank().over(w) + F.count(F.lit(1)).over(upto)) / 2.0)
-
-
-def replicate_h(reps: DataFrame, label: str, n_labels: int, keys: Sequence[str]) -> DataFrame:
-    """Kruskal-Wallis H per replicate, without tie correction; a replicate lacking a label is dropped."""
-    ranked = with_replicate_ranks(reps, keys)
-    g = ranked.groupBy(*keys, "block", "b", label).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_c"))
-    n = F.col("_n").cast("double")
-    return (
-        g.groupBy(*keys, "block", "b")
-        .agg(F.sum("_c").alias("_n"), F.sum(F.col("_r") * F.col("_r") / F.col("_c")).alias("_s"), F.count(F.lit(1)).alias("_k"))
-        .filter(F.col("_k") == n_labels)
-        .select(*keys, "block", "b", (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)).alias("stat"))
-    )
-
-
-def replicate_u(reps: DataFrame, label: str, a, b, keys: Sequence[str], biserial: bool = False) -> DataFrame:
-    """Mann-Whitney U (or rank-biserial) per replicate, ranks taken inside the two groups."""
-    ranked = with_replicate_ranks(reps.filter(F.col(label).isin(a, b)), keys)
-    is_a = F.col(label) == F.lit(a)
-    g = ranked.groupBy(*keys, "block", "b").agg(
-        F.sum(F.when(is_a, F.col("_rank"))).alias("_r"),
-        F.count_if(is_a).cast("double").alias("_na"),
-        F.count_if(~is_a).cast("double").alias("_nb"),
-    )
-    u = F.col("_r") - F.col("_na") * (F.col("_na") + 1) / 2
-    stat = 2 * u / (F.col("_na") * F.col("_nb")) - 1 if biserial else u
-    return g.filter((F.col("_na") > 0) & (F.col("_nb") > 0)).select(*keys, "block", "b", stat.alias("stat"))
-
-
-def replicate_t(reps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    g = reps.groupBy(*keys, "block", "b").agg(
-        F.count("value").alias("_n"), F.avg("value").alias("_m"), F.var_samp("value").alias("_v")
-    )
-    return g.filter((F.col("_n") > 1) & (F.col("_v") > 0)).select(
-        *keys, "block", "b", (F.col("_m") / F.sqrt(F.col("_v") / F.col("_n"))).alias("stat")
-    )
-
-
-def replicate_w(reps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positive signed-rank sum per replicate."""
-    ranked = with_replicate_ranks(reps.withColumn("_abs", F.abs("value")), keys, "_abs")
-    return ranked.groupBy(*keys, "block", "b").agg(
-        F.coalesce(F.sum(F.when(F.col("value") > 0, F.col("_rank"))), F.lit(0.0)).alias("stat")
-    )
-
-
 def null_p(stats: DataFrame, observed: DataFrame, n_boot: int, keys: Sequence[str], alternative: str = "two-sided") -> DataFrame:
     """p = (1 + extremes) / (B + 1); dropped replicates stay in the denominator."""
     keys = list(keys)
-    j = stats.join(observed, keys)
+    j = stats.filter(F.col("stat").isNotNull()).join(observed, keys)
     agg = j.groupBy(*keys, "block").agg(
         F.max("observed").alias("observed"),
         F.count(F.lit(1)).alias("n_replicates"),
@@ -185,17 +188,20 @@ def observed_u(calendar: DataFrame, label: str, a, b, biserial: bool = False, va
     return mann_whitney(calendar, label, a, b, value, keys).select(*keys, F.col(col).alias("observed"))
 
 
+def null_test(calendar: DataFrame, statistic: packed.Statistic, observed: DataFrame, n_boot: int, blocks: Sequence[int], seed: int, alternative: str = "two-sided", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Null test of any statistic: its replicates against `observed` (keys, observed)."""
+    stats = packed.replicate_stats(calendar, n_boot, blocks, seed, [statistic], keys, statistic.value)
+    return null_p(stats.withColumnRenamed(statistic.names[0], "stat"), observed, n_boot, keys, alternative)
+
+
 def null_test_h(calendar: DataFrame, label: str, n_labels: int, n_boot: int, blocks: Sequence[int], seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Omnibus null test: pooled values resampled against fixed destination labels."""
-    reps = replicates(calendar, n_boot, blocks, seed, labels=[label], keys=keys)
-    return null_p(replicate_h(reps, label, n_labels, keys), observed_h(calendar, label, keys=keys), n_boot, keys, "greater")
+    return null_test(calendar, packed.kruskal(label, n_labels), observed_h(calendar, label, keys=keys), n_boot, blocks, seed, "greater", keys)
 
 
 def null_test_u(calendar: DataFrame, label: str, a, b, n_boot: int, blocks: Sequence[int], seed: int, biserial: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
-    reps = replicates(calendar, n_boot, blocks, seed, labels=[label], keys=keys)
-    return null_p(
-        replicate_u(reps, label, a, b, keys, biserial), observed_u(calendar, label, a, b, biserial, keys=keys), n_boot, keys
-    )
+    observed = observed_u(calendar, label, a, b, biserial, keys=keys)
+    return null_test(calendar, packed.rank_sums(label, [(a, b)], biserial), observed, n_boot, blocks, seed, keys=keys)
 
 
 def centred(calendar: DataFrame, statistic: str, value: str = "value", keys: Sequence[str] = KEYS) -> DataFrame:
@@ -210,26 +216,24 @@ def null_imposed_location(calendar: DataFrame, mu: float, statistic: str, n_boot
     the signed-rank statistic is the positive rank sum on both sides.
     """
     keys = list(keys)
-    mean = statistic == "t"
-    noise = centred(calendar, "mean" if mean else "median", keys=keys)
-    reps = replicates(noise, n_boot, blocks, seed, keys=keys)
-    if mean:
-        stats = replicate_t(reps, keys)
-        obs = calendar.groupBy(*keys).agg(
-            F.try_divide((F.avg("value") - mu) * F.sqrt(F.count("value")), F.stddev_samp("value")).alias("observed")
-        )
-    else:
-        stats = replicate_w(reps, keys)
-        obs = signed_rank(calendar, mu, keys=keys).select(*keys, F.col("w_plus").alias("observed"))
-    return null_p(stats, obs, n_boot, keys)
+    noise = centred(calendar, "mean" if statistic == "t" else "median", keys=keys)
+    own = packed.student() if statistic == "t" else packed.signed_ranks()
+    return null_test(noise, own, observed_location(calendar, mu, statistic, keys), n_boot, blocks, seed, keys=keys)
+
+
+def observed_location(calendar: DataFrame, mu: float, statistic: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The t of the mean against mu, or the positive rank sum of the differences from mu."""
+    if statistic == "t":
+        t = F.try_divide((F.avg("value") - mu) * F.sqrt(F.count("value")), F.stddev_samp("value"))
+        return calendar.groupBy(*keys).agg(t.alias("observed"))
+    return signed_rank(calendar, mu, keys=keys).select(*keys, F.col("w_plus").alias("observed"))
 
 
 def percentile_pvalue(calendar: DataFrame, mu: float, statistic: str, n_boot: int, block: int, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Share of replicates at least as far from the estimate as mu is."""
     keys = list(keys)
     dense = compact_calendar(calendar, keys=keys)
-    reps = replicates(dense, n_boot, [block], seed, keys=keys)
-    stats = reps.groupBy(*keys, "block", "b").agg(reducer(statistic).alias("stat"))
+    stats = packed.replicate_stats(dense, n_boot, [block], seed, [packed.named(statistic)], keys)
     point = point_estimate(calendar, statistic, "value", keys)
     far = F.abs(F.col("stat") - F.col("point")) >= F.abs(F.lit(float(mu)) - F.col("point"))
     return stats.join(point, keys).groupBy(*keys, "point").agg(((1 + F.count_if(far)) / (n_boot + 1)).alias("p_value"))
@@ -274,39 +278,26 @@ def group_windows(calendar: DataFrame, label: str, block: int, keys: Sequence[st
     )
 
 
-def group_replicates(calendar: DataFrame, label: str, block: int, n_boot: int, seed: int, keys: Sequence[str] = KEYS, buckets: int = 1024) -> DataFrame:
-    """Observed values of each group's replicates; every replicate has the group's own observed count.
+def group_replicates(calendar: DataFrame, label: str, block: int, n_boot: int, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Observed values of each group's replicates as rows; every replicate has the group's own observed count."""
+    return packed_groups(calendar, label, block, n_boot, seed, keys).select(*keys, label, "b", F.explode("values").alias("value"))
 
-    Draws are as many as could ever be needed (every window holds at least the
-    smallest window's observations); a draw finds its window by an equi-join on a
-    probability bucket.
-    """
-    keys = list(keys)
-    g = [*keys, label]
-    wins = group_windows(calendar, label, block, keys)
-    need = wins.groupBy(*g).agg(F.max("n_target").alias("n_target"), F.min("_obs").alias("_least"))
-    draws = (
-        need.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_target") / F.col("_least")) - 1)))
-        .withColumn("_u", fn.draw32(F.lit(seed), *[F.col(c) for c in g], F.col("b"), F.col("_j")) / F.lit(4294967296.0))
-        .withColumn("_bucket", F.floor(F.col("_u") * buckets))
-        .drop("_least")
-    )
-    spread = wins.drop("n_target").withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(F.col("_lo") * buckets), F.least(F.floor(F.col("_hi") * buckets), F.lit(buckets - 1)))),
-    )
-    hit = draws.join(spread, [*g, "_bucket"]).filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-    order = W.partitionBy(*g, "b").orderBy("_j").rowsBetween(W.unboundedPreceding, -1)
-    kept = hit.withColumn("_before", F.coalesce(F.sum("_obs").over(order), F.lit(0))).filter(
-        F.col("_before") < F.col("n_target")
-    )
-    days = kept.withColumn("pos", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
-    prefix = running(calendar.select(*keys, "pos", "value"), keys, "pos", {"_pre": F.col("value").isNotNull().cast("long")}, size=None)
-    at = prefix.filter("value is not null")
-    base = prefix.select(*keys, F.col("pos").alias("start"), (F.col("_pre") - F.col("value").isNotNull().cast("long")).alias("_pre0"))
-    vals = days.join(at, [*keys, "pos"]).join(base, [*keys, "start"])
-    return vals.filter(F.col("_before") + F.col("_pre") - F.col("_pre0") <= F.col("n_target")).select(*g, "b", "value")
+
+def packed_groups(calendar: DataFrame, label: str, block: int, n_boot: int, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The same with one row per replicate and its values as an array."""
+    windows = group_windows(calendar, label, block, keys)
+    return packed.window_replicates(windows, calendar, n_boot, seed, keys, [*keys, label])
+
+
+def array_statistic(statistic: str) -> Column:
+    """Median or mean of the array `values`."""
+    if statistic not in ("median", "mean"):
+        raise ValueError(f"statistic must be median or mean, got {statistic!r}")
+    n, s = F.size("values"), F.array_sort("values")
+    if statistic == "mean":
+        return F.aggregate("values", F.lit(0.0), lambda a, x: a + x) / n
+    low, high = (F.element_at(s, F.floor((n + k) / 2).cast("int")) for k in (1, 2))
+    return low + (high - low) * 0.5
 
 
 def contrast_ci(calendar: DataFrame, label: str, pairs: Sequence[tuple], statistic: str, block: int, n_boot: int, seed: int, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -316,8 +307,8 @@ def contrast_ci(calendar: DataFrame, label: str, pairs: Sequence[tuple], statist
     interval of absolute deviations is reported instead.
     """
     keys = list(keys)
-    reps = group_replicates(calendar, label, block, n_boot, seed, keys)
-    stat = reps.groupBy(*keys, label, "b").agg(reducer(statistic).alias("stat"))
+    reps = packed_groups(calendar, label, block, n_boot, seed, keys)
+    stat = reps.select(*keys, label, "b", array_statistic(statistic).alias("stat"))
     points = point_estimate(calendar.filter(F.col(label).isNotNull()), statistic, "value", [*keys, label])
     both = F.explode(F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("z")) for x, y in pairs])).alias("_p")
     base = calendar.select(*keys).distinct().select(*keys, both).select(*keys, "_p.*")

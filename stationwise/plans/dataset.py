@@ -69,43 +69,71 @@ def _long(df: DataFrame, section: str, label: str, metrics: Sequence[str]) -> Da
     )
 
 
-def reanalysis(hourly: DataFrame, days: DataFrame, variables: Sequence[str], median_limit: float, mean_limit: float, n_boot: int, seed: int) -> DataFrame:
-    """Quality, gaps, profiles, correlations and the test family of every station as one long table."""
+def reanalysis(hourly: DataFrame, days: DataFrame, variables: Sequence[str], median_limit: float, mean_limit: float, n_boot: int, seed: int, extended: DataFrame | None = None, n_ci: int = 1000) -> DataFrame:
+    """Contract, quality, gaps, profiles, correlations, trends, tests, their sensitivity and their agreement between stations as one long table.
+
+    `extended` is the derived table that the input contract is checked on. Evidence is
+    compared for the pairs of stations of the daily table; its rows are named a - b.
+    """
     hourly = written(hourly, "reanalysis_hourly")
+    others = [v for v in variables if v != S.TARGET]
     quality_rows = quality.period_quality_table(hourly).withColumn("item", F.concat_ws("/", "period_type", "period"))
     profile_rows = profile.statistical_profile(hourly, [S.STATION], variables)
-    pairs = profile.pair_correlation(hourly, [S.STATION], S.TARGET, [v for v in variables if v != S.TARGET])
-    tests = inference.inference_suite(days, median_limit, mean_limit, n_boot, seed)
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _long(quality_rows, "quality", "item", ["valid_hours", "coverage_pct_calendar", "gap_count", "longest_gap_hours"]),
-            _long(grid.missing_runs(hourly, min_span=2), "gaps", "run_start", ["gap_hours"]),
-            _long(profile_rows, "profile", "variable", ["n", "mean", "sd", "median", "p95", "skewness", *CIRCULAR]).filter(
-                ~F.col("metric").isin(*CIRCULAR) | (F.col("item") == "wind_direction")
-            ),
-            _long(pairs, "correlation", "variable", ["pearson", "spearman", "pair_pct"]),
-            _long(tests, "inference", "test", ["statistic", "estimate", "p_value", "holm_p"]),
-        ],
+    pairs = profile.pair_correlation(hourly, [S.STATION], S.TARGET, others)
+    tests = written(inference.inference_suite(days, median_limit, mean_limit, n_boot, seed), "reanalysis_tests")
+    trends = [
+        profile.quantile_bin_trend(hourly, [S.STATION], x, S.TARGET).withColumn("item", F.concat_ws("/", F.lit(x), F.col("bin").cast("string")))
+        for x in others
+    ]
+    sensitivity = inference.inference_sensitivity(hourly, [12, 18, 24], S.SENSITIVITY_BLOCKS, n_ci, seed)
+    sensitivity = sensitivity.withColumn("item", F.concat(F.lit("hours="), F.col("min_hours"), F.lit("/block="), F.col("block")))
+    named = joins.pairs_within(tests.select(S.STATION).distinct().withColumn("network", F.lit("daily")), "network")
+    agree = joins.compare_station_pairs(tests, named).select(
+        F.concat_ws(" - ", "station_a", "station_b").alias(S.STATION),
+        F.concat_ws(": ", "test", "classification").alias("item"),
+        F.col("same_direction").cast("int").alias("same_direction"),
+        F.col("ci_overlap").cast("int").alias("ci_overlap"),
     )
-
-
-def revalidate(extended: DataFrame, stations: Sequence[str], quality_table: DataFrame, results: DataFrame) -> DataFrame:
-    """Contract, published quality rows against a recomputation, and result identities, as verdict rows."""
+    parts = [
+        _long(quality_rows, "quality", "item", ["valid_hours", "coverage_pct_calendar", "gap_count", "longest_gap_hours"]),
+        _long(grid.missing_runs(hourly, min_span=2), "gaps", "run_start", ["gap_hours"]),
+        _long(profile_rows, "profile", "variable", ["n", "mean", "sd", "median", "p95", "skewness", *CIRCULAR]).filter(
+            ~F.col("metric").isin(*CIRCULAR) | (F.col("item") == "wind_direction")
+        ),
+        _long(pairs, "correlation", "variable", ["pearson", "spearman", "pair_pct"]),
+        _long(reduce(DataFrame.unionByName, trends), "trend", "item", ["n", "median_x", "median_y", "q25_y", "q75_y"]),
+        _long(tests, "inference", "test", ["statistic", "estimate", "p_value", "holm_p"]),
+        _long(sensitivity, "sensitivity", "item", ["point", "ci_low", "ci_high", "replicate_sd", "n_replicates"]),
+        _long(agree, "agreement", "item", ["same_direction", "ci_overlap"]),
+    ]
+    if extended is not None:
+        stations = [r[0] for r in extended.select(S.STATION).distinct().collect()]  # the stations of one network
+        contract = quality.input_contract(extended, stations).withColumns({S.STATION: F.lit("ALL"), "passed": F.col("passed").cast("int")})
+        parts.append(_long(contract, "contract", "check", ["violations", "passed"]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def revalidate(extended: DataFrame, stations: Sequence[str], quality_table: DataFrame, results: DataFrame, recheck: DataFrame | None = None) -> DataFrame:
+    """Contract, published quality rows against a recount, result identities and bootstrap checks, as verdict rows.
+
+    The recount copies hours instead of adding up monthly states, and `recheck` (see
+    `inference.inference_recheck`) draws replicates another way, so each can find a fault.
+    """
     keys = [S.STATION, "period_type", "period"]
-    again = quality.period_quality_table(extended)
+    again = quality.period_recount(extended)
     close = ["coverage_pct_calendar", "coverage_pct_active"]
     exact = ["valid_hours", "gap_count", "longest_gap_hours"]
     differ = joins.reconcile(quality_table, again, keys, exact, close).groupBy("column").agg(
         F.sum(F.when(F.col("verdict") != "match", F.col("n")).otherwise(0)).alias("violations")
     )
     tag = lambda df, area: df.select(F.lit(area).alias("area"), "check", "violations", "passed")
-    return reduce(
-        DataFrame.unionByName,
-        [
-            tag(quality.input_contract(extended, stations), "input"),
-            tag(differ.select(F.col("column").alias("check"), "violations", (F.col("violations") == 0).alias("passed")), "reconcile"),
-            tag(quality.table_identities(quality_table), "quality_identities"),
-            tag(quality.result_identities(results), "result_identities"),
-        ],
-    )
+    parts = [
+        tag(quality.input_contract(extended, stations), "input"),
+        tag(differ.select(F.col("column").alias("check"), "violations", (F.col("violations") == 0).alias("passed")), "reconcile"),
+        tag(quality.table_identities(quality_table), "quality_identities"),
+        tag(quality.result_identities(results), "result_identities"),
+    ]
+    if recheck is not None:
+        failed = recheck.groupBy("check").agg(F.count_if(~F.col("passed")).alias("violations"))
+        parts.append(tag(failed.withColumn("passed", F.col("violations") == 0), "bootstrap"))
+    return reduce(DataFrame.unionByName, parts)

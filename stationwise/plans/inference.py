@@ -11,7 +11,7 @@ from .. import schema as S
 from ..functions import dist
 from ..functions import scalar as fn
 from ..operators import linear_core as lin
-from ..operators import panel, resample, stats
+from ..operators import packed, panel, resample, stats
 from ..operators.ranks import quantiles
 from ..session import written
 
@@ -53,16 +53,21 @@ def _stable(p: DataFrame, by: str, main: float, alpha: float, name: str = "stabl
     return agg.select(*KEYS, F.when(F.col("_ref") == 1, F.col("_hits") == F.col("_n")).otherwise(F.col("_hits") == 0).alias(name))
 
 
-def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, blocks: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA) -> DataFrame:
+def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, blocks: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA, drawn: DataFrame | None = None) -> DataFrame:
     """Omnibus season test: calendar null bootstrap of H; HAC Wald with trend as the supporting test. Always exploratory.
 
+    `drawn` is a table of replicate statistics by `primary_replicates`, where several tests share one.
+
     A station with fewer than 3 days of a season stays, without p-values and with the status insufficient_data.
     """
     enough = F.col("smallest_group") >= 3
     kw = stats.kruskal_wallis(days, "season", p_values=True).select(
         *KEYS, F.col("h").alias("statistic"), "n", "epsilon_squared", F.col("p_value").alias("p_independence"), "smallest_group"
     )
-    boot = resample.null_test_h(days, "season", len(SEASONS), n_boot, sorted({block, *blocks}), seed)
+    if drawn is None:
+        boot = resample.null_test_h(days, "season", len(SEASONS), n_boot, sorted({block, *blocks}), seed)
+    else:
+        boot = resample.null_p(drawn.withColumn("stat", F.col("season_h")), resample.observed_h(days, "season"), n_boot, KEYS, "greater")
     main = boot.filter(F.col("block") == block).select(*KEYS, F.col("p_value").alias("p_value"))
     stable = _stable(boot, "block", block, alpha)
     design = stats.trend_design(days)
@@ -90,7 +95,7 @@ def season_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_
     )
 
 
-def weekday_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, lags: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA) -> DataFrame:
+def weekday_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, lags: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA, drawn: DataFrame | None = None) -> DataFrame:
     """Weekend coefficient beside a trend (HAC); calendar null bootstrap of U as the supporting test."""
     design = stats.trend_design(days)
     fit = lin.hac_fit(design, KEYS, "value", stats.WEEKEND_TERMS, "pos", sorted({lag, *lags}), size=None)
@@ -101,9 +106,11 @@ def weekday_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK
     mw = stats.mann_whitney(days, "weekend", 0, 1, p_values=True).select(
         *KEYS, F.col("rank_biserial").alias("effect"), F.col("p_value").alias("p_independence")
     )
-    boot = resample.null_test_u(days, "weekend", 0, 1, n_boot, [block], seed).select(
-        *KEYS, F.col("p_value").alias("p_supporting")
-    )
+    if drawn is None:
+        boot = resample.null_test_u(days, "weekend", 0, 1, n_boot, [block], seed)
+    else:
+        boot = resample.null_p(drawn.withColumn("stat", F.col("weekend_u")), resample.observed_u(days, "weekend", 0, 1), n_boot, KEYS)
+    boot = boot.select(*KEYS, F.col("p_value").alias("p_supporting"))
     return (
         main.join(mw, KEYS)
         .join(boot, KEYS)
@@ -128,15 +135,18 @@ def weekday_effect(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK
     )
 
 
-def location_effect(days: DataFrame, mu: float, kind: str, test: str, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, lags: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA) -> DataFrame:
+def location_effect(days: DataFrame, mu: float, kind: str, test: str, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, lags: Sequence[int] = S.SENSITIVITY_BLOCKS, lag: int = S.HAC_LAG, alpha: float = S.ALPHA, drawn: DataFrame | None = None) -> DataFrame:
     """Mean against mu (HAC t) or median against mu (share above mu, HAC t); null-imposed bootstrap as the supporting test."""
     robust = stats.hac_location(days, mu, sorted({lag, *lags}), p_values=True).filter(
         F.col("kind") == ("mean" if kind == "mean" else "share")
     )
     main = robust.filter(F.col("lag") == lag)
-    boot = resample.null_imposed_location(days, mu, "t" if kind == "mean" else "signed_rank", n_boot, [block], seed).select(
-        *KEYS, F.col("p_value").alias("p_supporting")
-    )
+    way = "t" if kind == "mean" else "signed_rank"
+    if drawn is None:
+        boot = resample.null_imposed_location(days, mu, way, n_boot, [block], seed)
+    else:
+        boot = resample.null_p(drawn.withColumn("stat", F.col(f"{kind}_{way}")), resample.observed_location(days, mu, way), n_boot, KEYS)
+    boot = boot.select(*KEYS, F.col("p_value").alias("p_supporting"))
     if kind == "mean":
         classic = stats.one_sample_t(days, mu, p_values=True).select(
             *KEYS, F.col("cohen_d").alias("effect"), F.col("p_value").alias("p_independence")
@@ -171,18 +181,37 @@ def location_effect(days: DataFrame, mu: float, kind: str, test: str, n_boot: in
     )
 
 
+def primary_replicates(days: DataFrame, n_boot: int, seed: int, block: int = S.BLOCK_DAYS, blocks: Sequence[int] = S.SENSITIVITY_BLOCKS) -> DataFrame:
+    """Statistics of the four primary tests of each replicate, from one set of draws: block, b, season_h, weekend_u, median_signed_rank, mean_t.
+
+    The location tests see the same days with the mean or median taken off, so that H0 holds.
+    """
+    centre = days.groupBy(*KEYS).agg(F.avg("value").alias("_mean"))
+    middle = quantiles(days, KEYS, "value", {"_median": 0.5}, bounded=True)
+    noise = days.join(centre, KEYS).join(middle, KEYS).withColumns({"_of_mean": F.col("value") - F.col("_mean"), "_of_median": F.col("value") - F.col("_median")})
+    statistics = [
+        packed.kruskal("season", len(SEASONS), name="season_h"),
+        packed.rank_sums("weekend", [(0, 1)], names=["weekend_u"], blocks=[block]),
+        packed.signed_ranks("_of_median", "median_signed_rank", blocks=[block]),
+        packed.student("_of_mean", "mean_t", blocks=[block]),
+    ]
+    return packed.replicate_stats(noise, n_boot, sorted({block, *blocks}), seed, statistics, KEYS)
+
+
 def inference_suite(days: DataFrame, median_limit: float, mean_limit: float, n_boot: int, seed: int, alpha: float = S.ALPHA) -> DataFrame:
     """Four primary tests per station, Holm over the family, decision and evidence labels.
 
-    The calendar (one row per station-day) feeds some thirty sub-plans, so it is
-    written once instead of being derived again for each of them.
+    The calendar (one row per station-day) feeds some thirty sub-plans, and the tests share
+    their replicates, so both are written once instead of being derived again.
     """
     days = written(days, "calendar")
+    drawn = written(primary_replicates(days, n_boot, seed), "replicates")
+    same = {"alpha": alpha, "drawn": drawn}
     tests = (
-        season_effect(days, n_boot, seed, alpha=alpha)
-        .unionByName(weekday_effect(days, n_boot, seed, alpha=alpha))
-        .unionByName(location_effect(days, median_limit, "median", "median_location", n_boot, seed, alpha=alpha))
-        .unionByName(location_effect(days, mean_limit, "mean", "mean_location", n_boot, seed, alpha=alpha))
+        season_effect(days, n_boot, seed, **same)
+        .unionByName(weekday_effect(days, n_boot, seed, **same))
+        .unionByName(location_effect(days, median_limit, "median", "median_location", n_boot, seed, **same))
+        .unionByName(location_effect(days, mean_limit, "mean", "mean_location", n_boot, seed, **same))
     )
     out = stats.holm(tests, KEYS, "p_value", "test")
     reject = F.col("holm_p") < alpha
@@ -215,9 +244,11 @@ def posthoc_pairs(days: DataFrame, n_boot: int, n_ci: int, seed: int, block: int
     k = [*KEYS, "season_a", "season_b"]
     mw = stats.mann_whitney(keyed, "side", 0, 1, keys=k, p_values=True)
     observed = mw.select(*k, F.col("rank_biserial").alias("observed"))
-    reps = resample.replicates(days, n_boot, [block], seed, labels=["season"])
-    rep_pairs = by_pair(reps, [*KEYS, "block", "b", "dest", "value", "season"])
-    boot = resample.null_p(resample.replicate_u(rep_pairs, "side", 0, 1, k, biserial=True), observed, n_boot, k)
+    names = [f"_pair{i}" for i in range(len(pairs))]
+    own = packed.rank_sums("season", pairs, biserial=True, names=names)
+    reps = packed.replicate_stats(days, n_boot, [block], seed, [own], KEYS)
+    each = F.array(*[F.struct(F.lit(a).alias("season_a"), F.lit(b).alias("season_b"), F.col(c).alias("stat")) for (a, b), c in zip(pairs, names)])
+    boot = resample.null_p(reps.select(*KEYS, "block", F.explode(each).alias("_p")).select(*KEYS, "block", "_p.*"), observed, n_boot, k)
     ci = resample.contrast_ci(days, "season", pairs, "median", block, n_ci, seed).select(
         *KEYS, F.col("group_a").alias("season_a"), F.col("group_b").alias("season_b"), "point", "ci_low", "ci_high", "ci_method"
     )
@@ -307,19 +338,29 @@ def without_partial_winters(days: DataFrame, full_share: float = 0.9) -> DataFra
     ).drop("_wy", "_partial")
 
 
-def inference_recheck(reported: DataFrame, recomputed: DataFrame, n_boot: int, z: float = 5.0) -> DataFrame:
-    """Compare reported bootstrap p-values and statistics with a second run under another seed.
+def inference_recheck(reported: DataFrame, days: DataFrame, n_boot: int, blocks: Sequence[int], seed: int, z: float = 5.0) -> DataFrame:
+    """Reported bootstrap means of observed days (as `compact_mean_report` has them) checked by two other paths.
 
-    Statistics must agree to 1e-9; p-values within z binomial standard errors of both runs.
+    Relational: the same replicates from prefix sums joined by block start; interval,
+    spread and number must be the same (to 1e-9 of their size). Closed form: the estimate
+    must be the expected mean, and the spread within z standard errors of the exact one.
+    A reported or a recomputed row without its counterpart fails.
     """
-    k = [S.STATION, "test"]
-    a = reported.select(*k, F.col("statistic").alias("_sa"), F.col("p_value").alias("_pa"))
-    b = recomputed.select(*k, F.col("statistic").alias("_sb"), F.col("p_value").alias("_pb"))
-    mid = (F.col("_pa") + F.col("_pb")) / 2
-    tol = z * F.sqrt(2 * F.greatest(mid * (1 - mid), F.lit(1.0 / (n_boot + 1))) / n_boot)
-    close = F.abs(F.col("_sa") - F.col("_sb")) <= 1e-9 + 1e-9 * F.abs("_sb")
-    return a.join(b, k, "full_outer").select(
-        *k,
-        F.coalesce(close, F.lit(False)).alias("statistic_ok"),
-        F.coalesce(F.abs(F.col("_pa") - F.col("_pb")) <= tol, F.lit(False)).alias("p_ok"),
+    dense = written(resample.compact_calendar(days), "dense")
+    k = [S.STATION, "block"]
+    again = resample.percentile_ci(resample.mean_by_prefix_sums(dense, n_boot, blocks, seed), k).select(
+        *k, *[F.col(c).cast("double").alias(f"_{c}") for c in ("n_replicates", "ci_low", "ci_high", "replicate_sd")]
+    )
+    exact = resample.closed_form_mean(dense, blocks)
+    both = reported.join(again, k, "full_outer").join(exact, k, "full_outer")
+    same = lambda c: F.greatest(F.lit(1.0), F.abs(F.col(c))) * 1e-9
+    checks = [(f"relational: {c}", c, f"_{c}", same(f"_{c}")) for c in ("n_replicates", "ci_low", "ci_high", "replicate_sd")]
+    checks += [("closed form: mean", "point", "expected", same("expected")), ("closed form: spread", "replicate_sd", "sd", z * F.col("sd") / F.sqrt(F.lit(2.0 * n_boot)) + 1e-9)]
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("check"), F.col(a).cast("double").alias("reported"), F.col(b).alias("recomputed"), tol.alias("tolerance"))
+            for name, a, b, tol in checks
+        ]
     )
+    out = both.select(*k, F.explode(rows).alias("_r")).select(*k, "_r.*")
+    return out.withColumn("passed", F.coalesce(F.abs(F.col("reported") - F.col("recomputed")) <= F.col("tolerance"), F.lit(False)))

@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stationwise import schema as S
-from stationwise.operators import joins, quality, resample, splits
+from stationwise.catalog.sources import export_agency
+from stationwise.operators import grid, joins, quality, resample, splits
 from stationwise.session import scratch_path
 from stationwise.sources import agency_csv, archive, columnar_json, tables
 from tests.helpers import calendar, hourly
@@ -143,3 +146,57 @@ def test_archive_of_other_years_is_not_listed(spark):
     rows = spark.createDataFrame([(y,) for y in (2023, 2024, 2025)], "year int").withColumns({"day": F.lit("0101"), "x": F.lit(1)})
     rows.write.partitionBy("year", "day").option("header", "true").option("compression", "gzip").csv(path)
     assert {r.year for r in archive.archive_files(spark, path, [2023, 2025]).collect()} == {2023, 2025}
+
+
+def test_weather_join_fails_on_a_repeated_key_by_itself(spark):
+    air = hourly(spark, {"s": [1.0, 2.0]})
+    weather = hourly(spark, {"s": [5.0, 6.0]}, name="temperature").drop("station_id")
+    with pytest.raises(Exception, match="repeated weather key"):
+        joins.join_air_weather(air, weather.union(weather)).collect()
+    null_hour = weather.unionByName(weather.withColumn("timestamp", F.lit(None).cast("timestamp"))).unionByName(weather.withColumn("timestamp", F.lit(None).cast("timestamp")))
+    assert joins.join_air_weather(air, null_hour).filter("weather_matched").count() == 2
+    with pytest.raises(Exception, match="repeated weather key"):
+        joins.join_air_weather(air, weather.union(weather)).select("pm25").collect()
+
+
+def test_lookup_refuses_a_repeated_key(spark):
+    df, dim = hourly(spark, {"s": [1.0, 2.0, 3.0]}), hourly(spark, {"s": [5.0, 6.0]}, name="rh").drop("station_id")
+    assert [r.rh for r in joins.lookup_many_to_one(df, dim, ["timestamp"]).orderBy("timestamp").collect()] == [5.0, 6.0, None]
+    with pytest.raises(Exception, match="repeated lookup key"):
+        joins.lookup_many_to_one(df, dim.union(dim.limit(1)), ["timestamp"]).collect()
+
+
+def test_interpolation_refuses_an_uneven_axis(spark):
+    even = hourly(spark, {"a": [1.0, None, 3.0], "b": [2.0, 2.0]}).withColumn("split", F.lit("train"))
+    assert grid.interpolate_short_gaps(even).filter("is_derived").first().pm25_derived == 2.0
+    hole = hourly(spark, {"a": [1.0, "gap", 3.0]}).withColumn("split", F.lit("train"))
+    for bad in (hole, even.unionByName(even.limit(1)), even.unionByName(even.limit(1).withColumn("timestamp", F.expr("timestamp + interval 4000 hours")))):
+        with pytest.raises(Exception, match="one row per hour"):
+            grid.interpolate_short_gaps(bad).collect()
+
+
+def test_pairs_follow_the_stations(spark):
+    """Bitmap pages: hours over more than one page, and stations that no list names."""
+    df = hourly(spark, {"new": [1.0] * 40, "old": ["gap"] * 30 + [1.0] * 40})
+    df = df.unionByName(df.withColumn("timestamp", F.expr("timestamp + interval 40000 hours"))).unionByName(df.limit(3))
+    df = df.unionByName(hourly(spark, {"far": [1.0] * 5, "zz": [1.0] * 200}))
+    regions = spark.createDataFrame([("new", "x"), ("old", "x"), ("far", "y"), ("zz", "x"), (None, "x"), ("new", "x")], "station_id string, region string")
+    pairs = joins.pairs_within(regions, "region")
+    got = {(r.station_a, r.station_b): r.shared_hours for r in joins.station_pair_overlap(df, pairs).collect()}
+    assert got == {("new", "old"): 20, ("new", "zz"): 40, ("old", "zz"): 40}
+
+
+def test_every_real_file_has_its_own_profile(spark):
+    """Several part files per layout: the profile counts the lines of each."""
+    paths = export_agency(spark, "/root/testdata/sf0.001")
+    more = spark.read.text(paths[0])
+    header, lines = more.first().value, [r.value for r in more.collect()]
+    folder = scratch_path(spark, "agency-files").removeprefix("file:")
+    os.makedirs(folder)
+    body = [x for x in lines if x != header]
+    for name, part in (("one.csv", body[:40]), ("two.csv", body[40:55])):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write("\n".join([header, *part]) + "\n")
+    rows = agency_csv.scan_agency_csv(spark, "Hanoi", folder, paths[1])
+    got = {r.source_file.rsplit("/", 1)[-1]: r.n_rows for r in agency_csv.file_profile(rows).collect()}
+    assert (got.pop("one.csv"), got.pop("two.csv")) == (40, 15) and got and all(n.startswith("part-") for n in got)
