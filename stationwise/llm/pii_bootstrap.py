@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: The kinds in their fixed order.
+#: The kinds in their fixed order, and the kind that only contexts can tell.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 _LOCAL, _NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Each finds the leftmost matches of its kind in linear time: look-behinds (and the end of the
 #: match before) leave only places where a leftmost match can begin, and what a greedy run
@@ -19,12 +20,16 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words of 5 to 64 characters with a digit: what may be an identifier.
-CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9._%+@-]{3,62}[A-Za-z0-9](?![A-Za-z0-9._%+@-])"
+#: Words of 5 to 128 characters with a digit: what may be an identifier.
+CANDIDATE = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9._%+@-]{3,126}[A-Za-z0-9](?![A-Za-z0-9._%+@-])"
+#: Candidates that seed the kind `secret`: long, of letters and digits in no order that words have.
+SECRET = r"^(?=.*[0-9].*[0-9].*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z].*[A-Za-z].*[A-Za-z])[A-Za-z0-9_-]{32,}$"
+#: Distinct characters that such a seed has at least.
+VARIED = 8
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "card": "0-9", "phone": "+"}
-#: Code points before a match in which its context is sought.
-REACH = 48
+#: Code points before and after a match in which its context is sought.
+REACH, BEYOND = 48, 8
 ROUNDS, SUPPORT, SURE = 3, 3, 0.6
 
 
@@ -48,11 +53,12 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _found(text: Column, pattern: str, needs: Column) -> Column:
-    """Matches in order: (gap to the match before, the last code points of that gap, match)."""
+    """Matches in order: (gap to the match before, the last code points of that gap, the first after the match, match)."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.substring(p, -REACH, REACH).alias("left")))
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p["gap"].alias("gap"), p["left"].alias("left"), m.alias("match")))
-    none = F.expr("cast(null as array<struct<gap:int,left:string,match:string>>)")
+    between = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.length(p).alias("gap"), F.substring(p, -REACH, REACH).alias("left"), F.substring(p, 1, BEYOND).alias("right")))
+    sides = F.zip_with(F.slice(between, 1, F.size(matches)), F.slice(between, 2, F.size(matches)), lambda p, q: F.struct(p["gap"].alias("gap"), p["left"].alias("left"), q["right"].alias("right")))
+    pairs = F.zip_with(sides, matches, lambda p, m: F.struct(p["gap"].alias("gap"), p["left"].alias("left"), p["right"].alias("right"), m.alias("match")))
+    none = F.expr("cast(null as array<struct<gap:int,left:string,right:string,match:string>>)")
     return F.when(needs & (F.size(matches) > 0), pairs).otherwise(none)
 
 
@@ -68,7 +74,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def occurrences(scanned: DataFrame) -> DataFrame:
-    """__row, kind ("other" for candidates), start, end (code points, end exclusive), match, left."""
+    """__row, kind ("other" for candidates), start, end (code points, end exclusive), match, left, right."""
     rows = [scanned.filter(f"__{k} is not null").select("__row", F.lit(k).alias("kind"), F.posexplode(f"__{k}").alias("i", "m")) for k in (*KINDS, "other")]
     all_ = rows[0]
     for r in rows[1:]:
@@ -76,31 +82,55 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     w = Window.partitionBy("__row", "kind").orderBy("i")
     size = F.length("m.match")
     out = all_.withColumn("end", F.sum(F.col("m.gap") + size).over(w).cast("long")).withColumn("start", F.col("end") - size)
-    return out.select("__row", "kind", "start", "end", F.col("m.match").alias("match"), F.col("m.left").alias("left")).filter(valid(F.col("kind"), F.col("match")))
+    return out.select("__row", "kind", "start", "end", F.col("m.match").alias("match"), F.col("m.left").alias("left"), F.col("m.right").alias("right")).filter(valid(F.col("kind"), F.col("match")))
 
 
-def contexts(left: Column) -> Column:
-    """Lexical patterns of a match: the last two words before it with marks, and the last one; digits are one digit."""
-    plain = F.regexp_replace(F.lower(left), "[0-9]", "0")
-    two = F.regexp_extract(plain, r"(\S+\s+\S+\s*)$", 1)
-    one = F.regexp_extract(plain, r"(\S+\s*)$", 1)
-    squeeze = lambda c: F.regexp_replace(c, r"\s+", " ")
-    return F.filter(F.array_distinct(F.array(squeeze(two), squeeze(one))), lambda p: p != "")
+def shape(match: Column) -> Column:
+    """The kinds of characters of a match, and the power of two that its length has reached."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(match, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.split(plain, ""))), "")
+    return F.concat(kinds, F.lit(":"), F.floor(F.log2(F.length(match))).cast("string"))
+
+
+def contexts(left: Column, right: Column, match: Column) -> Column:
+    """Patterns in whose place a match stands; lower case, digits are one digit.
+
+    Lexical ones are the last word before it with the marks that follow that word, alone if
+    there are marks, and with the mark after the match; and the last two words. Each of the
+    first two also comes with the shape of the match, so that like strings after a like mark
+    support each other.
+    """
+    squeeze = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), r"\s+", " ")
+    word = squeeze(F.regexp_extract(left, r"(\pL+[^\pL]*)$", 1))
+    two = squeeze(F.regexp_extract(left, r"(\pL+[^\pL]+\pL+[^\pL]*)$", 1))
+    after = F.regexp_extract(right, r"^([^\pL\pN\s]+)", 1)
+    marked = word.rlike(r"[^\pL\s]")
+    around = F.when(marked & (after != ""), F.concat(word, F.lit("\u2026"), F.substring(after, 1, 1)))
+    word = F.when(marked, word)
+    shaped = lambda c: F.concat(c, F.lit("\u2028"), shape(match))
+    return F.array_distinct(F.array_compact(F.array(word, around, F.when(two != "", two), shaped(word), shaped(around))))
+
+
+def seed_kind(kind: Column, match: Column) -> Column:
+    """The kind that a match shows by itself: the fixed kinds, and strings that only a secret looks like."""
+    varied = F.size(F.array_distinct(F.split(F.lower(match), ""))) >= VARIED
+    return F.when(kind != "other", kind).when(match.rlike(SECRET) & varied, "secret")
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """Patterns in whose place identifiers of a kind stand: pattern, kind, score.
 
-    Nodes are patterns and instances (matched strings), edges say that an instance stood
-    after a pattern. Instances of the fixed kinds start with weight 1 for their kind. A
-    pattern's score for a kind is the weight of its distinct instances over their number
-    plus one; patterns of at least `support` weight count. A candidate's weight is the
-    chance that one of its patterns of score `sure` or more is right. After `rounds`,
-    patterns of score `sure` or more remain. Edges and scores are aggregated before
-    they are shuffled, so a pattern or string in a third of all places is one row a task.
+    Nodes are patterns (words and marks on both sides, with or without the shape) and
+    instances (matched strings); an edge says that an instance stood in a pattern. Instances
+    that show their kind by themselves start with weight 1 for it. A pattern's score for a
+    kind is the weight of its distinct instances over their number plus one; patterns of at
+    least `support` weight count. A candidate's weight is the chance that one of its
+    patterns of score `sure` or more is right. After `rounds`, patterns of score `sure` or
+    more remain. Edges and scores are aggregated before they are shuffled, so a pattern or
+    string in a third of all places is one row a task.
     """
-    edges = found.select(F.explode(contexts(F.col("left"))).alias("pattern"), "match", "kind")
-    edges = written(edges.groupBy("pattern", "match").agg(F.min(F.when(F.col("kind") != "other", F.col("kind"))).alias("seed")), "edges")
+    edges = found.select(F.explode(contexts(F.col("left"), F.col("right"), F.col("match"))).alias("pattern"), "match", seed_kind(F.col("kind"), F.col("match")).alias("kind"))
+    edges = written(edges.groupBy("pattern", "match").agg(F.min("kind").alias("seed")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.filter("seed is not null").select("pattern", "match", F.col("seed").alias("kind"), F.lit(1.0).alias("weight"))
     known = seeds
@@ -119,9 +149,10 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with `base` and `spans`: arrays of (start, place, end, kind), sorted.
 
     `base` holds the matches of the fixed kinds that keep their rules, `spans` also the
-    candidates after a bootstrapped pattern (with its kind; the surest, then the first
-    kind) that don't overlap a base span. `place` is the kind's place in KINDS. Positions count code points of
-    the whole text. Null and empty texts have no spans; repeated rows give repeated
+    candidates in a bootstrapped pattern (with its kind; the surest, then the first kind)
+    that don't overlap a base span: further identifiers of the fixed kinds, and secrets such
+    as tokens. `place` is the kind's place in ALL_KINDS. Positions count code points of the
+    whole text. Null and empty texts have no spans; repeated rows give repeated
     results; an empty table gives none. Columns named base or spans are replaced.
     """
     scanned = scan(docs.drop("base", "spans"), text)
@@ -133,8 +164,8 @@ def personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     free = found.withColumn("taken", F.max(F.when(is_base, F.col("end"))).over(before)).withColumn("next", F.min(F.when(is_base, F.col("start"))).over(after))
     free = free.filter("kind = 'other' and coalesce(taken, 0) <= start and (next is null or next >= end)")
     # a base span of the same start and end may sort after or before; both are seen above
-    hits = free.select("__row", "start", "end", F.explode(contexts(F.col("left"))).alias("pattern")).join(patterns, "pattern")
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    hits = free.select("__row", "start", "end", F.explode(contexts(F.col("left"), F.col("right"), F.col("match"))).alias("pattern")).join(patterns, "pattern")
+    place = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).cast("int") - 1
     extra = hits.withColumn("place", place).groupBy("__row", "start", "end").agg(F.min(F.struct(-F.col("score"), "place", "kind")).alias("best"))
     extra = extra.select("__row", "start", "end", F.col("best.place").alias("place"), F.col("best.kind").alias("kind"), F.lit(False).alias("fixed"))
     spans = found.filter(is_base).select("__row", "start", "end", place.alias("place"), "kind", F.lit(True).alias("fixed")).unionByName(extra)

@@ -216,6 +216,32 @@ def test_windows_by_set_and_by_join(spark, docs, empty):
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def nearest_by_brute_force(ids, v, k, every):
+    """Exact neighbours of the same queries, to measure recall against."""
+    for i in np.flatnonzero(ids % every == 0):
+        s = (v * v[i]).sum(axis=1)
+        order = [j for j in np.lexsort([ids, -s])[: k + 1] if ids[j] != ids[i]][:k]
+        yield int(ids[i]), [int(ids[j]) for j in order]
+
+
+def test_given_vectors_are_not_searched_in_whole(spark):
+    """Recall of at least 0.9 at sf 0.1 with a stated part of queries x rows."""
+    frame = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    rows_ = frame.orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows_]), np.array([r.embedding for r in rows_], float)
+    true = dict(nearest_by_brute_force(ids, v, 20, 20))
+    got = {}
+    for r in learned_partitions.search(frame).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & set(t)) for q, t in true.items()) >= 0.9 * 20 * len(true)
+    parts = round(len(v) ** 0.5 / 3)
+    router = learned_partitions.learn(v, parts, 20)
+    home = np.bincount(router.best(v, 1)[:, 0], minlength=parts)
+    order, n = router.searched(v[ids % 20 == 0])
+    compared = sum(home[o[:m]].sum() for o, m in zip(order, n))
+    assert router.probes < parts and compared <= 0.85 * len(true) * len(v)
+
+
 def test_router_recall_and_odd_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
@@ -226,7 +252,7 @@ def test_router_recall_and_odd_vectors(spark):
     got = {}
     for r in learned_partitions.search(frame, partitions=8).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    true = dict(learned_partitions.brute_force(np.arange(1500), v.astype(float), 20, 20))
+    true = dict(nearest_by_brute_force(np.arange(1500), v.astype(float), 20, 20))
     assert set(got) == set(true)
     found = sum(len({i for _, i, _ in got[q]} & set(true[q])) for q in true)
     assert found >= 0.9 * 20 * len(true)
@@ -335,3 +361,42 @@ def test_keep_one_decides_by_row(spark):
     kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame).collect()]
     assert (5, other) in kept and (6, alone) in kept and (None, other + " z") in kept
     assert len(kept) == 4 and sum(d == 8 for d, _ in kept) == 1
+
+
+def test_words_built_to_collide_do_not(spark):
+    """The Thue-Morse word and its swap are equal under every polynomial modulo 2^64."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    swap = word.translate(str.maketrans("ab", "ba"))
+    tail = " one two three four five"
+    texts = [word, swap, word + tail, swap + tail, word.upper() + tail, word[:1024], swap[:1024]]
+    frame = spark.createDataFrame(rows(texts), DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert got[4] == (2, 2) and got[0] == (1, 0) and got[6] == (1, 6)
+
+
+def test_keep_one_takes_map_columns_and_keeps_keyless_rows(spark):
+    frame = spark.sql("SELECT * FROM VALUES (1L, '', map('a', 1)), (null, 'x y', map('a', 1)), (null, 'x y', map('a', 1)), (2L, 'x y', map()), (3L, 'x y', map()) AS t(doc_id, text, m)")
+    assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(frame).collect()) == ["1", "2", "None", "None"]
+
+
+def test_contexts_find_identifiers_that_have_no_form(spark):
+    """Secrets in prose: those of a plain form seed the mark, and strings of other forms in its place are found; loose ones are not."""
+    rng = np.random.default_rng(6)
+    words = ["thand", "erion", "le", "der", "ountre", "und", "he", "ansti"]
+    prose = lambda n: " ".join(words[int(i)] for i in rng.integers(0, len(words), n))
+    hexes = ["".join("0123456789abcdef"[int(i)] for i in rng.integers(0, 16, 40)) for _ in range(30)]
+    texts = [f'{prose(9)} token = "{h}" {prose(5)}' for h in hexes[:20]]
+    texts += [f'{prose(7)} TOKEN = "{h.upper()}"!! {prose(4)}' for h in hexes[20:24]]
+    texts += [f'{prose(3)} token = "zz9-short1" {prose(4)}', f'{prose(3)} token: "zz9-short2" {prose(4)}', f"{prose(5)} {hexes[29]} {prose(3)}", f"{prose(5)} b2b-42x {prose(3)}"]
+    texts += [f"{prose(6)} a{i}.b@mail.example.com {prose(3)} 10.0.0.{i} {prose(4)}" for i in range(12)]
+    frame = spark.createDataFrame(rows(texts), DOCS)
+    got = {r.doc_id: r for r in pii_bootstrap.personal_data(frame).collect()}
+    extra = {d: [texts[d][s.start : s.end] for s in r.spans if s not in r.base] for d, r in got.items()}
+    assert [extra[i] for i in range(24)] == [[h] for h in hexes[:20]] + [[h.upper()] for h in hexes[20:24]]
+    assert extra[24] == ["zz9-short1"] and not any(extra[i] for i in range(25, len(texts)))
+    assert all(s.kind == "secret" for i in range(25) for s in got[i].spans)
+    masked = {r.doc_id: r.text for r in pii_bootstrap.mask(frame).collect()}
+    assert masked[24].count('token = "<SECRET>"') == 1 and masked[26] == texts[26]
