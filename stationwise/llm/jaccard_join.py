@@ -36,7 +36,17 @@ _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLACE = _RANDOM.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x2545F4914F6CDD1D
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+
+
+def placed(byte: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """64 bits for a byte at its place in a word; no sum over places is linear in the bytes, so no two long words collide by their build."""
+    return mix(_BYTE[byte] + offset.astype(np.uint64) * _STEP)
+
+
+#: Places of a word that are looked up; further ones are computed.
+_NEAR = 64
+_PLACED = placed(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
 
 
 def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +66,11 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
         if len(first):
             at = np.flatnonzero(inside)
-            word = np.searchsorted(first, at, "right") - 1
-            offset = at - first[word]
-            power = np.cumprod(np.full(int(offset.max()) + 1, _BASE, np.uint64))
-            value = _BYTE[part[at]] * power[offset]
             bounds = np.searchsorted(at, first)
+            offset = np.arange(len(at)) - np.repeat(bounds, np.diff(np.append(bounds, len(at))))
+            value = _PLACED[np.minimum(offset, _NEAR - 1) * 256 + part[at]]
+            far = np.flatnonzero(offset >= _NEAR)
+            value[far] = placed(part[at[far]], offset[far])
             hashes.append(mix(np.add.reduceat(value, bounds)))
             starts.append(first + begin)
         begin = end
@@ -414,8 +424,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of docs, all columns, that stand for their component: one row of its smallest key.
 
     Rows are told apart by a number of their own, so a key may repeat, with equal or
-    different texts. Documents without shingles, and rows without a key, stay. Repeated
-    rows of a key with equal columns leave one row.
+    different texts, and equal rows leave one. Documents without shingles, and rows without a
+    key, all stay.
     """
     numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     keys = numbered.select("__row", F.col(f"`{key}`").cast("long").alias("__key"))
@@ -423,4 +433,4 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     keyed = found.join(keys.filter("__key is not null"), "__row")
     first = keyed.groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("first")).select("first.__row")
     stay = first.unionByName(keys.filter("__key is null").select("__row"))
-    return numbered.join(stay, "__row", "left_semi").drop("__row").dropDuplicates()
+    return numbered.join(stay, "__row", "left_semi").drop("__row")
