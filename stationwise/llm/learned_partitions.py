@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ GRAPH_NEIGHBOURS = 10
 #: Share of the sample that is not learned on, but tells how many partitions to search.
 CHECKED = 0.2
 #: Share of true neighbours that the searched partitions must hold on that share.
-AIM = 0.97
+AIM = 0.92
 #: Vectors of a partition that are searched together; larger partitions are dealt out.
 BLOCK = 4096
 #: A partition may exceed its fair share of the sample by this factor.
@@ -29,7 +28,11 @@ ROUTED = ["part", "ask", "vec_id", "asked", "v"]
 
 @dataclass
 class Router:
-    """One hidden layer: chances that a vector's neighbours are in each partition."""
+    """One hidden layer: chances that a vector's neighbours are in each partition.
+
+    A query searches the likeliest partitions until their chances add up to `mass`, and at
+    most `probes` of them.
+    """
 
     scale: float
     w1: np.ndarray
@@ -37,6 +40,7 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     probes: int
+    mass: float = 1.0
 
     def chances(self, x: np.ndarray) -> np.ndarray:
         z = np.maximum(x * self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -46,6 +50,13 @@ class Router:
     def best(self, x: np.ndarray, n: int) -> np.ndarray:
         return np.argsort(-self.chances(x), axis=1, kind="stable")[:, :n]
 
+    def searched(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partitions in the order of their chances, and how many of them each vector searches."""
+        chances = self.chances(x)
+        order = np.argsort(-chances, axis=1, kind="stable")
+        below = np.cumsum(np.take_along_axis(chances, order, axis=1), axis=1) < self.mass
+        return order, np.minimum(below.sum(axis=1) + 1, min(self.probes, order.shape[1]))
+
 
 def nearest(x: np.ndarray, y: np.ndarray, k: int, own: bool) -> np.ndarray:
     """Indices in y of the k largest inner products of each row of x; its own index left out if x is y."""
@@ -132,7 +143,13 @@ def learn(x: np.ndarray, parts: int, k: int, seed: int = 7) -> Router:
         order = router.best(held, parts)
         place = np.argsort(order, axis=1)  # of each partition in the order of search
         found = np.take_along_axis(place, home[true], axis=1)
-        router.probes = next((m for m in range(1, parts) if (found < m).mean() >= AIM), parts)
+        before = np.cumsum(np.take_along_axis(router.chances(held), order, axis=1), axis=1)
+        least = parts
+        for mass in [*np.linspace(0.5, 0.995, 100), 1.0]:  # of all pairs that reach AIM, the one that searches least
+            n = np.minimum((before < mass).sum(axis=1) + 1, parts)
+            most = next((m for m in range(1, parts + 1) if (found < np.minimum(n, m)[:, None]).mean() >= AIM), None)
+            if most and np.minimum(n, most).mean() < least:
+                least, router.probes, router.mass = np.minimum(n, most).mean(), most, float(mass)
     return router
 
 
@@ -155,8 +172,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
     Queries are the vectors whose key is divisible by `every`; candidates all but the
     query's own key. Partitions and router are learned on at most SAMPLE vectors; all
     vectors are indexed, each in the partition that the router finds likeliest, and each
-    query searches as many partitions as held AIM of the true neighbours of a part of the
-    sample that was not learned on, or all where those hold fewer than k others. Scores are exact, summed alike for equal vectors; ties
+    query searches its likeliest partitions until their chances add up to a mass, and at most
+    a number of them; both are the cheapest that hold AIM of the true neighbours of a part of
+    the sample that was not learned on. Where those hold fewer than k others, it searches all. Scores are exact, summed alike for equal vectors; ties
     go to the smaller key. Fewer candidates than k give fewer rows.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite
@@ -168,7 +186,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
     n = indexed.count()
     sample = indexed.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).toPandas()["v"].tolist()
     x = np.array(sample, float).reshape(len(sample), len(sample[0]) if sample else 0)
-    parts = partitions or int(np.clip(round(np.sqrt(n) / 4), 1, 256))
+    parts = partitions or int(np.clip(round(np.sqrt(n) / 3), 1, SAMPLE // 16))
     parts = max(1, min(parts, len(x) // 16))
     router = learn(x, parts, k) if parts > 1 else None
 
@@ -191,10 +209,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id"
             if not b.num_rows:
                 continue
             m = _matrix(b.column("v"))
-            order = router.best(m, parts) if router else np.zeros((len(m), 1), np.int64)
-            probes = router.probes if router else 1
-            short = held_by[order[:, :probes]].sum(1) - b.column("own").to_numpy() < k
-            rows, at = np.nonzero(short[:, None] | (np.arange(order.shape[1]) < probes)[None, :])
+            order, probes = router.searched(m) if router else (np.zeros((len(m), 1), np.int64), np.ones(len(m), np.int64))
+            inside = np.arange(order.shape[1])[None, :] < probes[:, None]
+            short = np.where(inside, held_by[order], 0).sum(1) - b.column("own").to_numpy() < k
+            rows, at = np.nonzero(short[:, None] | inside)
             pick = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(order[rows, at].astype(np.int32)), pa.array(np.ones(len(rows), np.int32)), b.column("vec_id").take(pick), b.column("asked").take(pick), b.column("v").take(pick)], names=ROUTED)
 
@@ -250,10 +268,3 @@ def _top(asked: np.ndarray, queries: np.ndarray, q: np.ndarray, ids: np.ndarray,
             out[3].append(score[best])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["asked", "query_id", "vec_id", "score"])
 
-
-def brute_force(ids: np.ndarray, v: np.ndarray, k: int, every: int) -> Iterator[tuple[int, list[int]]]:
-    """Exact neighbours of the same queries, to measure recall against."""
-    for i in np.flatnonzero(ids % every == 0):
-        s = (v * v[i]).sum(axis=1)
-        order = [j for j in np.lexsort([ids, -s])[: k + 1] if ids[j] != ids[i]][:k]
-        yield int(ids[i]), [int(ids[j]) for j in order]
