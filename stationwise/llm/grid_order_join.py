@@ -93,7 +93,7 @@ def near_intervals(boxes: DataFrame, count: int, reach: float) -> DataFrame:
     level = 0
     while max(0, count - 1) >> (FAN * level):
         level += 1
-    pairs = boxes.sparkSession.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
+    pairs = boxes.sparkSession.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))  # the whole sequence with itself
     for k in range(level - 1, -1, -1):
         ends = [f(f"{e}_{c}").alias(f"{e}_{c}") for c in COORDS for e, f in (("lo", F.min), ("hi", F.max))]
         nodes = boxes.groupBy(F.shiftright("block", FAN * k).alias("node")).agg(*ends).withColumn("up", F.shiftright("node", FAN))
