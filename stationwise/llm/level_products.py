@@ -30,43 +30,51 @@ LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else
 def term_counts(docs: DataFrame, columns: tuple[str, str, str] = ("text", "lang", "source")) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents): per group, nulls read as ''; a row with the term null counts the group's documents.
 
-    Tasks add up their documents first and send one row per group and term.
+    Tasks add up their documents first and send one row per term of a language, with the
+    counts of each source inside, so that what is shuffled is near the vocabulary.
     """
     text, lang, source = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns)
     src = docs.select(lang.alias("lang"), source.alias("source"), F.encode(text, "UTF-8").alias("text"))
 
     def count(batches):
-        seen: dict[tuple, list] = {}
+        seen: dict[str, dict[str, list]] = {}
         size = 0
-
-        def rows():
-            cols = [[], [], [], [], []]
-            for (lang, source), (occurrences, holding, many) in seen.items():
-                terms = list(occurrences)
-                cols[0] += [lang] * (len(terms) + 1)
-                cols[1] += [source] * (len(terms) + 1)
-                cols[2] += [t.decode() for t in terms] + [None]
-                cols[3] += [*map(occurrences.__getitem__, terms), 0]
-                cols[4] += [*map(holding.__getitem__, terms), many]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "source", "term", "n", "docs"])
-
         for b in batches:
             for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                held = seen.setdefault((lang, source), [Counter(), Counter(), 0])
-                words = Counter(text.translate(LETTERS).split())
+                held = seen.setdefault(lang, {}).setdefault(source, [Counter(), Counter(), 0])
+                words = text.translate(LETTERS).split()
                 size -= len(held[0])
                 held[0].update(words)
-                held[1].update(words.keys())
+                held[1].update(set(words))
                 held[2] += 1
                 size += len(held[0])
                 if size > HELD_TERMS:
-                    yield rows()
+                    yield from map(by_term, seen.items())
                     seen, size = {}, 0
-        yield rows()
-
-    parts = src.mapInArrow(count, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        yield from map(by_term, seen.items())
+
+    def by_term(item):
+        """One row per term of a language; the counts of its sources as a list."""
+        lang, sources = item
+        names = list(sources)
+        terms = pa.array([t for s in names for t in sources[s][0]], pa.binary()).cast(pa.string()).dictionary_encode()
+        owner = np.repeat(np.arange(len(names)), [len(sources[s][0]) for s in names])
+        n = np.fromiter((x for s in names for x in sources[s][0].values()), np.int64, len(owner))
+        holding = np.fromiter((sources[s][1][t] for s in names for t in sources[s][0]), np.int64, len(owner))
+        at = terms.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms.dictionary)))])
+        # the last row has no term and the documents of each source
+        owner, n = np.concatenate([owner[order], np.arange(len(names))]), np.concatenate([n[order], np.zeros(len(names), np.int64)])
+        holding = np.concatenate([holding[order], [sources[s][2] for s in names]])
+        ends = np.append(ends, len(owner)).astype(np.int32)
+        counts = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(owner)), pa.array(n), pa.array(holding)], names=["source", "n", "docs"])
+        term = pa.concat_arrays([terms.dictionary, pa.nulls(1, pa.string())])
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(term)), term, pa.ListArray.from_arrays(pa.array(ends), counts)], names=["lang", "term", "counts"])
+
+    parts = src.mapInArrow(count, "lang string, term string, counts array<struct<source:string,n:bigint,docs:bigint>>")
+    rows = parts.repartition("lang", "term").select("lang", "term", F.explode("counts").alias("c")).select("lang", "term", "c.*")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -154,8 +162,11 @@ def audit(docs: DataFrame, least: int = 3, ranks: int = 200, columns: tuple[str,
     kept = written(kept.select("lang", "term", "count", rare), "kept")
     sizes = kept.groupBy("lang", "class").agg(F.count("*").alias("many"))
     blocks_of = F.ceil(F.col("many") / F.when(F.col("class") < RARE, RARE_TERMS).otherwise(OTHER_TERMS)).cast("int")
-    dealt = kept.join(sizes.select("lang", "class", blocks_of.alias("blocks")), ["lang", "class"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks")
+    # a class may hold most terms, so its rows meet their number of blocks in SALTS parts
+    part = F.pmod(F.xxhash64("term", F.lit("part")), F.lit(SALTS)).cast("int")
+    spread_sizes = sizes.select("lang", "class", blocks_of.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    dealt = kept.withColumn("part", part).join(spread_sizes, ["lang", "class", "part"])
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")).drop("blocks", "part")
     cells = written(cells.drop("docs").join(dealt, ["lang", "term"]), "cells")
 
     languages = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("count").alias("lang_total"))
@@ -175,43 +186,51 @@ def audit(docs: DataFrame, least: int = 3, ranks: int = 200, columns: tuple[str,
     no_head = [F.lit(None).cast("long").alias(c) for c in ("total", "terms", "many")]
     head = heads.select(*by, "group", "total", "terms", "many", *no_cell)
     body = cells.join(ends, ["lang", "source"]).select(*by, "group", *no_head, "term", "n")
-    parts = head.unionByName(body).repartition(*by).sortWithinPartitions(*by, F.asc_nulls_first("term"), "group")
+    parts = head.unionByName(body).withColumn("cell", F.col("term").isNotNull()).repartition(*by).sortWithinPartitions(*by, "cell")
 
     def multiply(batches):
-        now, group, row, held = None, [], {}, []
+        now, held = None, []
 
         def settle():
-            if now is None:
-                return
-            place = {g: i for i, (g, *_) in enumerate(group)}
-            names = np.array([g for g, *_ in group])
+            """The joint tables of one block of terms and two blocks of sources; its first rows are the sources."""
+            t = pa.Table.from_batches(held)
+            group, cell = t.column("group").to_numpy(), t.column("cell").to_numpy(zero_copy_only=False)
+            names = group[~cell]
+            if not len(names):
+                return [], [], []
+            total, terms, many = (t.column(c).filter(pa.array(~cell)).to_pylist() for c in ("total", "terms", "many"))
+            code = t.column("term").combine_chunks().filter(pa.array(cell)).dictionary_encode()
+            place = np.zeros(int(max(names.max(), group.max())) + 1, np.int64)
+            place[names] = np.arange(len(names))
+            c = np.zeros((len(code.dictionary), len(names)), np.int64)
+            c[code.indices.to_numpy(), place[group[cell]]] = t.column("n").filter(pa.array(cell)).to_numpy()
             block = names // BLOCK_SOURCES
-            c = np.zeros((len(row), len(group)), np.int64)
-            for t, g, n in held:
-                c[t, place[g]] = n
-            first, second = np.flatnonzero(block == now[3]), np.flatnonzero(block == now[4])
-            found = joint_prices(c, group[0][3], np.array([t for _, t, _, _ in group], object), group[0][2], first, second)
-            for g, h, value in found:
-                yield now[0], int(names[g]), int(names[h]), int(value)
+            found = joint_prices(c, many[0], np.array(total, object), terms[0], np.flatnonzero(block == now[3]), np.flatnonzero(block == now[4]))
+            g, h, value = zip(*found) if found else ((), (), ())
+            return names[list(g)].tolist(), names[list(h)].tolist(), [int(x) for x in value]
 
         def rows(found):
-            cols = list(zip(*found)) or [()] * 4
+            lang = [k for k, f in found for _ in f[0]]
+            cols = [[x for _, f in found for x in f[i]] for i in range(3)]
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "group", "other", "value"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([lang, *cols], kinds)], names=["lang", "group", "other", "value"])
 
         for b in batches:
+            if not b.num_rows:
+                continue
             found = []
-            cols = [b.column(c).to_pylist() for c in (*by, "group", "total", "terms", "many", "term", "n")]
-            for r in zip(*cols):
-                if r[:5] != now:
-                    found += settle()
-                    now, group, row, held = r[:5], [], {}, []
-                if r[9] is None:
-                    group.append(r[5:9])
-                else:
-                    held.append((row.setdefault(r[9], len(row)), r[5], r[10]))
+            codes = [b.column(c).dictionary_encode().indices.to_numpy() if c == "lang" else b.column(c).to_numpy() for c in by]
+            cuts = [0, *(np.flatnonzero((np.diff(np.stack(codes), axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                at = tuple(b.column(c)[lo].as_py() for c in by)
+                if at != now:
+                    if now is not None:
+                        found.append((now[0], settle()))
+                    now, held = at, []
+                held.append(b.slice(lo, hi - lo))
             yield rows(found)
-        yield rows(list(settle()))
+        if now is not None:
+            yield rows([(now[0], settle())])
 
     values = parts.mapInArrow(multiply, "lang string, group int, other int, value long").groupBy("lang", "group", "other").agg(F.sum("value").alias("value"))
     name = groups.select("lang", "group", "source")
