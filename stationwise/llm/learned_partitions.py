@@ -257,7 +257,8 @@ def _top(asked: np.ndarray, queries: np.ndarray, q: np.ndarray, ids: np.ndarray,
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ v.T
         room = 1e-9 * np.abs(s).max(axis=1)
-        edge = -np.partition(-s, k, axis=1)[:, k] if s.shape[1] > k + 1 else np.full(len(s), -np.inf)
+        s[ids[None, :] == queries[i : i + len(s), None]] = -np.inf  # a query's own key, in however many rows, is no candidate
+        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.inf)
         for r, row in enumerate(s):
             at = np.flatnonzero((row >= edge[r] - room[r]) & (ids != queries[i + r]))
             score = (v[at] * q[i + r]).sum(axis=1)
