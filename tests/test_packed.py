@@ -178,3 +178,28 @@ def test_two_paths_of_the_mean_and_its_closed_form(spark):
         assert failed and all(s == "a" for s, _ in failed)
     lost = reported.filter("block = 5")
     assert any(not r.passed for r in inference.inference_recheck(lost, days, 300, BLOCKS, 3).collect())
+
+
+def most_rows(df):
+    """Rows that the busiest operator of a query gave out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_prefix_sums_make_no_row_per_drawn_block(spark):
+    """A replicate's drawn blocks are added up inside its row, and replicates are dealt to several tasks."""
+    dense = calendar(spark, {"a": list(RNG.normal(size=200)), "b": list(RNG.normal(size=90))})
+    means = resample.mean_by_prefix_sums(dense, 600, [2, 5], 3)
+    assert most_rows(means) == 2 * 2 * 600  # drawn blocks are 600 * (100 + 40 + 45 + 18)
+    assert means.select(F.spark_partition_id()).distinct().count() > 1
