@@ -218,7 +218,8 @@ def _(spark, sf):
 def _(spark, sf):
     """Quality rows, a test family and bootstrap intervals, each checked by another path."""
     ext = written(extended(spark, sf), "extended")
-    published = written(quality.period_quality_table(ext), "published")
+    gaps = written(quality.period_gaps(ext), "period_gaps")
+    published = written(quality.period_quality_table(ext, gaps=gaps), "published")
     calendar = written(days(spark, sf), "calendar")
     tests = written(inference.weekday_effect(calendar, N_NULL, SEED), "tests")
     reported = written(resample.compact_mean_report(calendar, N_NULL, S.SENSITIVITY_BLOCKS, SEED), "reported")

@@ -336,10 +336,13 @@ def period_recount(df: DataFrame, value: str = S.TARGET) -> DataFrame:
     )
 
 
-def period_quality_table(df: DataFrame, raw: DataFrame | None = None) -> DataFrame:
-    """group_quality plus gap statistics and coverage against calendar and active hours."""
+def period_quality_table(df: DataFrame, raw: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """group_quality plus gap statistics and coverage against calendar and active hours.
+
+    `gaps` is the table of `period_gaps`, where a caller has written it to keep plans small.
+    """
     keys = [S.STATION, "period_type", "period"]
-    out = group_quality(df, raw).join(period_gaps(df), keys, "left")
+    out = group_quality(df, raw).join(period_gaps(df) if gaps is None else gaps, keys, "left")
     return out.withColumns(
         {
             "gap_count": F.coalesce("gap_count", F.lit(0)),

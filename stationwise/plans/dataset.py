@@ -118,15 +118,17 @@ def revalidate(extended: DataFrame, stations: Sequence[str], quality_table: Data
 
     The recount copies hours instead of adding up monthly states, and `recheck` (see
     `inference.inference_recheck`) draws replicates another way, so each can find a fault.
+    Each area is written on its own: as one plan, with all its strings and broadcasts at
+    once, they take more of the driver than any of them needs.
     """
     keys = [S.STATION, "period_type", "period"]
-    again = quality.period_recount(extended)
+    again = written(quality.period_recount(extended), "recount")
     close = ["coverage_pct_calendar", "coverage_pct_active"]
     exact = ["valid_hours", "gap_count", "longest_gap_hours"]
     differ = joins.reconcile(quality_table, again, keys, exact, close).groupBy("column").agg(
         F.sum(F.when(F.col("verdict") != "match", F.col("n")).otherwise(0)).alias("violations")
     )
-    tag = lambda df, area: df.select(F.lit(area).alias("area"), "check", "violations", "passed")
+    tag = lambda df, area: written(df.select(F.lit(area).alias("area"), "check", "violations", "passed"), area)
     parts = [
         tag(quality.input_contract(extended, stations), "input"),
         tag(differ.select(F.col("column").alias("check"), "violations", (F.col("violations") == 0).alias("passed")), "reconcile"),

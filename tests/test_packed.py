@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stationwise.operators import packed, resample
-from stationwise.plans import inference
+from stationwise.operators import packed, quality, resample
+from stationwise.plans import dataset, inference
 from tests.helpers import calendar
 
 RNG = np.random.default_rng(23)
@@ -203,3 +203,22 @@ def test_prefix_sums_make_no_row_per_drawn_block(spark):
     means = resample.mean_by_prefix_sums(dense, 600, [2, 5], 3)
     assert most_rows(means) == 2 * 2 * 600  # drawn blocks are 600 * (100 + 40 + 45 + 18)
     assert means.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_revalidation_is_no_single_plan(spark):
+    """Each area is written before the next, so the driver never holds the joins and broadcasts of all; a fault is still found."""
+    hours = spark.range(72).select(
+        F.lit("a").alias("station_id"), F.timestamp_seconds(1704067200 + F.col("id") * 3600).alias("timestamp"), F.when(F.col("id") % 9 > 1, F.col("id").cast("double")).alias("pm25")
+    )
+    own = {"pm25_derived": F.col("pm25"), "is_derived": F.lit(False), "season": F.lit("Winter"), "winter_year": F.lit(2024)}
+    extended = hours.withColumns(own)
+    published = quality.period_quality_table(extended, gaps=quality.period_gaps(extended))
+    assert sorted(published.collect()) == sorted(quality.period_quality_table(extended).collect())
+    results = spark.createDataFrame([("f", "a", 1.0, 0.0, 2.0, 0.5, 0.5, False)], "family string, test string, estimate double, ci_low double, ci_high double, p double, holm_p double, rejected boolean")
+    for fault in (0, 1):
+        out = dataset.revalidate(extended, ["a"], published.withColumn("gap_count", F.col("gap_count") + fault), results)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        rows = out.collect()
+        assert {r.area for r in rows} == {"input", "reconcile", "quality_identities", "result_identities"}
+        assert {r.check for r in rows if not r.passed} == ({"gap_count"} if fault else set())
