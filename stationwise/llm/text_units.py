@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -72,17 +73,20 @@ class UnitEncoder:
         self.runs, self.edges = Runs(), set()
 
     def learn(self, units: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the units' and heads' ids are; -1 for those that may not stand alone."""
+        """Where the ids of the units, all different, and of the heads are; -1 for those that may not stand alone."""
         if len(self.runs.index) > UNIT_LIMIT:
             self.runs, self.edges = Runs(), set()
         index = self.runs.index
-        new = [u for u in units if u not in index and u not in self.edges]
-        self.edges.update(u for u in new if not u.isalpha() and _edge(u))
-        new = [u for u in new if u not in self.edges]
+        at = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
+        places = np.flatnonzero(at < 0)
+        new = list(map(units.__getitem__, places.tolist()))
+        edge = np.fromiter((not u.isalpha() and (u in self.edges or _edge(u)) for u in new), bool, len(new))
+        self.edges.update(compress(new, edge))
+        new = list(compress(new, ~edge))
         first = list({h: None for h in heads if (h,) not in index})
         if new or first:
+            at[places[~edge]] = len(index) + np.arange(len(new))
             self.runs.add([*new, *((h,) for h in first)], *self.encode_many([u if u[0] == "\n" else u[1:] if u[0] == GLUE else " " + u for u in new] + first))
-        at = np.fromiter((index.get(u, -1) for u in units), np.int64, len(units))
         return at, np.fromiter((-1 if h[-1:].isspace() else index[h,] for h in heads), np.int64, len(heads))
 
     def cut(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +96,7 @@ class UnitEncoder:
         ends = pieces.offsets.to_numpy()
         values = pieces.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends = ends - ends[0]
-        units, heads = self.learn(values.dictionary.to_pylist(), pieces.values.take(pieces.offsets[:-1]).to_pylist())
+        units, heads = self.learn(_strings(values.dictionary), _strings(pieces.values.take(pieces.offsets[:-1])))
         at = units[values.indices.to_numpy()]
         at[ends[:-1]] = heads
         bad = np.concatenate([[0], np.cumsum(at < 0)])
@@ -130,6 +134,11 @@ class UnitEncoder:
             yield self.runs.take(at[i : i + SLICE])
 
 
+def _strings(a: pa.Array) -> list[str]:
+    """`a` without nulls, by one conversion of the whole array."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def _edge(unit: str) -> bool:
     word = unit.removeprefix("\n").removeprefix(GLUE)
     return not word or word[0].isspace() or word[-1].isspace()

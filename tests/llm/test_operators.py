@@ -20,6 +20,7 @@ from stationwise.llm import (
     pii_bootstrap,
     quality_rank,
     segment_bpe,
+    text_units,
     token_counts,
     token_files,
     url_filter,
@@ -400,3 +401,30 @@ def test_contexts_find_identifiers_that_have_no_form(spark):
     assert all(s.kind == "secret" for i in range(25) for s in got[i].spans)
     masked = {r.doc_id: r.text for r in pii_bootstrap.mask(frame).collect()}
     assert masked[24].count('token = "<SECRET>"') == 1 and masked[26] == texts[26]
+
+
+def test_known_units_are_looked_up_once():
+    """A distinct unit of a block costs one lookup, known or new; edges stay -1."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __contains__(self, k):
+            self.n += 1
+            return super().__contains__(k)
+
+    encoder = text_units.UnitEncoder(lambda texts: (np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([*map(len, texts)])))
+    encoder.runs.index = Counted()
+    words = [f"w{i}" for i in range(500)] + ["", "a\t"]
+    for units in (words, [*words, "new", "\nline", text_units.GLUE + "ab"], words[::-1]):
+        encoder.runs.index.n = 0
+        at, heads = encoder.learn(units, ["head"])
+        assert encoder.runs.index.n <= len(units) + 1
+        got = ["".join(map(chr, encoder.runs.take(at[i : i + 1]))) if at[i] >= 0 else None for i in range(len(at))]
+        plain = {"\nline": "\nline", text_units.GLUE + "ab": "ab", "": None, "a\t": None}
+        assert got == [plain.get(u, " " + u) for u in units]
+        assert "".join(map(chr, encoder.runs.take(heads))) == "head"
